@@ -47,8 +47,15 @@ def plain_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def without_stop_words(terms: Column, stop_words=STOP_WORDS) -> Column:
-    return F.filter(terms, lambda term: ~term.isin(*stop_words))
+def terms_without_stop_words(text: str, stop_words=STOP_WORDS) -> Column:
+    """Terms of column ``text`` that are not stop words, in text order."""
+    listed = ", ".join(f"'{word}'" for word in stop_words)
+    terms = f"regexp_extract_all(lower({text}), r'{TERM}', 0)"
+    return F.expr(f"filter({terms}, term -> term NOT IN ({listed}))")
+
+
+def is_stop_word(term: str, stop_words=STOP_WORDS) -> Column:
+    return F.expr(f"{term} IN ({', '.join(repr(word) for word in stop_words)})")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -36,8 +36,9 @@ def document_key(corpus: DataFrame) -> list[str]:
 
 def raw_terms(steps: tuple[str, ...], stop_words=T.STOP_WORDS, text: str = "text") -> Column:
     """Terms of a text before stemming; stop words go here only if they go first."""
-    terms = T.tokens(F.col(text))
-    return T.without_stop_words(terms, stop_words) if steps[:1] == ("stop",) else terms
+    if steps[:1] == ("stop",):
+        return T.terms_without_stop_words(text, stop_words)
+    return T.tokens(text)
 
 
 def documents_with_terms(corpus: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame:
@@ -73,7 +74,7 @@ def query_terms(queries: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame
     if "stem" in steps:
         terms = terms.withColumn("term", porter_stem("term"))
     if steps == STEM_THEN_STOP:
-        terms = terms.filter(~F.col("term").isin(*stop_words))
+        terms = terms.filter(~T.is_stop_word("term", stop_words))
     counted = terms.groupBy("event_id", "q_id", "term").agg(F.count("*").alias("qtf"))
     return cut_lineage(counted, "query-terms")
 
@@ -163,7 +164,7 @@ def collection_statistics(corpus: DataFrame, steps=("stop",), stop_words=T.STOP_
     else:
         occurrences = occurrences.groupBy(*key, "term").agg(F.count("*").alias("tf"))
     if steps == STEM_THEN_STOP:
-        occurrences = occurrences.filter(~F.col("term").isin(*stop_words))
+        occurrences = occurrences.filter(~T.is_stop_word("term", stop_words))
         counted = occurrences.groupBy(*key).agg(F.sum("tf").alias("dl"))
         lengths = (
             docs.select(*key, F.lit(0).cast("long").alias("dl"))

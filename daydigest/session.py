@@ -31,6 +31,12 @@ def build_session(app: str = "daydigest", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """A session made elsewhere, with the settings the results depend on."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's folder for checkpoints and derived tables.
 

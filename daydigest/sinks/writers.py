@@ -19,7 +19,9 @@ def arrays_as_json(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> str:
     writer = arrays_as_json(df).write.option("header", True).option("escape", '"')
-    writer.csv(path)
+    # texts keep their outer blanks
+    writer = writer.option("ignoreLeadingWhiteSpace", False)
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

@@ -52,16 +52,16 @@ def read_calendar(
     path: str,
     events: str | None = None,
     days: int | None = None,
-    event_in_name: str = r"([^-./]+)\.requests\.json",
+    event_in_path: str = r"([^-./]+)\.requests\.json$",
 ) -> DataFrame:
     """Day lists, one JSON array per event file, as (event_id, day_pos, date, request_id).
 
-    The event id is taken from the file name. ``posexplode`` keeps the order of the
+    The event id is taken from the file path. ``posexplode`` keeps the order of the
     array, which the ``days`` cut refers to. ``events`` is a comma-separated list.
     """
     lists = spark.read.option("wholetext", True).text(path)
     records = lists.select(
-        F.regexp_extract(F.col("_metadata.file_name"), event_in_name, 1).alias("event_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), event_in_path, 1).alias("event_id"),
         F.posexplode(F.from_json("value", schemas.DAY_RECORDS)).alias("day_pos", "record"),
     )
     calendar = records.select(
