@@ -1,7 +1,7 @@
 """Documents, terms and statistics of collections, one per (event, day).
 
 A document is one row (event_id, date, docno, text); docno is unique in a collection
-(``numbered_copies`` separates repeated ids). Only terms that some query asks for are
+(``read_corpus(..., unique=True)`` sees to it where it is not). Only terms that some query asks for are
 carried beyond the scan: document lengths are counted in the row, the exploded terms
 meet the query terms in a hash join, and the aggregate combines on the map side, so a
 shuffle holds one row per document and query term, never running text. These postings
@@ -10,7 +10,7 @@ are written to the shared folder once and serve both the statistics and the scor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daydigest.functions import text as T
@@ -18,22 +18,13 @@ from daydigest.functions.porter import porter_stem
 from daydigest.session import checked_small_side, cut_lineage, small_side
 
 PART = ["event_id", "date"]
+KEY = [*PART, "docno"]
 
 # Order of the term steps in the two ranking paths.
 STOP_THEN_STEM = ("stop", "stem")
 STEM_THEN_STOP = ("stem", "stop")
 
 
-def numbered_copies(corpus: DataFrame) -> DataFrame:
-    """Make repeated document ids distinct by a copy number, kept in column ``copy``."""
-    same = Window.partitionBy(*PART, "docno").orderBy("unix_timestamp", "text")
-    return corpus.withColumn("copy", F.row_number().over(same))
-
-
-def document_key(corpus: DataFrame) -> list[str]:
-    return [*PART, "docno"] + (["copy"] if "copy" in corpus.columns else [])
-
-
 def raw_terms(steps: tuple[str, ...], stop_words=T.STOP_WORDS, text: str = "text") -> Column:
     """Terms of a text before stemming; stop words go here only if they go first."""
     if steps[:1] == ("stop",):
@@ -42,8 +33,8 @@ def raw_terms(steps: tuple[str, ...], stop_words=T.STOP_WORDS, text: str = "text
 
 
 def documents_with_terms(corpus: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame:
-    """(document key, terms, dl), dl being the number of terms of the document."""
-    docs = corpus.select(*document_key(corpus), raw_terms(steps, stop_words).alias("terms"))
+    """(KEY, terms, dl), dl being the number of terms of the document."""
+    docs = corpus.select(*KEY, raw_terms(steps, stop_words).alias("terms"))
     return docs.withColumn("dl", F.size("terms").cast("long"))
 
 
@@ -98,24 +89,22 @@ def wanted_forms(docs: DataFrame, wanted: DataFrame, steps, stop_words=T.STOP_WO
 
 
 def matched_terms(docs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(document key, dl, term, tf) of the terms found in ``forms``."""
-    key = [c for c in docs.columns if c != "terms"]
-    found = docs.select(*key, F.explode("terms").alias("surface")).join(
+    """(KEY, dl, term, tf) of the terms found in ``forms``."""
+    found = docs.select(*KEY, "dl", F.explode("terms").alias("surface")).join(
         checked_small_side(forms, 64), "surface"
     )
-    return found.groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    return found.groupBy(*KEY, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def without_dropped_terms(matched: DataFrame) -> DataFrame:
     """Take the terms dropped after stemming (null term) out of the document length."""
-    key = [c for c in matched.columns if c not in ("dl", "term", "tf")]
     kept = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    per_document = matched.groupBy(*key, "dl").agg(
+    per_document = matched.groupBy(*KEY, "dl").agg(
         F.sum(F.when(F.col("term").isNull(), F.col("tf")).otherwise(0)).alias("n_dropped"),
         F.collect_list(kept).alias("found"),
     )
     return per_document.select(
-        *key,
+        *KEY,
         (F.col("dl") - F.col("n_dropped")).alias("dl"),
         F.col("n_dropped"),
         F.col("found"),
@@ -123,17 +112,15 @@ def without_dropped_terms(matched: DataFrame) -> DataFrame:
 
 
 def postings_and_sizes(docs: DataFrame, forms: DataFrame, steps) -> tuple[DataFrame, DataFrame]:
-    """Postings (document key, dl, term, tf) and sizes (part, n_docs, n_terms)."""
+    """Postings (KEY, dl, term, tf) and sizes (part, n_docs, n_terms)."""
     matched = cut_lineage(matched_terms(docs, forms), "postings")
     sizes = docs.select(*PART, F.lit(1).alias("n"), "dl")
     if steps == STEM_THEN_STOP:
         per_document = without_dropped_terms(matched)
         dropped = per_document.select(*PART, F.lit(0).alias("n"), (-F.col("n_dropped")).alias("dl"))
         sizes = sizes.unionByName(dropped)
-        matched = per_document.select("*", F.explode("found").alias("hit")).select(
-            *[c for c in per_document.columns if c not in ("found", "n_dropped")],
-            "hit.term",
-            "hit.tf",
+        matched = per_document.select(*KEY, "dl", F.explode("found").alias("hit")).select(
+            *KEY, "dl", "hit.term", "hit.tf"
         )
     sizes = sizes.groupBy(*PART).agg(
         F.sum("n").cast("long").alias("n_docs"), F.sum("dl").cast("long").alias("n_terms")
@@ -151,29 +138,28 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
 def collection_statistics(corpus: DataFrame, steps=("stop",), stop_words=T.STOP_WORDS):
     """All statistics of whole collections: (sizes, term frequencies, document lengths)."""
     docs = documents_with_terms(corpus, steps, stop_words)
-    key = document_key(corpus)
-    occurrences = docs.select(*key, F.explode("terms").alias("term"))
+    occurrences = docs.select(*KEY, F.explode("terms").alias("term"))
     if "stem" in steps:
         stems = stemmed_vocabulary(docs).withColumnRenamed("term", "stem")
         occurrences = (
-            occurrences.groupBy(*key, "term").agg(F.count("*").alias("tf"))
+            occurrences.groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
             .join(stems.withColumnRenamed("surface", "term"), "term")
-            .groupBy(*key, F.col("stem").alias("term"))
+            .groupBy(*KEY, F.col("stem").alias("term"))
             .agg(F.sum("tf").alias("tf"))
         )
     else:
-        occurrences = occurrences.groupBy(*key, "term").agg(F.count("*").alias("tf"))
+        occurrences = occurrences.groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
     if steps == STEM_THEN_STOP:
         occurrences = occurrences.filter(~T.is_stop_word("term", stop_words))
-        counted = occurrences.groupBy(*key).agg(F.sum("tf").alias("dl"))
+        counted = occurrences.groupBy(*KEY).agg(F.sum("tf").alias("dl"))
         lengths = (
-            docs.select(*key, F.lit(0).cast("long").alias("dl"))
+            docs.select(*KEY, F.lit(0).cast("long").alias("dl"))
             .unionByName(counted)
-            .groupBy(*key)
+            .groupBy(*KEY)
             .agg(F.sum("dl").cast("long").alias("dl"))
         )
     else:
-        lengths = docs.select(*key, "dl")
+        lengths = docs.select(*KEY, "dl")
     sizes = lengths.groupBy(*PART).agg(
         F.count("*").alias("n_docs"), F.sum("dl").cast("long").alias("n_terms")
     )

@@ -74,18 +74,6 @@ def with_moments(df: DataFrame) -> DataFrame:
     )
 
 
-def union_days(*parts: tuple[str, str, DataFrame]) -> DataFrame:
-    """Append (event, day, documents) parts, tagged with both."""
-    tagged = [
-        df.withColumns({"event_id": F.lit(event), "date": F.lit(date).cast("date")})
-        for event, date, df in parts
-    ]
-    out = tagged[0]
-    for df in tagged[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
 def union_queries(parts: dict[str, DataFrame]) -> DataFrame:
     """Append the query tables of several events, tagged with the event id."""
     out = None

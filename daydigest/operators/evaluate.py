@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daydigest.functions import ids
 from daydigest.functions import text as T
 from daydigest.functions.porter import porter_stem
-from daydigest.session import checked_small_side
+from daydigest.session import checked_small_side, cut_lineage
 
 TOP_FACTS = 32
 STEMMED_LENGTH = 3
@@ -81,8 +81,8 @@ def rouge2(candidates: DataFrame, references: DataFrame, stemmed: bool = True) -
 
     Candidates are (run_id, event_id, text), references (event_id, text).
     """
-    ours = bigram_counts(candidates, ["run_id", "event_id"], stemmed)
-    theirs = bigram_counts(references, ["event_id"], stemmed)
+    ours = cut_lineage(bigram_counts(candidates, ["run_id", "event_id"], stemmed), "bigrams")
+    theirs = cut_lineage(bigram_counts(references, ["event_id"], stemmed), "bigrams")
     shared = ours.join(
         theirs.withColumnRenamed("n", "n_reference"), ["event_id", "first", "second"]
     )

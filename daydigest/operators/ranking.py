@@ -122,12 +122,12 @@ MODELS = {
 }
 
 
-def score_documents(postings_with_terms: DataFrame, key: list[str], model: str) -> DataFrame:
+def score_documents(postings_with_terms: DataFrame, model: str) -> DataFrame:
     """Sum of term scores per query and document, rounded so that ties are ties."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}, choose one of {sorted(MODELS)}")
     term_score = MODELS[model](Statistics.of_row())
-    return postings_with_terms.groupBy("q_id", *key).agg(
+    return postings_with_terms.groupBy("q_id", *C.KEY).agg(
         F.round(F.sum(term_score), SCORE_DIGITS).alias("score")
     )
 
@@ -138,8 +138,7 @@ def first_stage(scored: DataFrame, depth: int = FIRST_STAGE_DEPTH) -> DataFrame:
     The filter is on the plain row number, so Spark cuts each task's rows to ``depth``
     per query before the shuffle.
     """
-    order = [F.desc("score"), F.asc("docno")] + (["copy"] if "copy" in scored.columns else [])
-    best = Window.partitionBy(*C.PART, "q_id").orderBy(*order)
+    best = Window.partitionBy(*C.PART, "q_id").orderBy(F.desc("score"), F.asc("docno"))
     return (
         scored.withColumn("_n", F.row_number().over(best))
         .filter(F.col("_n") <= depth)
@@ -189,4 +188,4 @@ def rank(
     Only documents with at least one query term are scored.
     """
     joined = postings_of_queries(corpus, queries, calendar, steps, stop_words)
-    return first_stage(score_documents(joined, C.document_key(corpus), model), depth)
+    return first_stage(score_documents(joined, model), depth)

@@ -63,10 +63,11 @@ def join_scores(candidates: DataFrame, scores: DataFrame, key: list[str]) -> Dat
 
 
 def rerank_ranks(scored: DataFrame, request: list[str]) -> DataFrame:
-    """1-based rank by rerank score within a request and query; unscored rows get null."""
-    order = [F.desc_nulls_last("rerank_score"), F.asc("docno")]
-    order += ["copy"] if "copy" in scored.columns else []
-    best = Window.partitionBy(*request, "q_id").orderBy(*order)
+    """1-based rank of the candidates (the first-stage few of a request and query) by
+    rerank score; unscored rows get null."""
+    best = Window.partitionBy(*request, "q_id").orderBy(
+        F.desc_nulls_last("rerank_score"), F.asc("docno")
+    )
     return scored.withColumn(
         "rerank_rank", F.when(F.col("rerank_score").isNotNull(), F.row_number().over(best))
     )
@@ -74,9 +75,7 @@ def rerank_ranks(scored: DataFrame, request: list[str]) -> DataFrame:
 
 def rerank_cut(scored: DataFrame, request: list[str], depth: int = RERANK_DEPTH) -> DataFrame:
     """The best ``depth`` scored candidates of each request and query."""
-    order = [F.desc("rerank_score"), F.asc("docno")]
-    order += ["copy"] if "copy" in scored.columns else []
-    best = Window.partitionBy(*request, "q_id").orderBy(*order)
+    best = Window.partitionBy(*request, "q_id").orderBy(F.desc("rerank_score"), F.asc("docno"))
     return (
         scored.filter(F.col("rerank_score").isNotNull())
         .withColumn("rerank_rank", F.row_number().over(best))

@@ -54,9 +54,8 @@ def candidates(
     """
     hits = ranking.rank(corpus, queries, calendar, model, steps, stop_words)
     bound = context.requests_with_queries(calendar, queries.select("event_id")).count()
-    key = C.document_key(corpus)
-    found = corpus.select(*key, "text", "unix_timestamp").join(
-        small_side(hits, bound * ranking.FIRST_STAGE_DEPTH), key
+    found = corpus.select(*C.KEY, "text", "unix_timestamp").join(
+        small_side(hits, bound * ranking.FIRST_STAGE_DEPTH), C.KEY
     )
     found = context.with_text(found).withColumnRenamed("date", "request_date")
     return context.with_context(found, calendar, queries)
@@ -64,9 +63,7 @@ def candidates(
 
 def finished(best: DataFrame) -> DataFrame:
     """Times, importance and column order of the ranked table."""
-    extra = ["copy"] if "copy" in best.columns else []
-    ranked = digest.with_importance(context.with_moments(best)).select(*RANKED, *extra)
-    return ranked
+    return digest.with_importance(context.with_moments(best)).select(*RANKED)
 
 
 def rank_rerank_colbert(

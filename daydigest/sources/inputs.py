@@ -94,15 +94,23 @@ def read_corpus(
     fields: tuple[str, ...] = (),
     file_format: str = "parquet",
     schema=schemas.CORPUS,
+    unique: bool = False,
 ) -> DataFrame:
     """The corpus partitioned by event_id and date.
 
     A calendar prunes partitions through a semi join; ``fields`` prunes columns.
+    ``unique`` keeps the first version of a document id that a collection holds more than
+    once; the minimum is taken on the map side, however many copies there are.
     """
     corpus = spark.read.schema(schema).format(file_format).load(path)
     if calendar is not None:
         wanted = calendar.select("event_id", "date")
         corpus = corpus.join(checked_small_side(wanted, 64), ["event_id", "date"], "left_semi")
+    if unique:
+        key = ["event_id", "date", "docno"]
+        rest = ["unix_timestamp"] + [c for c in corpus.columns if c not in (*key, "unix_timestamp")]
+        first = corpus.groupBy(*key).agg(F.min(F.struct(*rest)).alias("first"))
+        corpus = first.select(*key, "first.*")
     return corpus.select("event_id", "date", *fields) if fields else corpus
 
 

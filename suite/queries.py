@@ -779,15 +779,19 @@ def topk_50_then_5(spark, d):
     )
 
 
-@query("""SELECT lang, source AS q_id, doc_id AS docno, quality AS rerank_score,
-    CASE WHEN quality IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY lang, source
-    ORDER BY quality DESC NULLS LAST, doc_id) AS INTEGER) END AS rerank_rank
-    FROM documents LEFT JOIN labels USING (doc_id)""")
-def win_rerank_rank_1based(spark, d):
-    scored = _labelled(spark, d).select(
-        "lang", F.col("source").alias("q_id"), F.col("doc_id").alias("docno"), F.col("quality").alias("rerank_score")
+@query(
+    Q.with_(
+        Q.reranked(),
+        select="""SELECT request_id, q_id, docno, CASE WHEN rank < 25 THEN rerank_score END AS rerank_score,
+        CASE WHEN rank < 25 THEN CAST(row_number() OVER (PARTITION BY request_id, q_id
+          ORDER BY CASE WHEN rank < 25 THEN rerank_score END DESC NULLS LAST, docno) AS INTEGER)
+        END AS rerank_rank FROM ranked""",
     )
-    return rerank.rerank_ranks(scored, ["lang"])
+)
+def win_rerank_rank_1based(spark, d):
+    some = F.when(F.col("rank") < 25, F.col("rerank_score")).alias("rerank_score")
+    scored = ranked_table(spark, d).select("request_id", "q_id", "docno", some)
+    return rerank.rerank_ranks(scored, ["request_id"])
 
 
 def overlap_model() -> rerank.PairScorer:
@@ -900,16 +904,12 @@ def eval_long_metrics(spark, d):
 # ---- set operations ----------------------------------------------------------------
 
 
-@query(Q.with_(Q.DOCS, select="""SELECT docno, unix_timestamp, event_id, date FROM docs"""))
+@query(Q.with_(Q.DOCS, select="SELECT docno, unix_timestamp, event_id, date FROM docs"))
 def union_corpora(spark, d):
-    corpus = S.corpus(spark, d)
-    # the calendar is short: one row per event and day
-    days = S.calendar(spark, d).select("event_id", F.date_format("date", "yyyy-MM-dd").alias("day"))
-    parts = []
-    for row in days.toLocalIterator():
-        here = (F.col("event_id") == row["event_id"]) & (F.col("date") == F.lit(row["day"]).cast("date"))
-        parts.append((row["event_id"], row["day"], corpus.filter(here).select("docno", "unix_timestamp")))
-    return context.union_days(*parts)
+    """All days of all events: one scan of the partitioned folder."""
+    return inputs.read_corpus(
+        spark, _corpus_folder(spark, d), fields=("docno", "unix_timestamp"), unique=True
+    )
 
 
 @query(Q.with_(Q.QUERIES, select='SELECT query_id, event_title, event_id AS "ID" FROM queries'))
@@ -996,13 +996,14 @@ def fn_prompt(spark, d):
     return summaries.with_prompt(_grouped(spark, d)).select("request_id", "q_id", "prompt")
 
 
-@query("""SELECT conv_id, replace(string_agg(text, '. ' ORDER BY turn), '..', '.') AS joined
-    FROM conversations GROUP BY conv_id""")
+@query(
+    """SELECT conv_id, turn, replace(array_to_string(string_split(text, chr(10)), '. '), '..', '.') AS joined
+    FROM conversations"""
+)
 def fn_join_dot(spark, d):
-    turns = S.table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")
-    )
-    return turns.select("conv_id", T.joined_with_dots(F.col("turns.text")).alias("joined"))
+    lines = F.split("text", "\n")
+    joined = T.joined_with_dots(lines).alias("joined")
+    return S.table(spark, d, "conversations").select("conv_id", "turn", joined)
 
 
 @query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents")
@@ -1052,16 +1053,12 @@ def text_tokenize(spark, d):
 
 
 @query(
-    f"""SELECT doc_id, count(term) AS n FROM documents LEFT JOIN (
-    SELECT doc_id, unnest({Q.terms('text')}) AS term FROM documents) t USING (doc_id)
-    WHERE term IS NULL OR term NOT IN ({Q.STOPS}) GROUP BY doc_id"""
+    f"""SELECT doc_id, len(list_filter({Q.terms('text')}, lambda w: w NOT IN ({Q.STOPS}))) AS n
+    FROM documents"""
 )
 def text_stopwords(spark, d):
     kept = F.size(T.terms_without_stop_words("text")).cast("long")
-    # documents of stop words only have no row in the twin
-    return S.documents(spark, d).select("doc_id", F.size(T.tokens("text")).alias("n_all"), kept.alias("n")).filter(
-        "n > 0 OR n_all = 0"
-    ).select("doc_id", "n")
+    return S.documents(spark, d).select("doc_id", kept.alias("n"))
 
 
 @query(
