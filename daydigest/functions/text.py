@@ -58,6 +58,15 @@ def is_stop_word(term: str, stop_words=STOP_WORDS) -> Column:
     return F.expr(f"{term} IN ({', '.join(repr(word) for word in stop_words)})")
 
 
+def each(listed: Column | str) -> Column:
+    """One row per entry, and one null row for an empty list.
+
+    The plain ``explode`` makes Spark check the size of the list in the scan, which
+    would tokenise every text again; callers drop the null rows afterwards.
+    """
+    return F.explode_outer(listed)
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once per row, also inside lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

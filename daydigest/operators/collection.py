@@ -40,19 +40,25 @@ def documents_with_terms(corpus: DataFrame, steps, stop_words=T.STOP_WORDS) -> D
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """Distinct surface terms."""
-    return docs.select(F.explode("terms").alias("surface")).distinct()
+    return docs.select(T.each("terms").alias("surface")).distinct().filter("surface is not null")
 
 
-def stemmed_vocabulary(docs: DataFrame) -> DataFrame:
-    """(surface, term) of every distinct surface term.
+def stemmed(words: DataFrame, short: int = 2) -> DataFrame:
+    """(surface, term) of distinct words; words of up to ``short`` letters stay.
 
     The list is small in bytes but costly per row, so it is spread over all tasks
     instead of being coalesced by size.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = vocabulary(docs).repartition(tasks, "surface")
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = words.repartition(tasks, F.xxhash64("surface"))
+    stem = F.when(F.length("surface") > short, porter_stem("surface")).otherwise(F.col("surface"))
     # never null: a null check would make Spark stem each form twice
-    return spread.withColumn("term", F.coalesce(porter_stem("surface"), F.lit("")))
+    return spread.withColumn("term", F.coalesce(stem, F.lit("")))
+
+
+def stemmed_vocabulary(docs: DataFrame) -> DataFrame:
+    """(surface, term) of every distinct surface term."""
+    return stemmed(vocabulary(docs))
 
 
 def query_terms(queries: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame:
@@ -60,8 +66,8 @@ def query_terms(queries: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame
     terms = queries.select(
         "event_id",
         F.col("query_id").alias("q_id"),
-        F.explode(raw_terms(steps, stop_words, "indicative_terms")).alias("term"),
-    )
+        T.each(raw_terms(steps, stop_words, "indicative_terms")).alias("term"),
+    ).filter("term is not null")
     if "stem" in steps:
         terms = terms.withColumn("term", porter_stem("term"))
     if steps == STEM_THEN_STOP:
@@ -90,7 +96,7 @@ def wanted_forms(docs: DataFrame, wanted: DataFrame, steps, stop_words=T.STOP_WO
 
 def matched_terms(docs: DataFrame, forms: DataFrame) -> DataFrame:
     """(KEY, dl, term, tf) of the terms found in ``forms``."""
-    found = docs.select(*KEY, "dl", F.explode("terms").alias("surface")).join(
+    found = docs.select(*KEY, "dl", T.each("terms").alias("surface")).join(
         checked_small_side(forms, 64), "surface"
     )
     return found.groupBy(*KEY, "dl", "term").agg(F.count("*").alias("tf"))
@@ -138,7 +144,7 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
 def collection_statistics(corpus: DataFrame, steps=("stop",), stop_words=T.STOP_WORDS):
     """All statistics of whole collections: (sizes, term frequencies, document lengths)."""
     docs = documents_with_terms(corpus, steps, stop_words)
-    occurrences = docs.select(*KEY, F.explode("terms").alias("term"))
+    occurrences = docs.select(*KEY, T.each("terms").alias("term")).filter("term is not null")
     if "stem" in steps:
         stems = stemmed_vocabulary(docs).withColumnRenamed("term", "stem")
         occurrences = (

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daydigest.functions import ids
 from daydigest.functions import text as T
-from daydigest.functions.porter import porter_stem
+from daydigest.operators.collection import stemmed
 from daydigest.session import checked_small_side, cut_lineage
 
 TOP_FACTS = 32
@@ -53,36 +53,32 @@ def event_summaries(facts: DataFrame, requests: DataFrame, depth: int = TOP_FACT
     ).withColumn("n_chars", F.length("summary_text").cast("long"))
 
 
-def bigram_counts(texts: DataFrame, key: list[str], stemmed: bool = True) -> DataFrame:
+def bigram_counts(texts: DataFrame, key: list[str], use_stems: bool = True) -> DataFrame:
     """(key, first, second, n): counted word pairs of each text, stems of longer words."""
     words = texts.select(*key, T.plain_tokens("text").alias("words"))
-    pairs = words.filter(F.size("words") > 1).select(
-        *key,
-        F.explode(
-            F.arrays_zip(
-                F.expr("slice(words, 1, size(words) - 1)").alias("first"),
-                F.expr("slice(words, 2, size(words) - 1)").alias("second"),
-            )
-        ).alias("pair"),
-    )
+    following = F.expr("slice(words, 2, size(words))")
+    pairs = words.select(
+        *key, T.each(F.arrays_zip(F.col("words").alias("first"), following.alias("second"))).alias("pair")
+    ).filter("pair.second is not null")
     counted = pairs.groupBy(*key, "pair.first", "pair.second").agg(F.count("*").alias("n"))
-    if not stemmed:
+    if not use_stems:
         return counted
-
-    def stem_of(word: str) -> Column:
-        return F.when(F.length(word) > STEMMED_LENGTH, porter_stem(word)).otherwise(F.col(word))
-
-    counted = counted.withColumns({word: stem_of(word) for word in ("first", "second")})
+    counted = cut_lineage(counted, "bigrams")
+    words = counted.select(F.explode(F.array("first", "second")).alias("surface")).distinct()
+    stems = cut_lineage(stemmed(words, STEMMED_LENGTH), "stems")
+    for word in ("first", "second"):
+        renamed = stems.withColumnsRenamed({"surface": word, "term": "_stem"})
+        counted = counted.join(renamed, word).drop(word).withColumnRenamed("_stem", word)
     return counted.groupBy(*key, "first", "second").agg(F.sum("n").alias("n"))
 
 
-def rouge2(candidates: DataFrame, references: DataFrame, stemmed: bool = True) -> DataFrame:
+def rouge2(candidates: DataFrame, references: DataFrame, use_stems: bool = True) -> DataFrame:
     """(run_id, event_id, precision, recall, f1) of shared bigrams, counts clipped.
 
     Candidates are (run_id, event_id, text), references (event_id, text).
     """
-    ours = cut_lineage(bigram_counts(candidates, ["run_id", "event_id"], stemmed), "bigrams")
-    theirs = cut_lineage(bigram_counts(references, ["event_id"], stemmed), "bigrams")
+    ours = cut_lineage(bigram_counts(candidates, ["run_id", "event_id"], use_stems), "bigrams")
+    theirs = cut_lineage(bigram_counts(references, ["event_id"], use_stems), "bigrams")
     shared = ours.join(
         theirs.withColumnRenamed("n", "n_reference"), ["event_id", "first", "second"]
     )

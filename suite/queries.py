@@ -1048,8 +1048,8 @@ def fn_cast_number(spark, d):
     GROUP BY ALL"""
 )
 def text_tokenize(spark, d):
-    terms = S.documents(spark, d).select("lang", F.explode(T.tokens("text")).alias("term"))
-    return terms.groupBy("lang", "term").agg(F.count("*").alias("n"))
+    terms = S.documents(spark, d).select("lang", T.each(T.tokens("text")).alias("term"))
+    return terms.filter("term is not null").groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -1263,7 +1263,9 @@ ROUGE = Q.with_(
 
 @query(ROUGE)
 def eval_rouge2(spark, d):
-    texts = evaluate.event_summaries(S.facts(spark, d), S.judged_requests(spark, d))
+    texts = cut_lineage(
+        evaluate.event_summaries(S.facts(spark, d), S.judged_requests(spark, d)), "summaries"
+    )
     return evaluate.rouge2(
         texts.select("run_id", "event_id", F.col("summary_text").alias("text")),
         S.reference_texts(spark, d),
