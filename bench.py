@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from daydigest.session import build_session
@@ -15,13 +16,9 @@ from suite.queries import QUERIES
 
 HEADLINE = [
     "rank_bm25",
-    "rank_dph",
-    "rank_dirichlet_lm",
     "rank_rerank_colbert",
     "rank_rerank_t5",
-    "run_digest",
     "rerank_maxsim",
-    "eval_rouge2",
     "agg_collection_stats",
     "agg_describe",
     "join_profile_chain",
@@ -49,6 +46,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     result = {
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),

@@ -22,19 +22,24 @@ PairScorer = Callable[[pd.Series, pd.Series], pd.Series]
 
 
 def overlap_score(query: Column, text: Column) -> Column:
-    """Share of the query's terms found in the text plus the share of the text they fill."""
+    """Share of the query's distinct terms found in the text plus the share of the text's
+    distinct terms they make up."""
 
     def score(wanted: Column, present: Column) -> Column:
-        coverage = F.try_divide(F.size(F.array_intersect(wanted, present)), F.size(wanted))
-        matching = F.size(F.filter(present, lambda term: F.array_contains(wanted, term)))
-        filled = F.try_divide(matching, F.size(present))
-        return F.coalesce(coverage, F.lit(0.0)) + F.coalesce(filled, F.lit(0.0))
+        return T.bound(
+            F.size(F.array_intersect(wanted, present)).cast("double"),
+            lambda shared: F.coalesce(F.try_divide(shared, F.size(wanted)), F.lit(0.0))
+            + F.coalesce(F.try_divide(shared, F.size(present)), F.lit(0.0)),
+        )
 
     total = T.bound(
         F.array_distinct(T.tokens(query)),
-        lambda wanted: T.bound(T.tokens(text), lambda present: score(wanted, present)),
+        lambda wanted: T.bound(
+            F.array_distinct(T.tokens(text)), lambda present: score(wanted, present)
+        ),
     )
-    return F.round(F.coalesce(total, F.lit(0.0)), SCORE_DIGITS)
+    # never null: a null check would make Spark score each candidate twice
+    return F.coalesce(F.round(total, SCORE_DIGITS), F.lit(0.0))
 
 
 def with_overlap_score(candidates: DataFrame, text: str = "text") -> DataFrame:

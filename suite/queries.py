@@ -807,10 +807,10 @@ def overlap_model() -> rerank.PairScorer:
     def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
         out = []
         for asked, text in zip(queries, texts):
-            wanted, present = set(listed(asked)), listed(text)
-            coverage = len(wanted & set(present)) / len(wanted) if wanted else 0.0
-            filled = sum(w in wanted for w in present) / len(present) if present else 0.0
-            out.append(round(coverage + filled, 6))
+            wanted, present = set(listed(asked)), set(listed(text))
+            shared = len(wanted & present)
+            parts = [shared / len(side) for side in (wanted, present) if side]
+            out.append(round(sum(parts), 6))
         return pd.Series(out)
 
     return score

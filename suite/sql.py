@@ -176,12 +176,10 @@ scored AS (SELECT event_id, date, q_id, docno, round(sum({FORMULAS[model]}), 6)
 
 
 def overlap(query: str, text: str) -> str:
-    """Coverage of the query plus share of the text, over term lists."""
-    return f"""round(
-    coalesce(len(list_filter(list_distinct({query}), lambda t: list_contains({text}, t)))
-      / nullif(len(list_distinct({query})), 0), 0.0)
-    + coalesce(len(list_filter({text}, lambda t: list_contains({query}, t)))
-      / nullif(len({text}), 0), 0.0), 6)"""
+    """Coverage of the query plus share of the text, over distinct terms."""
+    q, t = f"list_distinct({query})", f"list_distinct({text})"
+    return f"""round(coalesce(len(list_intersect({q}, {t})) / nullif(len({q}), 0), 0.0)
+    + coalesce(len(list_intersect({q}, {t})) / nullif(len({t}), 0), 0.0), 6)"""
 
 
 def reranked(path: str = "COLBERT", model: str = "BM25", depth: int = 5) -> str:
