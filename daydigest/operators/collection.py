@@ -35,7 +35,8 @@ def raw_terms(steps: tuple[str, ...], stop_words=T.STOP_WORDS, text: str = "text
 def documents_with_terms(corpus: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame:
     """(KEY, terms, dl), dl being the number of terms of the document."""
     docs = corpus.select(*KEY, raw_terms(steps, stop_words).alias("terms"))
-    return docs.withColumn("dl", F.size("terms").cast("long"))
+    length = F.coalesce(F.array_size("terms"), F.lit(0))
+    return docs.withColumn("dl", length.cast("long"))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:

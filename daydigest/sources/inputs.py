@@ -121,7 +121,8 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 def read_judged_requests(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Keys of JSON objects, one object per file or, with ``whole_file=False``, per line."""
     objects = spark.read.option("wholetext", whole_file).text(path)
-    keys = objects.select(F.explode(F.json_object_keys("value")).alias("request_id"))
+    entries = F.from_json("value", "map<string,string>")
+    keys = objects.select(F.explode(F.map_keys(entries)).alias("request_id"))
     return keys.distinct()
 
 
