@@ -59,7 +59,9 @@ def with_model_score(
 
     schema = StructType(candidates.schema.fields + [StructField("rerank_score", DoubleType())])
     scored = candidates.mapInPandas(score_batches, schema)
-    return scored.withColumn("rerank_score", F.nanvl("rerank_score", F.lit(None)))
+    return scored.withColumn(
+        "rerank_score", F.round(F.nanvl("rerank_score", F.lit(None)), SCORE_DIGITS)
+    )
 
 
 def join_scores(candidates: DataFrame, scores: DataFrame, key: list[str]) -> DataFrame:

@@ -59,7 +59,7 @@ def read_calendar(
     The event id is taken from the file path. ``posexplode`` keeps the order of the
     array, which the ``days`` cut refers to. ``events`` is a comma-separated list.
     """
-    lists = spark.read.option("wholetext", True).text(path)
+    lists = spark.read.text(path, wholetext=True)
     records = lists.select(
         F.regexp_extract(F.col("_metadata.file_path"), event_in_path, 1).alias("event_id"),
         F.posexplode(F.from_json("value", schemas.DAY_RECORDS)).alias("day_pos", "record"),
@@ -120,7 +120,7 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_judged_requests(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Keys of JSON objects, one object per file or, with ``whole_file=False``, per line."""
-    objects = spark.read.option("wholetext", whole_file).text(path)
+    objects = spark.read.text(path, wholetext=whole_file)
     entries = F.from_json("value", "map<string,string>")
     keys = objects.select(F.explode(F.map_keys(entries)).alias("request_id"))
     return keys.distinct()

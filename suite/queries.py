@@ -810,7 +810,7 @@ def overlap_model() -> rerank.PairScorer:
             wanted, present = set(listed(asked)), set(listed(text))
             shared = len(wanted & present)
             parts = [shared / len(side) for side in (wanted, present) if side]
-            out.append(round(sum(parts), 6))
+            out.append(sum(parts))
         return pd.Series(out)
 
     return score

@@ -15,7 +15,7 @@ from daydigest.sources import inputs, results
 def test_calendar_files(spark, tmp_path):
     for event in ("001", "002"):
         days = [{"eventID": event, "requestID": f"X-{event}-r{i}", "dateString": f"2020-01-0{9 - i}"} for i in (1, 2, 3)]
-        (tmp_path / f"X-{event}.requests.json").write_text(json.dumps(days))
+        (tmp_path / f"X-{event}.requests.json").write_text(json.dumps(days, indent=1))
     calendar = inputs.read_calendar(spark, f"{tmp_path}/*.json", "002", 2)
     rows = sorted((r.event_id, r.day_pos, str(r.date), r.request_id) for r in calendar.collect())
     assert rows == [("002", 0, "2020-01-08", "X-002-r1"), ("002", 1, "2020-01-07", "X-002-r2")]
