@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ SETTINGS = {
 }
 
 
+def ship(package: str) -> None:
+    """Send functions of ``package`` to Python workers by value, so that executors need no
+    copy of it on their path."""
+    cloudpickle.register_pickle_by_value(sys.modules[package])
+
+
+ship("daydigest")
+
+
 def build_session(app: str = "daydigest", master: str | None = None, **settings: str) -> SparkSession:
     """A session with UTC times and adaptive execution; extra settings win."""
     builder = SparkSession.builder.appName(app)

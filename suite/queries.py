@@ -25,12 +25,14 @@ from daydigest.operators import (
     vectors,
 )
 from daydigest.plans import rank_rerank
-from daydigest.session import cut_lineage, work_path
+from daydigest.session import cut_lineage, ship, work_path
 from daydigest.sinks import writers
 from daydigest.sources import inputs, results
 from suite import sql as Q
 from suite import tables as S
 
+ship("suite")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
