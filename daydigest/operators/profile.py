@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from daydigest.session import small_side
+from daydigest.session import cut_lineage, small_side
 
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 RANGES = 200
@@ -89,6 +89,7 @@ def _quartiles(values: DataFrame, n_columns: int) -> DataFrame:
     ranged = counted.join(small_side(cuts, n_columns, 16 * RANGES), "column_name").withColumn(
         "range", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
     )
+    ranged = cut_lineage(ranged.drop("cuts"), "ranges")
     per_range = ranged.groupBy("column_name", "range", "total").agg(F.sum("n").alias("n_range"))
     before = Window.partitionBy("column_name").orderBy("range")
     per_range = per_range.withColumn(

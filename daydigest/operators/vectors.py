@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daydigest.session import cut_lineage
+
 BLOCK = 256
 
 
@@ -43,28 +45,28 @@ def unit_rows(values, rows: int) -> np.ndarray:
 def block_maxima(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per pair of blocks, the best cosine of each left token among the right ones."""
     for batch in batches:
-        parts = []
+        best = []
         for row in batch.itertuples(index=False):
             left = unit_rows(row.left_values, len(row.left_pos))
             right = unit_rows(row.right_values, len(row.right_pos))
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "left": row.left,
-                        "right": row.right,
-                        "pos": row.left_pos,
-                        "best": (left @ right.T).max(axis=1),
-                    }
-                )
+            best.append((left @ right.T).max(axis=1))
+        if best:
+            counts = [len(b) for b in best]
+            yield pd.DataFrame(
+                {
+                    "left": batch["left"].repeat(counts).to_numpy(),
+                    "right": batch["right"].repeat(counts).to_numpy(),
+                    "pos": np.concatenate(batch["left_pos"].to_list()),
+                    "best": np.concatenate(best),
+                }
             )
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
 
 
 def best_matches(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(left, right, pos, best): for each pair of owners and each left token, the highest
     cosine with any right token. Token tables have columns owner, pos, vector."""
-    left_blocks, right_blocks = packed(left, "left", "left"), packed(right, "right", "right")
+    left_blocks = cut_lineage(packed(left, "left", "left"), "blocks")
+    right_blocks = cut_lineage(packed(right, "right", "right"), "blocks")
     block_pairs = (
         pairs.select("left", "right")
         .join(left_blocks.select("left", "left_block"), "left")
