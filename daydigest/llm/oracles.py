@@ -56,3 +56,19 @@ SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(loss)::BIGINT
     sha256(loss) AS loss_sha256, formatted_chars
 FROM conv
 """
+
+TOP_K = """
+WITH v AS (
+    SELECT row_number() OVER () AS row_id, vec_id,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT::DOUBLE) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, q.row_id AS q, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.row_id <> c.row_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+WHERE rank <= 5
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daydigest.llm import chat, decontamination, mixing, oracles, sharding
+from daydigest.llm import chat, decontamination, language_id, mixing, oracles, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark, d):
+    return language_id.identify(table(spark, d, "documents"))
+
+
 def op5_benchmark_decontamination(spark, d):
     return decontamination.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -28,6 +32,10 @@ def op7_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents"))
 
 
+def op9_exact_topk(spark, d):
+    return topk.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_chat_formatting(spark, d):
     stored = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -42,9 +50,10 @@ def op10_chat_formatting(spark, d):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op5_benchmark_decontamination, op6_sharding, op7_mixing, op10_chat_formatting)
+    for f in (op1_language_id, op5_benchmark_decontamination, op6_sharding, op7_mixing, op9_exact_topk, op10_chat_formatting)
 }
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
+    "op9_exact_topk": oracles.TOP_K,
     "op10_chat_formatting": oracles.CHAT,
 }
