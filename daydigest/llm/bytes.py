@@ -73,30 +73,35 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
         row = end
 
 
-def words_of(flat: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
-    """(hash, row) of each word of the texts, lower-cased in ASCII, in order. A word is a run of
-    bytes that ``separator`` does not mark, and never reaches over the end of a text."""
+def word_spans(flat: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
+    """(start, end, row) of each word of the texts, in order. A word is a run of bytes that
+    ``separator`` does not mark, and never reaches over the end of a text."""
     inside = ~separator[flat]
-    n = len(flat)
-    if not n or not inside.any():
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    heads = offsets[:-1][offsets[:-1] < n]
+    if not inside.any():
+        return (np.zeros(0, np.int64),) * 3
+    before, after = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    heads = offsets[:-1][offsets[:-1] < len(flat)]
     before[heads] = False
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
     after[heads[heads > 0] - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def span_hashes(flat: np.ndarray):
+    """A function (start, end) -> hashes of these spans of bytes, lower-cased in ASCII."""
+    n = len(flat)
     POWERS.upto(n + 1)
-    sums = np.empty(n + 1, U)
-    sums[0] = 0
+    sums = np.zeros(n + 1, U)
     np.cumsum(BYTE_VALUE[LOWER[flat]] * POWERS.up[:n], dtype=U, out=sums[1:])
-    hashes = mix64((sums[end] - sums[start]) * POWERS.down[start])
-    return hashes, np.searchsorted(offsets, start, "right") - 1
+    return lambda start, end: mix64((sums[end] - sums[start]) * POWERS.down[start])
+
+
+def words_of(flat: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
+    """(hash, row) of each word of the texts, in order."""
+    start, end, row = word_spans(flat, offsets, separator)
+    return span_hashes(flat)(start, end), row
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:

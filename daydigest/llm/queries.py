@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daydigest.llm import chat, decontamination, language_id, mixing, oracles, sharding, topk
+from daydigest.llm import chat, decontamination, language_id, mixing, oracles, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_language_id(spark, d):
     return language_id.identify(table(spark, d, "documents"))
 
 
+def op2_toxicity(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op5_benchmark_decontamination(spark, d):
     return decontamination.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_chat_formatting(spark, d):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op5_benchmark_decontamination, op6_sharding, op7_mixing, op9_exact_topk, op10_chat_formatting)
+    for f in (op1_language_id, op2_toxicity, op5_benchmark_decontamination, op6_sharding, op7_mixing, op9_exact_topk, op10_chat_formatting)
 }
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
