@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daydigest.llm import chat, decontamination, language_id, mixing, oracles, sharding, topk, toxicity
+from daydigest.llm import chat, decontamination, html_extraction, language_id, mixing, oracles, quality, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_toxicity(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op4_html_extraction(spark, d):
+    return html_extraction.extract(table(spark, d, "pages"))
+
+
 def op5_benchmark_decontamination(spark, d):
     return decontamination.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -36,6 +40,11 @@ def op7_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents"))
 
 
+def op8_quality_resampling(spark, d):
+    good = table(spark, d, "labels").filter("quality = 1")
+    return quality.resample(table(spark, d, "documents"), good)
+
+
 def op9_exact_topk(spark, d):
     return topk.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,7 +63,7 @@ def op10_chat_formatting(spark, d):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_toxicity, op5_benchmark_decontamination, op6_sharding, op7_mixing, op9_exact_topk, op10_chat_formatting)
+    for f in (op1_language_id, op2_toxicity, op4_html_extraction, op5_benchmark_decontamination, op6_sharding, op7_mixing, op8_quality_resampling, op9_exact_topk, op10_chat_formatting)
 }
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
