@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daydigest.llm import chat, decontamination, html_extraction, language_id, mixing, oracles, quality, sharding, topk, toxicity
+from daydigest.llm import chat, decontamination, html_extraction, language_id, mixing, ngram_jaccard, oracles, quality, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_toxicity(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op3_ngram_jaccard(spark, d):
+    return ngram_jaccard.jaccard_groups(table(spark, d, "documents"))
+
+
 def op4_html_extraction(spark, d):
     return html_extraction.extract(table(spark, d, "pages"))
 
@@ -63,7 +67,7 @@ def op10_chat_formatting(spark, d):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_toxicity, op4_html_extraction, op5_benchmark_decontamination, op6_sharding, op7_mixing, op8_quality_resampling, op9_exact_topk, op10_chat_formatting)
+    for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op4_html_extraction, op5_benchmark_decontamination, op6_sharding, op7_mixing, op8_quality_resampling, op9_exact_topk, op10_chat_formatting)
 }
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
