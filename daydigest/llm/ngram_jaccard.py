@@ -270,7 +270,7 @@ def rare_pairs(rare: DataFrame) -> DataFrame:
     # the shared shingle and those behind it in the smaller of both rests
     most = F.least(n - F.col("l_place"), m - F.col("r_place"))
     met = left.join(
-        right,
+        right.hint("merge"),
         (F.col("l_key") == F.col("r_key"))
         & (F.col("l_group") != F.col("r_group"))
         & smaller
