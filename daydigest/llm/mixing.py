@@ -80,11 +80,12 @@ def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int)
     ).select(counts["source"], "rows", "units")
     slots = schedule(shares.select("source", "units"), period)
     blocks = F.expr(f"(rows + {block_rows - 1}) div {block_rows}")
-    last = shares.withColumn("_last", blocks - 1)
-    final = last.join(
+    # a source has run out at the slot of the first block that it no longer has
+    none = shares.withColumn("_blocks", blocks)
+    final = none.join(
         slots.select(F.col("source").alias("_s"), "slot", "turn"),
-        F.col("source").eqNullSafe(F.col("_s")) & (F.col("turn") == F.col("_last") % F.col("units")),
-    ).withColumn("_end", F.expr(f"(_last div units) * {period}L + slot + 1"))
+        F.col("source").eqNullSafe(F.col("_s")) & (F.col("turn") == F.col("_blocks") % F.col("units")),
+    ).withColumn("_end", F.expr(f"(_blocks div units) * {period}L + slot"))
     # the mixture ends when the sources that have run out hold at least half of the weight
     by_end = Window.partitionBy(F.lit(0)).orderBy("_end").rangeBetween(Window.unboundedPreceding, 0)
     over = final.withColumn("_gone", F.sum("units").over(by_end))
