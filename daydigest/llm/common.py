@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daydigest.session import BROADCAST_BYTES
 
 # Rows of a group that one task numbers on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 # Copies of one row that one task writes out.
 COPY_BLOCK = 65_536
 

@@ -100,7 +100,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         )
         met = rows.join(F.broadcast(test.union(whole)), same).select(*kept)
     else:
-        hits = rows.filter("at >= 0").join(test, same).select(*kept)
+        # a shuffled window takes its own words along, not those of the document
+        longest = F.slice("words", F.greatest("at", F.lit(0)) + 1, max(lengths))
+        moved = rows.filter("at >= 0 AND key IS NOT NULL").select(
+            "doc_id", "digest", F.size("words").alias("n_words"), "at", "key", longest.alias("own")
+        )
+        own = (F.col("key") == F.col("test_key")) & (F.slice("own", 1, F.col("length")) == F.col("gram"))
+        hits = moved.join(test, own).select("doc_id", "digest", "n_words", "at", "length", "item_id")
         whole = rows.filter("at < 0").select(
             "doc_id",
             "digest",

@@ -244,9 +244,10 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> np.ndarray:
                     x = describe(blocks)
                     yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(list(x))], names=["y", "x"])
 
-    rows = some.select("html").mapInArrow(examples, "y int, x array<double>").orderBy("y", "x").collect()
+    rows = some.select("html").mapInArrow(examples, "y int, x array<double>").collect()
     if not rows:
         return PRIOR_WEIGHTS
+    rows.sort()  # one order, so that the fit is the same every time
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
     bare = x.copy()
     bare[:, REGION] = 0.0

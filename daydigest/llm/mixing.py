@@ -9,6 +9,8 @@ from daydigest.llm.common import dense_positions
 
 # Slots of the schedule after which it repeats; weights are multiples of one slot.
 PERIOD = 1000
+# Sources that a mixture can have: the schedule's cost grows with their square.
+MOST_SOURCES = 5000
 # Rows of a block, the unit that is scheduled.
 BLOCK_ROWS = 50
 
@@ -18,7 +20,7 @@ def target_units(counts: DataFrame, period: int = PERIOD) -> DataFrame:
 
     The target weight is a source's row count to the power 3/4, so that large sources give
     way to small ones. Counts are rounded to whole units by largest remainder (ties: name).
-    ``counts`` (source, rows) has a row for each source, no more than half of ``period``.
+    ``counts`` (source, rows) has a row for each source, fewer than ``period``.
     """
     one = Window.partitionBy(F.lit(0))
     size = (F.sqrt("rows") * F.sqrt(F.sqrt("rows")) * 1000).cast("long")
@@ -69,12 +71,17 @@ def source_counts(docs: DataFrame, source: str = "source") -> DataFrame:
 
 
 def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int):
-    """The schedule of one period, and for each source its units and how many of its first
-    rows the mixture takes (``quota``); both are tables of bounded size."""
+    """The period, its schedule, and for each source its units and how many of its first rows the
+    mixture takes (``quota``); both tables are of bounded size. Without given ``units`` the period
+    grows to four slots for each source."""
     counts = source_counts(docs)
-    n = counts.count()
-    if 2 * n > period:
-        raise ValueError(f"{n} sources need a period of at least {2 * n} slots")
+    n = counts.limit(MOST_SOURCES + 1).count()
+    if n > MOST_SOURCES:
+        raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
+    if units is None:
+        period = max(period, 4 * n)
+    elif units.agg(F.sum("units")).first()[0] != period:
+        raise ValueError(f"the units of all sources are {period} together")
     shares = target_units(counts, period) if units is None else units.join(
         counts, units["source"].eqNullSafe(counts["source"])
     ).select(counts["source"], "rows", "units")
@@ -99,7 +106,7 @@ def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int)
         "_s", "rows", "units", "_horizon"
     ).agg(F.count_if(F.col("slot") < F.col("_horizon") % period).alias("_part"))
     quota = F.least(F.col("rows"), (full + F.col("_part")) * block_rows)
-    return slots, counted.select(F.col("_s").alias("source"), "units", quota.alias("quota"))
+    return period, slots, counted.select(F.col("_s").alias("source"), "units", quota.alias("quota"))
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -119,10 +126,10 @@ def mix(
     away from its weight after every slot. A source that has run out leaves its slots empty;
     ``in_mix`` is true up to the slot at which sources of half the weight have run out, which
     is where the target can no longer be held. ``units`` (source, units; ``period`` in all)
-    gives other weights than ``target_units``. A null source is a source, a null text is a text;
+    gives other weights than ``target_units``; sources without units are left out. A null source is a source, a null text is a text;
     repeated rows have places of their own; an empty table gives no rows.
     """
-    slots, quotas = plan(docs, units, period, block_rows)
+    period, slots, quotas = plan(docs, units, period, block_rows)
     placed = positions(docs).withColumn("block", F.expr(f"place div {block_rows}"))
     run = slots.join(
         quotas.select(F.col("source").alias("_s"), "quota"), F.col("source").eqNullSafe(F.col("_s"))
@@ -156,7 +163,7 @@ def mixed_documents(
     these ends is as small as that of the sources, and no text is shuffled. Copies of that last
     row stay together. A column is never added or changed.
     """
-    _, quotas = plan(docs, units, period, block_rows)
+    _, _, quotas = plan(docs, units, period, block_rows)
     want = quotas.filter("quota > 0").select(F.col("source").alias("_s"), "quota")
     spot = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text")), 33)
     order = [spot, F.col("doc_id"), F.xxhash64("text")]

@@ -111,7 +111,7 @@ def fit(grades: np.ndarray, rows: np.ndarray, columns: np.ndarray, size: int) ->
 
 
 def training_rows(docs: DataFrame, graded: DataFrame, most: int) -> DataFrame:
-    """(grade, text) of at most ``most`` graded documents, the first by hash of the id. ``graded``
+    """(id: hash of the text, grade, text) of at most ``most`` graded documents, the first by hash of the id. ``graded``
     has doc_id and grade; null ids and grades take no part. Repeated texts count once."""
     order = F.xxhash64("doc_id")
     rows = graded.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("grade"))
@@ -119,7 +119,7 @@ def training_rows(docs: DataFrame, graded: DataFrame, most: int) -> DataFrame:
     # at most ``most`` rows of two numbers
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''")
     met = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("doc_id", "grade", "text")
-    return met.groupBy(F.xxhash64("text").alias("_text")).agg(
+    return met.groupBy(F.xxhash64("text").alias("id")).agg(
         F.max("grade").alias("grade"), F.min_by("text", order).alias("text")
     )
 
@@ -131,7 +131,7 @@ def train(docs: DataFrame, graded: DataFrame, most: int = TRAIN_ROWS) -> Model:
     the driver, and of the texts only which of these they hold. Without graded texts, or with
     one grade alone, no text is above grade 0.
     """
-    sample = cut_lineage(training_rows(docs, graded, most).select("grade", "text"), "graded")
+    sample = cut_lineage(training_rows(docs, graded, most), "graded")
     facts = sample.agg(
         F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean"), F.var_pop("grade").alias("var"), F.max("grade").alias("top")
     ).first()
@@ -173,9 +173,12 @@ def train(docs: DataFrame, graded: DataFrame, most: int = TRAIN_ROWS) -> Model:
                 n = len(offsets) - 1
                 ends = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.searchsorted(chosen, feature).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch["grade"].slice(row, n), lists], names=["grade", "held"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"].slice(row, n), batch["grade"].slice(row, n), lists], names=["id", "grade", "held"]
+                )
 
-    held = sample.mapInArrow(hold, "grade int, held array<int>").orderBy("grade", "held").toArrow()
+    # of at most ``most`` rows; in one order, so that the fit is the same every time
+    held = sample.mapInArrow(hold, "id long, grade int, held array<int>").toArrow().sort_by("id")
     grades = held["grade"].to_numpy().astype(np.int64)
     lists = held["held"].combine_chunks()
     columns = lists.flatten().to_numpy().astype(np.int64)
