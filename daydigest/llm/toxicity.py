@@ -132,32 +132,38 @@ def train(docs: DataFrame, graded: DataFrame, most: int = TRAIN_ROWS) -> Model:
     one grade alone, no text is above grade 0.
     """
     sample = cut_lineage(training_rows(docs, graded, most), "graded")
-    facts = sample.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean"), F.var_pop("grade").alias("var"), F.max("grade").alias("top")
-    ).first()
+    by_grade = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     nothing = Model(np.zeros(1 << BITS), np.full(1, 60.0))
-    if not facts["n"] or not facts["var"]:
+    if len(by_grade) < 2:
         return nothing
+    # the part of the sample above each threshold that divides it
+    every = sum(by_grade.values())
+    share = {k: sum(n for g, n in by_grade.items() if g > k) / every for k in range(max(by_grade))}
+    share = {k: x for k, x in share.items() if 0 < x < 1}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, sums = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        have = np.zeros(1 << BITS, np.int64)
+        above = {k: np.zeros(1 << BITS, np.int64) for k in share}
         for batch in batches:
             grade = batch["grade"].to_numpy()
             for row, flat, offsets in text_chunks(batch["text"]):
                 of, feature = present(flat, offsets)
                 have += np.bincount(feature, minlength=1 << BITS)
-                sums += np.bincount(feature, grade[row + of], minlength=1 << BITS).astype(np.int64)
+                for k, counts in above.items():
+                    counts += np.bincount(feature[grade[row + of] > k], minlength=1 << BITS)
         at = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(have[at]), pa.array(sums[at])], names=["feature", "n", "total"]
-        )
+        for k, counts in above.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), share[k])), pa.array(have[at]), pa.array(counts[at])],
+                names=["feature", "share", "n", "above"],
+            )
 
-    counted = sample.mapInArrow(count, "feature int, n long, total long").groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total")
-    )
-    spread = F.greatest(F.col("n") * F.lit(facts["var"]), F.lit(1e-12))
-    link = F.abs(F.col("total") - F.col("n") * F.lit(facts["mean"])) / F.sqrt(spread)
-    linked = counted.filter(f"n >= {LEAST_DOCUMENTS}").withColumn("link", link).filter(f"link >= {LEAST_LINK}")
+    counted = sample.mapInArrow(count, "feature int, share double, n long, above long")
+    counted = counted.groupBy("feature", "share").agg(F.sum("n").alias("n"), F.sum("above").alias("above"))
+    spread = F.col("n") * F.col("share") * (1 - F.col("share"))
+    link = F.abs(F.col("above") - F.col("n") * F.col("share")) / F.sqrt(spread)
+    linked = counted.filter(f"n >= {LEAST_DOCUMENTS}").groupBy("feature").agg(F.max(link).alias("link"))
+    linked = linked.filter(f"link >= {LEAST_LINK}")
     chosen = np.array(
         sorted(r["feature"] for r in linked.orderBy(F.desc("link"), "feature").limit(MOST_FEATURES).collect()), np.int64
     )
