@@ -21,7 +21,7 @@ def op1_language_id(spark, d):
 
 
 def op2_toxicity(spark, d):
-    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+    return toxicity.toxicity(table(spark, d, "documents"), toxicity.severity_grades(table(spark, d, "labels")))
 
 
 def op3_ngram_jaccard(spark, d):

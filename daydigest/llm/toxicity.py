@@ -23,36 +23,41 @@ TRAIN_ROWS = 16_000
 # Hashed features are words and beginnings of words.
 BITS = 20
 BEGINNINGS = (4, 5, 6)
+LENGTH = 0
 # Features that enter the model: those whose link with the grade is beyond chance, the
 # strongest first.
 MOST_FEATURES = 4096
-LEAST_DOCUMENTS = 8
-LEAST_LINK = 5.0
+LEAST_DOCUMENTS = 3
+LEAST_LINK = 4.5
 PENALTY = 2e-5
 STEPS = 400
 
 
-def features(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every word and beginning of a word; repeats are in it."""
+def features(flat: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None):
+    """(row, feature, value): the distinct words and beginnings of words of each text, with the
+    logarithm of how often they occur. Feature ``LENGTH`` is that of the text's words. With
+    ``wanted`` (a mask) only those features."""
     start, end, row = word_spans(flat, offsets, NOT_ALNUM)
     hashes = span_hashes(flat)
     shift = np.uint64(64 - BITS)
-    rows, found = [row], [hashes(start, end) >> shift]
+    keys = [(row << BITS) | (hashes(start, end) >> shift).astype(np.int64)]
     for n in BEGINNINGS:
         long = end - start >= n
-        rows.append(row[long])
-        found.append((hashes(start[long], start[long] + n) * np.uint64(2 * n + 1)) >> shift)
-    return np.concatenate(rows), np.concatenate(found).astype(np.int64)
-
-
-def present(flat: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None):
-    """Distinct (row, feature); of ``wanted`` features (a mask) only, if given."""
-    row, feature = features(flat, offsets)
+        begun = hashes(start[long], start[long] + n) * np.uint64(2 * n + 1)
+        keys.append((row[long] << BITS) | (begun >> shift).astype(np.int64))
+    both = np.concatenate(keys)
+    low = (1 << BITS) - 1
     if wanted is not None:
-        kept = wanted[feature]
-        row, feature = row[kept], feature[kept]
-    both = np.unique((row << BITS) | feature)
-    return both >> BITS, both & ((1 << BITS) - 1)
+        both = both[wanted[both & low]]
+    both = both[(both & low) != LENGTH]
+    both, n = np.unique(both, return_counts=True)
+    rows = len(offsets) - 1
+    size = np.log2(1.0 + np.bincount(row, minlength=rows)) - 8.0
+    return (
+        np.concatenate([np.arange(rows), both >> BITS]),
+        np.concatenate([np.full(rows, LENGTH), both & low]),
+        np.concatenate([size, np.log2(1.0 + n)]),
+    )
 
 
 @dataclass
@@ -67,14 +72,17 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
     def scores(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        row, feature = present(flat, offsets, self.weights != 0)
-        return np.bincount(row, self.weights[feature], minlength=len(offsets) - 1)
+        row, feature, value = features(flat, offsets, self.weights != 0)
+        return np.bincount(row, self.weights[feature] * value, minlength=len(offsets) - 1)
 
 
-def fit(grades: np.ndarray, rows: np.ndarray, columns: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(
+    grades: np.ndarray, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least penalised loss for documents with ``grades`` (0 to K - 1)
-    that hold feature ``columns[i]`` in document ``rows[i]``. Full passes with adaptive steps; the
-    thresholds stay ordered as they are one threshold plus positive gaps."""
+    where feature ``columns[i]`` of document ``rows[i]`` has ``values[i]``. Full passes with adaptive steps; the
+    thresholds stay ordered as they are one threshold plus positive gaps. The weight of column 0, the
+    length, is never positive: more text alone is no sign, and lengths beyond those seen occur."""
     n, top = len(grades), int(grades.max())
     share = np.array([(grades > k).mean() for k in range(top)])
     weights = np.zeros(size)
@@ -86,7 +94,7 @@ def fit(grades: np.ndarray, rows: np.ndarray, columns: np.ndarray, size: int) ->
     for step in range(1, STEPS + 1):
         weights, lead, gaps = free[:size], free[size], np.exp(free[size + 1 :])
         cuts = lead + np.concatenate([[0.0], np.cumsum(gaps)])
-        f = np.bincount(rows, weights[columns], minlength=n)
+        f = np.bincount(rows, weights[columns] * values, minlength=n)
         # P(grade > k) with the certain ends on both sides
         above = np.ones((n, top + 2))
         above[:, 1:-1] = 1.0 / (1.0 + np.exp(np.clip(cuts[None, :] - f[:, None], -60, 60)))
@@ -99,13 +107,14 @@ def fit(grades: np.ndarray, rows: np.ndarray, columns: np.ndarray, size: int) ->
         by_cut[who, grades + 1] -= slope[who, grades + 1] * inverse
         cut_gradient = by_cut[:, 1:-1].sum(axis=0)
         gradient = np.empty_like(free)
-        gradient[:size] = np.bincount(columns, -by_cut.sum(axis=1)[rows], minlength=size) + PENALTY * weights
+        gradient[:size] = np.bincount(columns, -by_cut.sum(axis=1)[rows] * values, minlength=size) + PENALTY * weights
         gradient[size] = cut_gradient.sum()
         gradient[size + 1 :] = gaps * cut_gradient[::-1].cumsum()[::-1][1:]
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         size_of_step = 0.15 * (1 - (step - 1) / STEPS)
-        free = free - size_of_step * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        free -= size_of_step * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        free[0] = min(free[0], 0.0)
     gaps = np.exp(free[size + 1 :])
     return free[:size], free[size] + np.concatenate([[0.0], np.cumsum(gaps)])
 
@@ -147,7 +156,7 @@ def train(docs: DataFrame, graded: DataFrame, most: int = TRAIN_ROWS) -> Model:
         for batch in batches:
             grade = batch["grade"].to_numpy()
             for row, flat, offsets in text_chunks(batch["text"]):
-                of, feature = present(flat, offsets)
+                of, feature, _ = features(flat, offsets)
                 have += np.bincount(feature, minlength=1 << BITS)
                 for k, counts in above.items():
                     counts += np.bincount(feature[grade[row + of] > k], minlength=1 << BITS)
@@ -164,32 +173,35 @@ def train(docs: DataFrame, graded: DataFrame, most: int = TRAIN_ROWS) -> Model:
     link = F.abs(F.col("above") - F.col("n") * F.col("share")) / F.sqrt(spread)
     linked = counted.filter(f"n >= {LEAST_DOCUMENTS}").groupBy("feature").agg(F.max(link).alias("link"))
     linked = linked.filter(f"link >= {LEAST_LINK}")
-    chosen = np.array(
-        sorted(r["feature"] for r in linked.orderBy(F.desc("link"), "feature").limit(MOST_FEATURES).collect()), np.int64
-    )
-    if not len(chosen):
+    strongest = linked.orderBy(F.desc("link"), "feature").limit(MOST_FEATURES).collect()
+    if not strongest:
         return nothing
+    chosen = np.array(sorted({LENGTH, *[r["feature"] for r in strongest]}), np.int64)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(1 << BITS, bool)
         wanted[chosen] = True
         for batch in batches:
             for row, flat, offsets in text_chunks(batch["text"]):
-                of, feature = present(flat, offsets, wanted)
+                of, feature, value = features(flat, offsets, wanted)
+                order = np.argsort(of, kind="stable")
                 n = len(offsets) - 1
-                ends = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, np.searchsorted(chosen, feature).astype(np.int32))
+                ends = np.searchsorted(of[order], np.arange(n + 1)).astype(np.int32)
+                held = pa.ListArray.from_arrays(ends, np.searchsorted(chosen, feature[order]).astype(np.int32))
+                values = pa.ListArray.from_arrays(ends, value[order])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(row, n), batch["grade"].slice(row, n), lists], names=["id", "grade", "held"]
+                    [batch["id"].slice(row, n), batch["grade"].slice(row, n), held, values],
+                    names=["id", "grade", "held", "value"],
                 )
 
     # of at most ``most`` rows; in one order, so that the fit is the same every time
-    held = sample.mapInArrow(hold, "id long, grade int, held array<int>").toArrow().sort_by("id")
+    held = sample.mapInArrow(hold, "id long, grade int, held array<int>, value array<double>").toArrow().sort_by("id")
     grades = held["grade"].to_numpy().astype(np.int64)
     lists = held["held"].combine_chunks()
     columns = lists.flatten().to_numpy().astype(np.int64)
     rows = np.repeat(np.arange(len(grades)), np.diff(lists.offsets.to_numpy()))
-    weights, thresholds = fit(grades, rows, columns, len(chosen))
+    values = held["value"].combine_chunks().flatten().to_numpy()
+    weights, thresholds = fit(grades, rows, columns, values, len(chosen))
     whole = np.zeros(1 << BITS)
     whole[chosen] = weights
     return Model(whole, thresholds)
@@ -225,19 +237,19 @@ def rate(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """Grades of the labels: 0 not toxic, 1 toxic, 2 toxic and of bad quality."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    return labels.select("doc_id", grade.alias("grade"))
+    """Grades of the given labels, which know two: 0 not toxic, 1 toxic. (Their quality is no
+    degree of toxicity: as a third grade it made the fit worse.)"""
+    return labels.select("doc_id", F.when(F.col("toxic").isin(0, 1), F.col("toxic")).alias("grade"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, severity, toxic for each document. Repeated rows give equal rows, an empty table
+def toxicity(docs: DataFrame, graded: DataFrame) -> DataFrame:
+    """doc_id, severity, toxic for each document, learned from ``graded`` (doc_id, grade). Repeated rows give equal rows, an empty table
     none; other columns are ignored."""
-    return rate(docs, train(docs, severity_grades(labels)), ["doc_id"])
+    return rate(docs, train(docs, graded), ["doc_id"])
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def without_toxic(docs: DataFrame, graded: DataFrame) -> DataFrame:
     """``docs`` without the documents rated toxic; columns and other rows as they are."""
     columns = docs.columns
-    rated = rate(docs, train(docs, severity_grades(labels)), columns)
+    rated = rate(docs, train(docs, graded), columns)
     return rated.toDF(*columns, "_severity", "_toxic").filter(~F.col("_toxic")).select(*columns)

@@ -26,14 +26,14 @@ def labelled(i):
 
 
 def labels(grades):
-    return [(i, 0 if g == 2 else 1, int(g > 0)) for i, g in enumerate(grades) if labelled(i)]
+    return [(i, g, None) for i, g in enumerate(grades) if labelled(i)]
 
 
 def test_gradients_find_ordered_thresholds():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 3, 600)
     rows, columns = np.arange(600), grades
-    weights, thresholds = T.fit(grades, rows, columns, 3)
+    weights, thresholds = T.fit(grades, rows, columns, np.ones(600), 3)
     assert thresholds[0] < thresholds[1]
     assert weights[0] < weights[1] < weights[2]
     above = T.Model(np.zeros(0), thresholds).above(weights[grades])
@@ -44,7 +44,7 @@ def test_gradients_find_ordered_thresholds():
 def test_held_out_severity_follows_the_grade(spark):
     docs, grades = sample()
     out = {r["doc_id"]: r for r in T.toxicity(
-        spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels(grades), "doc_id long, quality int, toxic int")
+        spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels(grades), "doc_id long, grade int, text string")
     ).collect()}
     assert len(out) == len(docs)
     odd = [i for i in out if not labelled(i)]
@@ -58,8 +58,8 @@ def test_hard_rows_and_filter(spark):
     docs, grades = sample()
     docs += [(None, None, None, None, None, None), (5000, "", "en", 1, "x", 1), (5001, text(1, 0, 50_000), "en", 1, "x", 1)]
     docs += [(5002, text(3, 2), "en", 1, "x", 1)] * 2 + [(None, text(4, 0), "en", 1, "x", 1)]
-    given = labels(grades) + [(None, 1, 1), (7, None, None), (8, 1, None), (0, 1, 0)]
-    table, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    given = labels(grades) + [(None, 1, "x"), (7, None, None), (8, -1, None), (0, 0, "y")]
+    table, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(given, "doc_id long, grade int, text string")
     out = T.toxicity(table, marks).collect()
     assert len(out) == len(docs)
     rated = [(r["doc_id"], r["severity"], r["toxic"]) for r in out]
@@ -73,6 +73,6 @@ def test_hard_rows_and_filter(spark):
 def test_without_labels_nothing_is_toxic(spark):
     docs, _ = sample(60)
     table = spark.createDataFrame(docs, DOCS)
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id long, grade int, text string")
     assert T.toxicity(table, none).filter("toxic OR severity > 0.001").count() == 0
     assert T.toxicity(table.limit(0), none).count() == 0
