@@ -5,35 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daydigest.session import cut_lineage
+from daydigest.session import BROADCAST_BYTES, cut_lineage
+
+
+# Rows of the edge table that one task of a round takes.
+EDGES_A_TASK = 50_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (x, y: long); root is the smallest node that links
     reach. Large and small stars in turn until nothing changes: each round sends every edge to the
     smallest neighbour of one of its ends, and is written, so that a lost executor costs one
-    round. A node's neighbours are never gathered, only their minimum."""
-    edges = links.select("x", "y").filter("x <> y").distinct()
-    edges = cut_lineage(edges, "edges")
-    state = None
-    while True:
+    round. A node's neighbours are never gathered, only their minimum. The rounds run in as many
+    tasks as their edges need."""
+    edges = cut_lineage(links.select("x", "y").filter("x <> y").distinct(), "edges")
+    state = measure(edges)
+    while state[0]:
+        tasks = max(8, -(-state[0] // EDGES_A_TASK))
+        # no table of a round has more rows than twice its edges
+        side = F.broadcast if 2 * state[0] * 16 <= BROADCAST_BYTES else lambda table: table
         both = edges.union(edges.select("y", "x"))
         least = both.groupBy(F.col("x").alias("u")).agg(F.least(F.min("y"), F.min("x")).alias("m"))
         # the larger neighbours of u go to the least one
-        large = both.join(least, F.col("x") == F.col("u")).filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        large = cut_lineage(large.filter("x <> y").distinct(), "edges")
+        large = both.filter("y > x").join(side(least), F.col("x") == F.col("u"))
+        large = large.select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y")
+        large = cut_lineage(large.distinct().coalesce(tasks), "edges")
         # u and its smaller neighbours go to the least of them
-        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-        lowest = down.groupBy(F.col("x").alias("u")).agg(F.min("y").alias("m"))
-        small = (
-            down.join(lowest, F.col("x") == F.col("u"))
-            .select(F.col("y").alias("x"), F.col("m").alias("y"))
-            .union(lowest.select("u", "m"))
-        )
-        edges = cut_lineage(small.filter("x <> y").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("x", "y")), F.lit(0))).first()
+        lowest = large.groupBy(F.col("x").alias("u")).agg(F.min("y").alias("m"))
+        small = large.join(side(lowest), F.col("x") == F.col("u")).select(F.col("y").alias("x"), F.col("m").alias("y"))
+        small = small.union(lowest.select("u", "m")).filter("x <> y")
+        edges = cut_lineage(small.distinct().coalesce(tasks), "edges")
+        now = measure(edges)
         if now == state:
             break
         state = now
     stars = edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def measure(edges: DataFrame) -> tuple[int, int]:
+    """Number and checksum of the edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("x", "y")), F.lit(0))).first())

@@ -28,10 +28,12 @@ PERCENT = 75
 # Shingles are counted in so many buckets; the counts only order them, from rare to frequent.
 COUNT_BITS = 20
 COUNT_SLICES = 16
-# Keys by which near copies find each other before the exact search, of two minima each.
-QUICK_KEYS = 8
+# Minima of a set under so many hashes are keys by which near copies find each other before the
+# exact search, alone and in pairs.
+MINIMA = 16
+QUICK_KEYS = MINIMA + MINIMA // 2
 U = np.uint64
-ODD = mix64(np.arange(1, 2 * QUICK_KEYS + 1, dtype=U)) | U(1)
+ODD = mix64(np.arange(1, MINIMA + 1, dtype=U)) | U(1)
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +80,8 @@ def describe_sets(h: np.ndarray, place: np.ndarray):
     if not len(at):
         return at, size, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, QUICK_KEYS), np.int64), b"", np.zeros(1, np.int64)
     digest = [np.add.reduceat(mix64(h ^ U(c)), first).view(np.int64) for c in (0x5BD1E995, 0xC2B2AE3D)]
-    least = [np.minimum.reduceat(h * m, first) for m in ODD]
-    keys = np.stack([mix64(mix64(least[2 * i] + U(i)) + least[2 * i + 1]) for i in range(QUICK_KEYS)], axis=1)
+    least = [mix64(np.minimum.reduceat(h * m, first) + U(i)) for i, m in enumerate(ODD)]
+    keys = np.stack([*least, *[mix64(least[i] + least[i + 1]) for i in range(0, MINIMA, 2)]], axis=1)
     width = signature_bits(size)
     ends = np.cumsum(width)
     shift = (64 - np.log2(width)).astype(U)
@@ -208,10 +210,16 @@ def least_overlap(n: Column, m: Column) -> Column:
 def overlap_bound(x: bytes, y: bytes, n: int, m: int) -> int:
     """No more than so many shingles can be in both sets: those whose bit the other set lacks are
     not. The wider bitmap is folded to the width of the other."""
-    p, q = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (x, y))
-    width = min(len(p), len(q))
-    p, q = (v.reshape(width, -1).any(axis=1) for v in (p, q))
-    return min(n - int((p & ~q).sum()), m - int((q & ~p).sum()))
+    width = min(len(x), len(y))
+    p, q = (folded(np.frombuffer(s, np.uint8), width).view(np.uint64) for s in (x, y))
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A packed bitmap at a smaller power of two of bytes: neighbouring bits are one."""
+    while len(bits) > width:
+        bits = np.packbits(np.unpackbits(bits).reshape(-1, 2).any(axis=1))
+    return bits
 
 
 def linked(overlap: int, n: int, m: int) -> bool:
@@ -219,8 +227,8 @@ def linked(overlap: int, n: int, m: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (x, y: digests) that are links. The bitmaps rule out most; of the rest
-    the texts are read again and the sorted shingles intersected."""
+    """Those of ``pairs`` (x, y: digests; a written table) that are links. The bitmaps rule out most;
+    of the rest the texts are read again and the sorted shingles intersected."""
 
     @F.pandas_udf("boolean")
     def may_link(xs: pd.Series, ys: pd.Series, ns: pd.Series, ms: pd.Series) -> pd.Series:
@@ -235,9 +243,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("a").alias("x"), F.col("n").alias("n"), F.col("sig").alias("s"), "low")
     other = sets.select(F.col("a").alias("y"), F.col("n").alias("m"), F.col("sig").alias("r"), F.col("low").alias("low_y"))
-    near = pairs.join(one, "x").join(other, "y").filter(may_link("s", "r", "n", "m"))
+    near = one.join(broadcast_if_small(pairs, 16), "x").join(other, "y").filter(may_link("s", "r", "n", "m"))
     near = cut_lineage(near.select("x", "y", "low", "low_y"), "near-pairs")
-    ends = near.select(F.explode(F.array("low", "low_y")).alias("row")).select("row.id", "row.t").distinct()
+    ends = near.select("low").union(near.select("low_y")).select("low.id", "low.t").distinct()
     ends = broadcast_if_small(cut_lineage(ends, "near-rows"), 32)
     some = docs.select("doc_id", "text").join(
         ends, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left_semi"
@@ -245,19 +253,22 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     # copies of one row are read once
     arrays = whole_sets(some).groupBy("a").agg(F.any_value("shingles").alias("shingles"))
     arrays = cut_lineage(arrays, "near-sets")
-    met = near.select("x", "y").join(arrays.select(F.col("a").alias("x"), F.col("shingles").alias("p")), "x")
+    ends = broadcast_if_small(near.select("x", "y"), 16)
+    met = arrays.select(F.col("a").alias("x"), F.col("shingles").alias("p")).join(ends, "x")
     met = met.join(arrays.select(F.col("a").alias("y"), F.col("shingles").alias("q")), "y")
     return met.filter(do_link("p", "q")).select("x", "y")
 
 
 def quick_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) of each set with the smallest one of every quick key it has: few pairs for any
-    group, and enough to join most near copies before the exact search."""
+    """Pairs (x, y) of each set with one set for each quick key it has, drawn by hash: few pairs for
+    any group, and with other partners for each key, so that a group of near copies becomes one
+    before the exact search."""
     keyed = sets.select("a", "n", F.explode("keys").alias("key"))
-    centre = keyed.groupBy("key").agg(F.min(F.struct("a", "n")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    drawn = F.min(F.struct(F.xxhash64("key", "a").alias("h"), "a", "n"))
+    centre = keyed.groupBy("key").agg(drawn.alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     met = keyed.join(centre, "key").filter("a <> c.a")
     close = met.filter((F.least("n", "c.n") * 100) >= F.greatest("n", "c.n") * PERCENT)
-    return close.select(F.col("c.a").alias("x"), F.col("a").alias("y")).distinct()
+    return close.select(F.least("a", "c.a").alias("x"), F.greatest("a", "c.a").alias("y")).distinct()
 
 
 def rare_pairs(rare: DataFrame) -> DataFrame:
@@ -309,7 +320,7 @@ def link_groups(docs: DataFrame) -> DataFrame:
     sets = cut_lineage(sets, "sets")
     if sets.filter("b <> other_b").limit(1).count():
         raise RuntimeError("two shingle sets share a 64-bit digest")
-    quick = cut_lineage(verified(quick_pairs(sets), sets, docs), "quick-links")
+    quick = cut_lineage(verified(cut_lineage(quick_pairs(sets), "quick-pairs"), sets, docs), "quick-links")
     groups = cut_lineage(components(quick), "quick-groups")
 
     # one row for each set: rows alone in their set as they stand, of the others the lowest row
