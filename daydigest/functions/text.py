@@ -7,20 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_TERM_LENGTH = 20
-MAX_TERM_DIGITS = 4
-MAX_EQUAL_RUN = 3
+# What an index stores of a text where it is told to crop it.
 CROPPED_TEXT_LENGTH = 200
 
-# One term: a whole run of letters and digits that is not too long, holds at most
-# four digits and repeats no character more than three times in a row.
-TERM = (
-    "(?<![a-z0-9])"
-    f"(?!(?:[a-z]*[0-9]){{{MAX_TERM_DIGITS + 1}}})"
-    f"(?![a-z0-9]*([a-z0-9])\\1{{{MAX_EQUAL_RUN}}})"
-    f"[a-z0-9]{{1,{MAX_TERM_LENGTH}}}"
-    "(?![a-z0-9])"
-)
+# One term: a run of letters and digits, whatever its length.
+TERM = "[a-z0-9]+"
 
 # Common English stop words as the tokenizer yields them.
 STOP_WORDS = tuple(
@@ -42,11 +33,6 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def plain_tokens(text: Column | str) -> Column:
-    """Every lower-case alphanumeric run, without term limits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def terms_without_stop_words(text: str, stop_words=STOP_WORDS) -> Column:
     """Terms of column ``text`` that are not stop words, in text order."""
     listed = ", ".join(f"'{word}'" for word in stop_words)
@@ -72,9 +58,9 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def cropped(text: Column | str) -> Column:
-    """The stored text of a hit, which the index keeps to 200 characters."""
-    return F.substring(text, 1, CROPPED_TEXT_LENGTH)
+def cropped(text: Column | str, chars: int = CROPPED_TEXT_LENGTH) -> Column:
+    """The first ``chars`` characters of a text, as an index stores them that is told to."""
+    return F.substring(text, 1, chars)
 
 
 # Fixed value: hashtags, links and mentions.

@@ -1,15 +1,16 @@
 """Documents, terms and statistics of collections, one per (event, day).
 
-A document is one row (event_id, date, docno, text); docno is unique in a collection
-(``read_corpus(..., unique=True)`` sees to it where it is not). Only terms that some query asks for are
-carried beyond the scan: document lengths are counted in the row, the exploded terms
-meet the query terms in a hash join, and the aggregate combines on the map side, so a
-shuffle holds one row per document and query term, never running text. These postings
-are written to the shared folder once and serve both the statistics and the scores.
+A document is one row (event_id, date, docno, text, ...); rows of equal docno are documents of their
+own. ``build_index`` reads the texts once: terms are counted in the row, so the narrow table it
+writes (one row for each document and distinct term) needs no shuffle, and vocabulary, document
+lengths, statistics and the postings of any query come from that table. Stems are made once for
+each distinct form. Every model and both orders of the term steps use the same index.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from daydigest.session import checked_small_side, cut_lineage, small_side
 
 PART = ["event_id", "date"]
 KEY = [*PART, "docno"]
+# A document of the index: its key, a number that its row got, and a hash of the row.
+DOC = [*KEY, "row_id", "row_hash"]
 
 # Order of the term steps in the two ranking paths.
 STOP_THEN_STEM = ("stop", "stem")
@@ -32,16 +35,70 @@ def raw_terms(steps: tuple[str, ...], stop_words=T.STOP_WORDS, text: str = "text
     return T.tokens(text)
 
 
-def documents_with_terms(corpus: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame:
-    """(KEY, terms, dl), dl being the number of terms of the document."""
-    docs = corpus.select(*KEY, raw_terms(steps, stop_words).alias("terms"))
-    length = F.coalesce(F.array_size("terms"), F.lit(0))
-    return docs.withColumn("dl", length.cast("long"))
+def runs(terms: Column) -> Column:
+    """(term, tf) of each distinct term of a list, counted in the row: the list is sorted, and a
+    term's run ends where the next begins."""
+
+    def counted(ordered: Column) -> Column:
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+
+        def of(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda at, n: F.struct(
+                    F.get(ordered, at).alias("surface"),
+                    (F.coalesce(F.get(starts, n + 1), F.size(ordered)) - at).cast("long").alias("tf"),
+                ),
+            )
+
+        return F.when(F.size(ordered) > 0, T.bound(places, of))
+
+    return T.bound(F.array_sort(terms), counted)
+
+
+def row_hash(corpus: DataFrame) -> Column:
+    """A hash of all columns of a corpus row, by which hits find their text again."""
+    return F.xxhash64(*[F.col(c) for c in sorted(corpus.columns)])
+
 
+@dataclass(frozen=True)
+class Index:
+    """The written index of a corpus: ``entries`` (DOC, dl, place, surface, tf), with one row without a
+    surface for a document without terms, and ``forms`` (surface, term). ``steps`` are the term steps
+    in their order; where stop words go last, ``dl`` still counts them."""
 
-def vocabulary(docs: DataFrame) -> DataFrame:
+    entries: DataFrame
+    forms: DataFrame
+    steps: tuple[str, ...]
+    stop_words: tuple[str, ...]
+
+    @property
+    def stops_last(self) -> bool:
+        return self.steps == STEM_THEN_STOP
+
+
+def build_index(corpus: DataFrame, steps=STOP_THEN_STEM, stop_words=T.STOP_WORDS) -> Index:
+    """Read the texts once and write what all ranking and statistics need."""
+    terms = F.coalesce(raw_terms(steps, stop_words), F.array().cast("array<string>"))
+    numbered = corpus.select(
+        *KEY, F.monotonically_increasing_id().alias("row_id"), row_hash(corpus).alias("row_hash"), terms.alias("terms")
+    )
+    listed = numbered.select(*DOC, F.size("terms").cast("long").alias("dl"), runs(F.col("terms")).alias("runs"))
+    entries = listed.select(*DOC, "dl", F.posexplode_outer("runs").alias("place", "entry"))
+    entries = cut_lineage(entries.select(*DOC, "dl", "place", "entry.surface", "entry.tf"), "index")
+    if "stem" in steps:
+        forms = cut_lineage(stemmed(vocabulary(entries)), "forms")
+    else:
+        forms = vocabulary(entries).withColumn("term", F.col("surface"))
+    return Index(entries, forms, tuple(steps), tuple(stop_words))
+
+
+def vocabulary(entries: DataFrame) -> DataFrame:
     """Distinct surface terms."""
-    return docs.select(T.each("terms").alias("surface")).distinct().filter("surface is not null")
+    return entries.select("surface").distinct().filter("surface is not null")
 
 
 def stemmed(words: DataFrame, short: int = 2) -> DataFrame:
@@ -57,11 +114,6 @@ def stemmed(words: DataFrame, short: int = 2) -> DataFrame:
     return spread.withColumn("term", F.coalesce(stem, F.lit("")))
 
 
-def stemmed_vocabulary(docs: DataFrame) -> DataFrame:
-    """(surface, term) of every distinct surface term."""
-    return stemmed(vocabulary(docs))
-
-
 def query_terms(queries: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame:
     """(event_id, q_id, term, qtf) of the indicative terms, treated like documents."""
     terms = queries.select(
@@ -77,62 +129,60 @@ def query_terms(queries: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame
     return cut_lineage(counted, "query-terms")
 
 
-def wanted_forms(docs: DataFrame, wanted: DataFrame, steps, stop_words=T.STOP_WORDS) -> DataFrame:
-    """(surface, term): surface forms in the corpus that lead to a wanted term.
+def dropped_forms(index: Index) -> DataFrame:
+    """Surface forms whose stem is a stop word; only where stop words go last."""
+    return index.forms.filter(T.is_stop_word("term", index.stop_words)).select("surface")
 
-    Stemming runs once per distinct form, not once per token. When stop words go last,
-    forms whose stem is a stop word are listed with a null term, so that document
-    lengths can be reduced by them.
-    """
-    targets = wanted.select("term").distinct().select("term", F.col("term").alias("kept"))
-    if "stem" not in steps:
-        return targets.select(F.col("term").alias("surface"), "term")
-    if steps == STEM_THEN_STOP:
-        spark = docs.sparkSession
-        stops = spark.createDataFrame([(w, None) for w in stop_words], "term string, kept string")
-        targets = targets.unionByName(stops)
-    keep = stemmed_vocabulary(docs).join(checked_small_side(targets), "term")
-    return cut_lineage(keep.select("surface", F.col("kept").alias("term")), "forms")
 
+def dropped_terms(index: Index) -> DataFrame:
+    """(DOC, n_dropped) of documents that hold terms dropped after stemming."""
+    stops = checked_small_side(dropped_forms(index), 64)
+    return index.entries.join(stops, "surface", "left_semi").groupBy(*DOC).agg(F.sum("tf").alias("n_dropped"))
 
-def matched_terms(docs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(KEY, dl, term, tf) of the terms found in ``forms``."""
-    found = docs.select(*KEY, "dl", T.each("terms").alias("surface")).join(
-        checked_small_side(forms, 64), "surface"
-    )
-    return found.groupBy(*KEY, "dl", "term").agg(F.count("*").alias("tf"))
 
+def with_final_length(rows: DataFrame, index: Index) -> DataFrame:
+    """``rows`` (with DOC and dl) with dl less the terms dropped after stemming."""
+    if not index.stops_last:
+        return rows
+    less = dropped_terms(index)
+    return rows.join(less, DOC, "left").withColumn("dl", F.col("dl") - F.coalesce("n_dropped", F.lit(0))).drop("n_dropped")
 
-def without_dropped_terms(matched: DataFrame) -> DataFrame:
-    """Take the terms dropped after stemming (null term) out of the document length."""
-    kept = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    per_document = matched.groupBy(*KEY, "dl").agg(
-        F.sum(F.when(F.col("term").isNull(), F.col("tf")).otherwise(0)).alias("n_dropped"),
-        F.collect_list(kept).alias("found"),
-    )
-    return per_document.select(
-        *KEY,
-        (F.col("dl") - F.col("n_dropped")).alias("dl"),
-        F.col("n_dropped"),
-        F.col("found"),
+
+def all_postings(index: Index) -> DataFrame:
+    """(DOC, dl, term, tf) of every term that the steps keep."""
+    entries = index.entries.filter("surface is not null").select(*DOC, "dl", "surface", "tf")
+    if "stem" in index.steps:
+        entries = entries.join(index.forms, "surface").groupBy(*DOC, "dl", "term").agg(F.sum("tf").alias("tf"))
+    else:
+        entries = entries.withColumnRenamed("surface", "term")
+    if index.stops_last:
+        entries = entries.filter(~T.is_stop_word("term", index.stop_words))
+    return with_final_length(entries, index).select(*DOC, "dl", "term", "tf")
+
+
+def postings_of_terms(index: Index, wanted: DataFrame) -> DataFrame:
+    """(DOC, dl, term, tf) of the ``wanted`` terms, written once: the forms that lead to them meet the
+    index, and the aggregate combines on the map side."""
+    targets = checked_small_side(wanted.select("term").distinct())
+    forms = index.forms.join(targets, "term", "left_semi")
+    found = index.entries.select(*DOC, "dl", "surface", "tf").join(
+        checked_small_side(cut_lineage(forms, "wanted-forms"), 64), "surface"
     )
+    merged = found.groupBy(*DOC, "dl", "term").agg(F.sum("tf").alias("tf"))
+    return cut_lineage(with_final_length(merged, index).select(*DOC, "dl", "term", "tf"), "postings")
 
 
-def postings_and_sizes(docs: DataFrame, forms: DataFrame, steps) -> tuple[DataFrame, DataFrame]:
-    """Postings (KEY, dl, term, tf) and sizes (part, n_docs, n_terms)."""
-    matched = cut_lineage(matched_terms(docs, forms), "postings")
-    sizes = docs.select(*PART, F.lit(1).alias("n"), "dl")
-    if steps == STEM_THEN_STOP:
-        per_document = without_dropped_terms(matched)
-        dropped = per_document.select(*PART, F.lit(0).alias("n"), (-F.col("n_dropped")).alias("dl"))
-        sizes = sizes.unionByName(dropped)
-        matched = per_document.select(*KEY, "dl", F.explode("found").alias("hit")).select(
-            *KEY, "dl", "hit.term", "hit.tf"
-        )
-    sizes = sizes.groupBy(*PART).agg(
-        F.sum("n").cast("long").alias("n_docs"), F.sum("dl").cast("long").alias("n_terms")
+def sizes_of(index: Index) -> DataFrame:
+    """(part, n_docs, n_terms): each document counts once, by its first entry."""
+    first = F.coalesce("place", F.lit(0)) == 0
+    sizes = index.entries.groupBy(*PART).agg(
+        F.count_if(first).alias("n_docs"), F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("n_terms")
     )
-    return matched, sizes
+    if not index.stops_last:
+        return sizes
+    less = dropped_terms(index).groupBy(*PART).agg(F.sum("n_dropped").cast("long").alias("_less"))
+    kept = F.col("n_terms") - F.coalesce("_less", F.lit(0))
+    return sizes.join(less, PART, "left").select(*PART, "n_docs", kept.alias("n_terms"))
 
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
@@ -144,34 +194,14 @@ def term_frequencies(postings: DataFrame) -> DataFrame:
 
 def collection_statistics(corpus: DataFrame, steps=("stop",), stop_words=T.STOP_WORDS):
     """All statistics of whole collections: (sizes, term frequencies, document lengths)."""
-    docs = documents_with_terms(corpus, steps, stop_words)
-    occurrences = docs.select(*KEY, T.each("terms").alias("term")).filter("term is not null")
-    if "stem" in steps:
-        stems = stemmed_vocabulary(docs).withColumnRenamed("term", "stem")
-        occurrences = (
-            occurrences.groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
-            .join(stems.withColumnRenamed("surface", "term"), "term")
-            .groupBy(*KEY, F.col("stem").alias("term"))
-            .agg(F.sum("tf").alias("tf"))
-        )
-    else:
-        occurrences = occurrences.groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
-    if steps == STEM_THEN_STOP:
-        occurrences = occurrences.filter(~T.is_stop_word("term", stop_words))
-        counted = occurrences.groupBy(*KEY).agg(F.sum("tf").alias("dl"))
-        lengths = (
-            docs.select(*KEY, F.lit(0).cast("long").alias("dl"))
-            .unionByName(counted)
-            .groupBy(*KEY)
-            .agg(F.sum("dl").cast("long").alias("dl"))
-        )
-    else:
-        lengths = docs.select(*KEY, "dl")
-    sizes = lengths.groupBy(*PART).agg(
-        F.count("*").alias("n_docs"), F.sum("dl").cast("long").alias("n_terms")
-    )
-    sizes = sizes.withColumn("avg_length", F.col("n_terms") / F.col("n_docs"))
-    return sizes, term_frequencies(occurrences), lengths
+    return index_statistics(build_index(corpus, steps, stop_words))
+
+
+def index_statistics(index: Index):
+    """(sizes, term frequencies, document lengths) of an index."""
+    sizes = sizes_of(index).withColumn("avg_length", F.col("n_terms") / F.col("n_docs"))
+    documents = index.entries.filter(F.coalesce("place", F.lit(0)) == 0).select(*DOC, "dl")
+    return sizes, term_frequencies(all_postings(index)), with_final_length(documents, index).select(*KEY, "dl")
 
 
 def weighted_query_terms(

@@ -55,7 +55,7 @@ def event_summaries(facts: DataFrame, requests: DataFrame, depth: int = TOP_FACT
 
 def bigram_counts(texts: DataFrame, key: list[str], use_stems: bool = True) -> DataFrame:
     """(key, first, second, n): counted word pairs of each text, stems of longer words."""
-    words = texts.select(*key, T.plain_tokens("text").alias("words"))
+    words = texts.select(*key, T.tokens("text").alias("words"))
     following = F.expr("slice(words, 2, size(words))")
     pairs = words.select(
         *key, T.each(F.arrays_zip(F.col("words").alias("first"), following.alias("second"))).alias("pair")

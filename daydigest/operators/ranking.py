@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daydigest.functions import text as T
 from daydigest.operators import collection as C
-from daydigest.session import checked_small_side
+from daydigest.session import checked_small_side, cut_lineage
 
 FIRST_STAGE_DEPTH = 50
 RESULT_DEPTH = 1000
@@ -127,7 +127,7 @@ def score_documents(postings_with_terms: DataFrame, model: str) -> DataFrame:
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}, choose one of {sorted(MODELS)}")
     term_score = MODELS[model](Statistics.of_row())
-    return postings_with_terms.groupBy("q_id", *C.KEY).agg(
+    return postings_with_terms.groupBy("q_id", *C.DOC).agg(
         F.round(F.sum(term_score), SCORE_DIGITS).alias("score")
     )
 
@@ -138,7 +138,7 @@ def first_stage(scored: DataFrame, depth: int = FIRST_STAGE_DEPTH) -> DataFrame:
     The filter is on the plain row number, so Spark cuts each task's rows to ``depth``
     per query before the shuffle.
     """
-    best = Window.partitionBy(*C.PART, "q_id").orderBy(F.desc("score"), F.asc("docno"))
+    best = Window.partitionBy(*C.PART, "q_id").orderBy(F.desc("score"), F.asc("docno"), F.asc("row_id"))
     return (
         scored.withColumn("_n", F.row_number().over(best))
         .filter(F.col("_n") <= depth)
@@ -156,24 +156,32 @@ def request_terms(days: DataFrame, terms: DataFrame) -> int:
     return total["n"] or 0
 
 
-def postings_of_queries(
-    corpus: DataFrame,
-    queries: DataFrame,
-    calendar: DataFrame,
-    steps=C.STOP_THEN_STEM,
-    stop_words=T.STOP_WORDS,
-) -> DataFrame:
-    """Query terms joined with the postings and statistics of the calendar's collections."""
+def corpus_index(
+    corpus: DataFrame, calendar: DataFrame, steps=C.STOP_THEN_STEM, stop_words=T.STOP_WORDS
+) -> C.Index:
+    """The index of the calendar's collections."""
+    days = calendar.select(*C.PART).distinct()
+    return C.build_index(corpus.join(checked_small_side(days, 64), C.PART, "left_semi"), steps, stop_words)
+
+
+def postings_of_queries(index: C.Index, queries: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Query terms joined with the postings and statistics of their collections."""
     days = calendar.select(*C.PART).distinct()
-    corpus = corpus.join(checked_small_side(days, 64), C.PART, "left_semi")
-    docs = C.documents_with_terms(corpus, steps, stop_words)
-    terms = C.query_terms(queries, steps, stop_words)
-    forms = C.wanted_forms(docs, terms, steps, stop_words)
-    postings, sizes = C.postings_and_sizes(docs, forms, steps)
+    terms = C.query_terms(queries, index.steps, index.stop_words)
+    postings = C.postings_of_terms(index, terms)
+    sizes = cut_lineage(C.sizes_of(index), "sizes")
     weighted = C.weighted_query_terms(terms, postings, sizes, request_terms(days, terms))
     return C.join_postings(postings, weighted)
 
 
+def rank_index(
+    index: C.Index, queries: DataFrame, calendar: DataFrame, model: str = "BM25", depth: int = FIRST_STAGE_DEPTH
+) -> DataFrame:
+    """(q_id, event_id, date, docno, row_id, row_hash, score, rank) of the best documents per request
+    and query. Only documents with at least one query term are scored."""
+    return first_stage(score_documents(postings_of_queries(index, queries, calendar), model), depth)
+
+
 def rank(
     corpus: DataFrame,
     queries: DataFrame,
@@ -183,9 +191,5 @@ def rank(
     stop_words=T.STOP_WORDS,
     depth: int = FIRST_STAGE_DEPTH,
 ) -> DataFrame:
-    """(event_id, date, q_id, docno, score, rank) of the best documents per request and query.
-
-    Only documents with at least one query term are scored.
-    """
-    joined = postings_of_queries(corpus, queries, calendar, steps, stop_words)
-    return first_stage(score_documents(joined, model), depth)
+    """``rank_index`` over a new index of the calendar's collections."""
+    return rank_index(corpus_index(corpus, calendar, steps, stop_words), queries, calendar, model, depth)

@@ -18,15 +18,15 @@ from daydigest.functions import text as T
 from daydigest.operators.digest import by_date_and
 
 UNANSWERABLE = "unanswerable"
-ANSWER_WORDS = 150
-SUMMARY_WORDS = 20
 SENTENCE_END = r"[.!?]+\s+"
 
 BatchSummarizer = Callable[[pd.DataFrame], pd.Series]
 
 
-def first_words(text: Column, words: int) -> Column:
-    """An output of at most ``words`` words, the length limit of a summary."""
+def first_words(text: Column, words: int | None) -> Column:
+    """An output of at most ``words`` words; without a limit the text as it is."""
+    if words is None:
+        return text
     return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, words), " ")
 
 
@@ -37,39 +37,40 @@ def best_sentence(texts: Column, query: Column) -> Column:
         return F.transform(
             F.split(texts, SENTENCE_END),
             lambda sentence, position: F.struct(
-                F.size(F.array_intersect(wanted, T.plain_tokens(sentence))).alias("matches"),
+                F.size(F.array_intersect(wanted, T.tokens(sentence))).alias("matches"),
                 (-position).alias("position"),
                 sentence.alias("sentence"),
             ),
         )
 
-    return F.array_max(T.bound(F.array_distinct(T.plain_tokens(query)), rated))
+    return F.array_max(T.bound(F.array_distinct(T.tokens(query)), rated))
 
 
-def extractive_answer(texts: Column, question: Column) -> Column:
-    """The sentence that shares most terms with the question, else ``unanswerable``."""
+def extractive_answer(texts: Column, question: Column, max_words: int | None = None) -> Column:
+    """The sentence that shares most terms with the question, else ``unanswerable``; the whole
+    sentence, or its first ``max_words`` words."""
     best = best_sentence(texts, question)
     return F.when(
-        best["matches"] > 0, first_words(best["sentence"], ANSWER_WORDS)
+        best["matches"] > 0, first_words(best["sentence"], max_words)
     ).otherwise(F.lit(UNANSWERABLE))
 
 
-def extractive_summary(texts: Column, query: Column) -> Column:
-    """The best sentence of the cleaned text, clipped to the summary length."""
-    return first_words(best_sentence(T.clean_social(texts), query)["sentence"], SUMMARY_WORDS)
+def extractive_summary(texts: Column, query: Column, max_words: int | None = None) -> Column:
+    """The best sentence of the cleaned text, whole or its first ``max_words`` words."""
+    return first_words(best_sentence(T.clean_social(texts), query)["sentence"], max_words)
 
 
 def with_prompt(grouped: DataFrame) -> DataFrame:
     return grouped.withColumn("prompt", T.prompt(F.col("texts"), F.col("question")))
 
 
-def with_answers(grouped: DataFrame) -> DataFrame:
-    answer = extractive_answer(F.col("texts"), F.col("question"))
+def with_answers(grouped: DataFrame, max_words: int | None = None) -> DataFrame:
+    answer = extractive_answer(F.col("texts"), F.col("question"), max_words)
     return grouped.withColumn("summary", answer)
 
 
-def with_summaries(grouped: DataFrame) -> DataFrame:
-    return grouped.withColumn("summary", extractive_summary(F.col("texts"), F.col("query")))
+def with_summaries(grouped: DataFrame, max_words: int | None = None) -> DataFrame:
+    return grouped.withColumn("summary", extractive_summary(F.col("texts"), F.col("query"), max_words))
 
 
 def with_batch_summaries(

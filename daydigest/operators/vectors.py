@@ -89,7 +89,7 @@ def max_sim(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataF
     return (
         best_matches(pairs, queries, documents)
         .groupBy("left", "right")
-        .agg(F.round(F.sum("best"), 4).alias("rerank_score"))
+        .agg(F.sum("best").alias("rerank_score"))
     )
 
 
@@ -110,7 +110,7 @@ def greedy_match_scores(pairs: DataFrame, candidates: DataFrame, references: Dat
     return precision.join(recall, ["left", "right"]).select(
         "left",
         "right",
-        F.round(p, 4).alias("precision"),
-        F.round(r, 4).alias("recall"),
-        F.round(F.try_divide(2 * p * r, p + r), 4).alias("f1"),
+        p.alias("precision"),
+        r.alias("recall"),
+        F.try_divide(2 * p * r, p + r).alias("f1"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daydigest.functions import text as T
 from daydigest.operators import collection as C
 from daydigest.operators import context, digest, ranking, rerank, summaries, vectors
-from daydigest.session import small_side
+from daydigest.session import cut_lineage, small_side
 from daydigest.sinks.writers import write_named_csv
 
 REQUEST = ["event_id", "request_date"]
@@ -46,17 +46,23 @@ def candidates(
     model: str,
     steps: tuple[str, ...],
     stop_words=T.STOP_WORDS,
+    depth: int = ranking.FIRST_STAGE_DEPTH,
 ) -> DataFrame:
     """First-stage hits with text, time and context.
 
-    The hits are few (requests times queries times the depth), so they are sent to the
-    corpus rather than the corpus being shuffled to them, as long as that bound is small.
+    A hit finds its text by its key and the hash of its row; rows equal in all columns are one
+    text, so that hits do not multiply. The hits are few (requests times queries times the
+    depth), so they are sent to the corpus as long as that bound is small.
     """
-    hits = ranking.rank(corpus, queries, calendar, model, steps, stop_words)
-    bound = context.requests_with_queries(calendar, queries.select("event_id")).count()
-    found = corpus.select(*C.KEY, "text", "unix_timestamp").join(
-        small_side(hits, bound * ranking.FIRST_STAGE_DEPTH), C.KEY
-    )
+    hits = ranking.rank(corpus, queries, calendar, model, steps, stop_words, depth)
+    hits = cut_lineage(hits, "hits")
+    bound = hits.count()
+    address = [*C.KEY, "row_hash"]
+    texts = corpus.select(*C.KEY, "text", "unix_timestamp", C.row_hash(corpus).alias("row_hash"))
+    wanted = small_side(hits.select(*address).distinct(), bound)
+    # the semi join leaves the texts of hits alone
+    texts = texts.join(wanted, address, "left_semi").dropDuplicates(address)
+    found = texts.join(small_side(hits, bound), address).drop("row_hash", "row_id")
     found = context.with_text(found).withColumnRenamed("date", "request_date")
     return context.with_context(found, calendar, queries)
 
@@ -74,15 +80,21 @@ def rank_rerank_colbert(
     vectors_of: tuple[DataFrame, DataFrame] | None = None,
     scorer: Callable | None = None,
     stop_words=T.STOP_WORDS,
+    depth: int = ranking.FIRST_STAGE_DEPTH,
+    rerank_depth: int = rerank.RERANK_DEPTH,
+    stored_chars: int | None = None,
 ) -> DataFrame:
-    """Lexical ranking, then late interaction on the stored (cropped) text.
+    """Lexical ranking of the best ``depth`` documents, then late interaction, which keeps
+    ``rerank_depth`` of them.
 
-    ``vectors_of`` gives token vectors of queries (owner = q_id) and of documents
+    ``stored_chars`` crops the text of a hit, as an index does that stores only so much of it;
+    without it the whole text goes on. ``vectors_of`` gives token vectors of queries (owner = q_id) and of documents
     (owner = docno); ``scorer`` is a factory of a pair scorer; without either, term
     overlap is used.
     """
-    hits = candidates(corpus, queries, calendar, model, C.STOP_THEN_STEM, stop_words)
-    hits = hits.withColumn("text", T.cropped("text"))
+    hits = candidates(corpus, queries, calendar, model, C.STOP_THEN_STEM, stop_words, depth)
+    if stored_chars is not None:
+        hits = hits.withColumn("text", T.cropped("text", stored_chars))
     if vectors_of is not None:
         pairs = hits.select(F.col("q_id").alias("left"), F.col("docno").alias("right")).distinct()
         scores = vectors.max_sim(pairs, *vectors_of)
@@ -92,7 +104,7 @@ def rank_rerank_colbert(
         scored = rerank.with_model_score(hits, scorer)
     else:
         scored = rerank.with_overlap_score(hits)
-    return finished(rerank.rerank_cut(scored, REQUEST))
+    return finished(rerank.rerank_cut(scored, REQUEST, rerank_depth))
 
 
 def rank_rerank_t5(
@@ -102,15 +114,17 @@ def rank_rerank_t5(
     model: str = "BM25",
     scorer: Callable | None = None,
     stop_words=T.STOP_WORDS,
+    depth: int = ranking.FIRST_STAGE_DEPTH,
+    rerank_depth: int = rerank.RERANK_DEPTH,
 ) -> DataFrame:
     """Lexical ranking with stop words taken out after stemming, then a pairwise scorer on
     the full text."""
-    hits = candidates(corpus, queries, calendar, model, C.STEM_THEN_STOP, stop_words)
+    hits = candidates(corpus, queries, calendar, model, C.STEM_THEN_STOP, stop_words, depth)
     if scorer is not None:
         scored = rerank.with_model_score(hits, scorer)
     else:
         scored = rerank.with_overlap_score(hits)
-    return finished(rerank.rerank_cut(scored, REQUEST))
+    return finished(rerank.rerank_cut(scored, REQUEST, rerank_depth))
 
 
 RERANKERS = {"COLBERT": rank_rerank_colbert, "T5": rank_rerank_t5}

@@ -83,12 +83,6 @@ def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a scan of too few files over all tasks; a scan with enough splits stays as is."""
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks, *keys) if df.rdd.getNumPartitions() < tasks else df
-
-
 def rows_up_to(df: DataFrame, limit: int) -> int:
     """Row count of a table that should be small; counting stops after ``limit`` + 1."""
     return df.limit(limit + 1).count()

@@ -272,7 +272,7 @@ def _answered(spark, d) -> DataFrame:
     return summaries.with_answers(_grouped(spark, d))
 
 
-ANSWER = f"""CASE WHEN b.m > 0 THEN {Q.first_words('b.s', summaries.ANSWER_WORDS)}
+ANSWER = f"""CASE WHEN b.m > 0 THEN b.s
     ELSE '{summaries.UNANSWERABLE}' END"""
 ANSWERED = f"""{Q.grouped()},
 answered AS MATERIALIZED (SELECT * EXCLUDE (b), {ANSWER} AS summary FROM (
@@ -556,9 +556,9 @@ def cross_requests_queries(spark, d):
     )
 )
 def join_postings(spark, d):
-    return ranking.postings_of_queries(
-        S.corpus(spark, d), S.queries(spark, d), S.calendar(spark, d)
-    ).select(
+    calendar = S.calendar(spark, d)
+    index = ranking.corpus_index(S.corpus(spark, d), calendar)
+    return ranking.postings_of_queries(index, S.queries(spark, d), calendar).select(
         "event_id", "date", "q_id", "docno", "term", "tf", "dl", "qtf", "df", "cf", "n_docs", "n_terms"
     )
 
@@ -738,6 +738,30 @@ def agg_collection_stats_lengths(spark, d):
     return C.collection_statistics(S.corpus(spark, d))[2]
 
 
+def _stemmed_sql(steps: tuple[str, str], select: str) -> str:
+    return Q.with_(Q.DOCS, Q.QUERIES, Q.statistics(steps), select=select)
+
+
+TERM_ROWS = "SELECT event_id, date, term, df, cf FROM dfs"
+SIZE_ROWS = """SELECT event_id, date, n_docs, n_terms, round(CAST(n_terms AS DOUBLE) / n_docs, 6) AS avg_length
+    FROM sizes"""
+
+
+@query(_stemmed_sql(C.STOP_THEN_STEM, TERM_ROWS))
+def agg_collection_stats_stemmed(spark, d):
+    return C.collection_statistics(S.corpus(spark, d), C.STOP_THEN_STEM)[1]
+
+
+@query(_stemmed_sql(C.STEM_THEN_STOP, TERM_ROWS))
+def agg_collection_stats_stem_first(spark, d):
+    return C.collection_statistics(S.corpus(spark, d), C.STEM_THEN_STOP)[1]
+
+
+@query(_stemmed_sql(C.STEM_THEN_STOP, SIZE_ROWS))
+def agg_collection_stats_stem_first_sizes(spark, d):
+    return C.collection_statistics(S.corpus(spark, d), C.STEM_THEN_STOP)[0]
+
+
 def _register_model(model: str, key: str) -> None:
     @query(Q.with_(Q.ranked(model), select="SELECT event_id, date, q_id, docno, score, rank FROM hits"), key)
     def ranked_by_model(spark, d):
@@ -774,7 +798,7 @@ RERANK_ROWS = """SELECT event_id, date AS request_date, q_id, docno, rank, score
 def topk_50_then_5(spark, d):
     hits = rank_rerank.candidates(
         S.corpus(spark, d), S.queries(spark, d), S.calendar(spark, d), "BM25", C.STOP_THEN_STEM
-    ).withColumn("text", T.cropped("text"))
+    )
     best = rerank.rerank_cut(rerank.with_overlap_score(hits), rank_rerank.REQUEST)
     return best.select(
         "event_id", "request_date", "q_id", "docno", "rank", "score", "rerank_rank", "rerank_score"
@@ -800,11 +824,8 @@ def overlap_model() -> rerank.PairScorer:
     """The default score as a batch model, to run the model path against SQL."""
     import re
 
-    digits, run = re.compile("^([a-z]*[0-9]){5}"), re.compile(r"(.)\1{3}")
-
     def listed(text: str) -> list[str]:
-        found = re.findall("[a-z0-9]+", text.lower())
-        return [w for w in found if len(w) <= 20 and not digits.match(w) and not run.search(w)]
+        return re.findall("[a-z0-9]+", text.lower())
 
     def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
         out = []
@@ -910,7 +931,7 @@ def eval_long_metrics(spark, d):
 def union_corpora(spark, d):
     """All days of all events: one scan of the partitioned folder."""
     return inputs.read_corpus(
-        spark, _corpus_folder(spark, d), fields=("docno", "unix_timestamp"), unique=True
+        spark, _corpus_folder(spark, d), fields=("docno", "unix_timestamp")
     )
 
 
@@ -1071,7 +1092,7 @@ def text_stopwords(spark, d):
     )
 )
 def text_porter_stem(spark, d):
-    words = C.vocabulary(S.documents(spark, d).select(T.tokens("text").alias("terms")))
+    words = C.vocabulary(S.documents(spark, d).select(T.each(T.tokens("text")).alias("surface")))
     return words.withColumn("stem", porter_stem("surface"))
 
 
@@ -1105,7 +1126,7 @@ def summarize_qa(spark, d):
 
 
 CLEANED = r"regexp_replace(texts, '#\S+|https?://\S+|@\S+', '', 'g')"
-SHORT_PART = f"""short AS (SELECT * EXCLUDE (b), {Q.first_words('b.s', summaries.SUMMARY_WORDS)} AS summary FROM (
+SHORT_PART = f"""short AS (SELECT * EXCLUDE (b), b.s AS summary FROM (
   SELECT *, {Q.best_sentence(CLEANED, 'query')} AS b FROM grouped))"""
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import string
-
 from daydigest.functions import porter as P
 from daydigest.functions import text as T
 from daydigest.operators import ranking as R
 from suite.tables import LANGUAGES
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-FOUR_EQUAL = "|".join(c * 4 for c in string.ascii_lowercase + string.digits)
 LANGS = ", ".join(f"'{x}'" for x in LANGUAGES)
 
 DOCS = """docs AS (
@@ -49,11 +46,7 @@ def plain_tokens(text: str) -> str:
 
 
 def terms(text: str) -> str:
-    return (
-        f"list_filter({plain_tokens(text)}, lambda t: length(t) <= {T.MAX_TERM_LENGTH}"
-        f" AND NOT regexp_matches(t, '^([a-z]*[0-9]){{{T.MAX_TERM_DIGITS + 1}}}')"
-        f" AND NOT regexp_matches(t, '{FOUR_EQUAL}'))"
-    )
+    return plain_tokens(text)
 
 
 def _cases(rules: dict[str, str]) -> str:
@@ -184,12 +177,10 @@ def overlap(query: str, text: str) -> str:
 
 def reranked(path: str = "COLBERT", model: str = "BM25", depth: int = 5) -> str:
     """Tables that end in ``ranked``, the whole ranked table of one path."""
-    colbert = path == "COLBERT"
-    steps = ("stop", "stem") if colbert else ("stem", "stop")
-    text = f"left(d.text, {T.CROPPED_TEXT_LENGTH})" if colbert else "d.text"
+    steps = ("stop", "stem") if path == "COLBERT" else ("stem", "stop")
     return f"""{ranked(model, steps)},
 context AS (
-  SELECT h.*, d.unix_timestamp, d.moment, {text} AS text, c.request_id, q.text AS question,
+  SELECT h.*, d.unix_timestamp, d.moment, d.text, c.request_id, q.text AS question,
     q.indicative_terms AS query, q.event_title, q.trecis_category_mapping, d.source
   FROM hits h JOIN docs d USING (event_id, date, docno) JOIN calendar c USING (event_id, date)
   JOIN queries q ON q.event_id = h.event_id AND q.query_id = h.q_id),
@@ -221,8 +212,3 @@ def best_sentence(texts: str, query: str) -> str:
     return f"""list_max(list_transform({sentences}, lambda s, i: {{
       'm': len(list_filter(list_distinct({plain_tokens(query)}), lambda t: list_contains({plain_tokens('s')}, t))),
       'p': -i, 's': s}}))"""
-
-
-def first_words(text: str, words: int) -> str:
-    cut = f"list_slice(regexp_split_to_array(trim({text}), '\\s+'), 1, {words})"
-    return f"array_to_string({cut}, ' ')"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daydigest.functions import ids
-from daydigest.session import checked_small_side, cut_lineage, spread
+from daydigest.session import checked_small_side, cut_lineage
 
 # The collections of the test corpus; every general query is asked of each of them.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -30,7 +30,7 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def timed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

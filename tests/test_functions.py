@@ -30,12 +30,12 @@ def test_porter_samples(spark):
     assert wrong == []
 
 
-def test_tokens_limits(spark):
+def test_tokens_are_whole_runs(spark):
     df = spark.createDataFrame(
         [("Fire-line, 2017! aaaab 1a2b3c4d5 " + "x" * 21 + " 12345 ok",), ("",), (None,)], "t string"
     )
     rows = [r[0] for r in df.select(T.tokens("t")).collect()]
-    assert rows == [["fire", "line", "2017", "ok"], [], None]
+    assert rows == [["fire", "line", "2017", "aaaab", "1a2b3c4d5", "x" * 21, "12345", "ok"], [], None]
 
 
 def test_stop_words_keep_order_and_repeats(spark):

@@ -85,6 +85,51 @@ def test_model_scores(tables, model):
     assert [r.docno for r in ordered] == sorted(expected, key=lambda d: (-expected[d], d))
 
 
+def test_one_index_serves_every_model_from_one_pass(tables):
+    corpus, queries, calendar = tables
+    index = ranking.corpus_index(corpus, calendar, ("stop",))
+    for model in ranking.MODELS:
+        ranked = ranking.rank_index(index, queries, calendar, model)
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan.replace("indicative", "")
+    got = {r.docno: r.score for r in ranking.rank_index(index, queries, calendar, "BM25").collect()}
+    assert got.keys() == brute_force("BM25").keys()
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark, tables):
+    _, queries, calendar = tables
+    corpus = spark.createDataFrame(
+        [("e", "2020-01-01", "a-b-c-1", t, 1) for t in ("fire road", "fire road", "fire water")],
+        "event_id string, date string, docno string, text string, unix_timestamp long",
+    ).withColumn("date", F.to_date("date"))
+    index = ranking.corpus_index(corpus, calendar)
+    rows = ranking.postings_of_queries(index, queries, calendar).collect()
+    assert sorted((r.term, r.tf, r.df, r.cf, r.n_docs) for r in rows) == [("fire", 1, 3, 3, 3)] * 3 + [("road", 1, 2, 2, 3)] * 2
+    hits = rank_rerank.candidates(corpus, queries, calendar, "DPH", C.STOP_THEN_STEM).collect()
+    assert sorted((r["rank"], r.text) for r in hits) == sorted((r["rank"], r.text) for r in hits) and len(hits) == 3
+    assert sorted(r.text for r in hits) == ["fire road", "fire road", "fire water"]
+
+
+def test_long_terms_numbers_and_late_hits_count(spark, tables):
+    _, _, calendar = tables
+    long = "internationalizationalism" + "x" * 10
+    text = "word " * 1200 + f"20171207 {long} aaaaa"
+    corpus = spark.createDataFrame(
+        [("e", "2020-01-01", "a-b-c-1", text, 1), ("e", "2020-01-01", "a-b-c-2", "other words", 1)],
+        "event_id string, date string, docno string, text string, unix_timestamp long",
+    ).withColumn("date", F.to_date("date"))
+    queries = spark.createDataFrame(
+        [("q1", "when", f"20171207 {long} aaaaa", "c", "e", "Event")],
+        """query_id string, text string, indicative_terms string, trecis_category_mapping string,
+        event_id string, event_title string""",
+    )
+    row = rank_rerank.rank_rerank_colbert(corpus, queries, calendar).first()
+    assert row.docno == "a-b-c-1" and row.text == text
+    assert len(rank_rerank.rank_rerank_colbert(corpus, queries, calendar, stored_chars=200).first().text) == 200
+    terms = ranking.postings_of_queries(ranking.corpus_index(corpus, calendar, ("stop",)), queries, calendar)
+    assert {r.term for r in terms.collect()} == {"20171207", long, "aaaaa"}
+
+
 def test_unknown_model_is_refused(tables):
     with pytest.raises(ValueError):
         rank_rerank.run_digest(*tables, model="nope")
@@ -100,7 +145,8 @@ def test_step_order_changes_length(spark, tables):
     ).withColumn("date", F.to_date("date"))
     _, queries, calendar = tables
     for steps, length in ((C.STOP_THEN_STEM, 3), (C.STEM_THEN_STOP, 2)):
-        row = ranking.postings_of_queries(corpus, queries, calendar, steps).filter("term = 'fire'").first()
+        index = ranking.corpus_index(corpus, calendar, steps)
+        row = ranking.postings_of_queries(index, queries, calendar).filter("term = 'fire'").first()
         assert (row.dl, row.n_terms, row.tf) == (length, length, 1)
 
 
