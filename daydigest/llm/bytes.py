@@ -61,15 +61,18 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
         column = column.combine_chunks()
     if not len(column):
         return
-    binary = column.fill_null("").cast(pa.large_binary())
-    _, offset_buffer, data = binary.buffers()
-    offsets = np.frombuffer(offset_buffer, np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    # the batch's own buffers are read, not copied
+    texts = column.fill_null("") if column.null_count else column
+    _, offset_buffer, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(offset_buffer, kind)[texts.offset : texts.offset + len(texts) + 1]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
-    while row < len(binary):
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1
-        end = min(max(end, row + 1), len(binary))
-        yield row, flat[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+    while row < len(texts):
+        end = int(np.searchsorted(offsets, int(offsets[row]) + CHUNK, "right")) - 1
+        end = min(max(end, row + 1), len(texts))
+        at = offsets[row : end + 1].astype(np.int64)
+        yield row, flat[at[0] : at[-1]], at - at[0]
         row = end
 
 

@@ -30,15 +30,15 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("y > x").join(side(least), F.col("x") == F.col("u"))
         large = large.select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y")
         large = cut_lineage(large.distinct().coalesce(tasks), "edges")
+        now = measure(large)
+        if now == state:
+            break  # the small stars of the round before were stars
         # u and its smaller neighbours go to the least of them
         lowest = large.groupBy(F.col("x").alias("u")).agg(F.min("y").alias("m"))
         small = large.join(side(lowest), F.col("x") == F.col("u")).select(F.col("y").alias("x"), F.col("m").alias("y"))
         small = small.union(lowest.select("u", "m")).filter("x <> y")
         edges = cut_lineage(small.distinct().coalesce(tasks), "edges")
-        now = measure(edges)
-        if now == state:
-            break
-        state = now
+        state = measure(edges)
     stars = edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 

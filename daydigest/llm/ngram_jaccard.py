@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daydigest.llm.bytes import SPACE, mix64, run_hashes, text_chunks, words_of
@@ -28,12 +28,12 @@ PERCENT = 75
 # Shingles are counted in so many buckets; the counts only order them, from rare to frequent.
 COUNT_BITS = 20
 COUNT_SLICES = 16
-# Minima of a set under so many hashes are keys by which near copies find each other before the
-# exact search, alone and in pairs.
-MINIMA = 16
-QUICK_KEYS = MINIMA + MINIMA // 2
+# Keys by which near copies find each other before the exact search, of two minima each.
+QUICK_KEYS = 8
+# Sets of a group and tile that are looked at before all others.
+DRAWN = 64
 U = np.uint64
-ODD = mix64(np.arange(1, MINIMA + 1, dtype=U)) | U(1)
+ODD = mix64(np.arange(1, 2 * QUICK_KEYS + 1, dtype=U)) | U(1)
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def describe_sets(h: np.ndarray, place: np.ndarray):
         return at, size, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, QUICK_KEYS), np.int64), b"", np.zeros(1, np.int64)
     digest = [np.add.reduceat(mix64(h ^ U(c)), first).view(np.int64) for c in (0x5BD1E995, 0xC2B2AE3D)]
     least = [mix64(np.minimum.reduceat(h * m, first) + U(i)) for i, m in enumerate(ODD)]
-    keys = np.stack([*least, *[mix64(least[i] + least[i + 1]) for i in range(0, MINIMA, 2)]], axis=1)
+    keys = np.stack([mix64(least[i] + least[i + 1]) for i in range(0, 2 * QUICK_KEYS, 2)], axis=1)
     width = signature_bits(size)
     ends = np.cumsum(width)
     shift = (64 - np.log2(width)).astype(U)
@@ -271,24 +271,64 @@ def quick_pairs(sets: DataFrame) -> DataFrame:
     return close.select(F.least("a", "c.a").alias("x"), F.greatest("a", "c.a").alias("y")).distinct()
 
 
-def rare_pairs(rare: DataFrame) -> DataFrame:
-    """Pairs (x, y) of sets of different ``group`` that share a rare shingle and may be linked by
-    their sizes and by where the shared shingle stands."""
-    tiles = rare.select("a", "group", "n", F.posexplode("rare").alias("place", "key"))
+def tiles_of(rare: DataFrame) -> DataFrame:
+    """Each set in each tile (``key``) of its rare shingles, with the shingle's ``place``."""
+    return rare.select("*", F.posexplode("rare").alias("place", "key")).drop("rare")
+
+
+def grouped_sets(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (a, ...) with ``group``: the group that the links found so far give the set."""
+    known = groups.select(F.col("node").alias("a"), "root")
+    return rows.join(known, "a", "left").withColumn("group", F.coalesce("root", "a")).drop("root")
+
+
+def renamed_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
+    """``groups`` (node, root) after links between groups (p, q) were found."""
+    names = cut_lineage(components(joined.select(F.col("p").alias("x"), F.col("q").alias("y"))), "joined-groups")
+    new = names.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = groups.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    # sets that were alone so far
+    first = names.join(groups.select("node"), "node", "left_anti").select("node", "root")
+    return cut_lineage(moved.union(first), "groups")
+
+
+def contested(rare: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of tiles in which sets of several groups meet, written; most tiles hold one set.
+
+    A tile's lowest and highest group are found on the map side first, so that no tile is gathered;
+    then the sets are read again for the tiles that are left.
+    """
+    ends = tiles_of(grouped_sets(rare, groups)).groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    keys = cut_lineage(ends.filter("low <> high").select("key"), "contested-keys")
+    return cut_lineage(tiles_of(rare).join(broadcast_if_small(keys, 16), "key", "left_semi"), "contested")
+
+
+def drawn_sets(tiles: DataFrame) -> DataFrame:
+    """Up to ``DRAWN`` sets of each group in each tile, drawn and numbered from 1 by hash."""
+    order = Window.partitionBy("key", "group").orderBy(F.xxhash64("key", "a"), "a")
+    return tiles.withColumn("drawn", F.row_number().over(order)).filter(F.col("drawn") <= DRAWN)
+
+
+def rare_pairs(tiles: DataFrame) -> DataFrame:
+    """Pairs (x, y) of sets of different groups (p, q) that meet in a tile and may be linked by their
+    sizes and by where the shared shingle stands. Of ``drawn`` sets those whose numbers multiply to
+    ``DRAWN`` at most: a set alone in its group meets all that are drawn of another."""
     left, right = (tiles.select(*[F.col(c).alias(s + c) for c in tiles.columns]) for s in ("l_", "r_"))
     n, m = F.col("l_n"), F.col("r_n")
     smaller = (n < m) | ((n == m) & (F.col("l_a") < F.col("r_a")))
     # the shared shingle and those behind it in the smaller of both rests
     most = F.least(n - F.col("l_place"), m - F.col("r_place"))
-    met = left.join(
-        right.hint("merge"),
+    meet = (
         (F.col("l_key") == F.col("r_key"))
         & (F.col("l_group") != F.col("r_group"))
         & smaller
         & (n * 100 >= m * PERCENT)
-        & (most >= least_overlap(n, m)),
+        & (most >= least_overlap(n, m))
     )
-    return met.select(F.col("l_a").alias("x"), F.col("r_a").alias("y")).distinct()
+    if "drawn" in tiles.columns:
+        meet = meet & (F.col("l_drawn") * F.col("r_drawn") <= DRAWN)
+    names = {"l_a": "x", "r_a": "y", "l_group": "p", "r_group": "q"}
+    return left.join(right.hint("merge"), meet).select(*[F.col(c).alias(x) for c, x in names.items()]).distinct()
 
 
 def link_groups(docs: DataFrame) -> DataFrame:
@@ -320,8 +360,8 @@ def link_groups(docs: DataFrame) -> DataFrame:
     sets = cut_lineage(sets, "sets")
     if sets.filter("b <> other_b").limit(1).count():
         raise RuntimeError("two shingle sets share a 64-bit digest")
-    quick = cut_lineage(verified(cut_lineage(quick_pairs(sets), "quick-pairs"), sets, docs), "quick-links")
-    groups = cut_lineage(components(quick), "quick-groups")
+    links = cut_lineage(verified(cut_lineage(quick_pairs(sets), "quick-pairs"), sets, docs), "quick-links")
+    groups = cut_lineage(components(links), "quick-groups")
 
     # one row for each set: rows alone in their set as they stand, of the others the lowest row
     many = sets.filter("copies > 1")
@@ -335,10 +375,15 @@ def link_groups(docs: DataFrame) -> DataFrame:
     alone = texts.join(copied, same, "left_anti").select("text")
     once = texts.join(lowest, same, "left_semi").dropDuplicates(["text"]).select("text")
     rare = rare_shingles(alone.union(once), shingle_order(described))
-    known = broadcast_if_small(groups, 32).select(F.col("node").alias("a"), F.col("root").alias("root"))
-    rare = rare.join(known, "a", "left").withColumn("group", F.coalesce("root", "a"))
-    pairs = cut_lineage(rare_pairs(rare), "rare-pairs")
-    links = cut_lineage(quick.union(verified(pairs, sets, docs)), "links")
+    tiles = contested(rare, groups)
+    # first some sets of each group and tile, as most groups that belong together are joined by one of
+    # their links; then all pairs between the groups that are left
+    some = cut_lineage(rare_pairs(drawn_sets(grouped_sets(tiles, groups))), "drawn-pairs")
+    found = cut_lineage(verified(some.select("x", "y"), sets, docs), "drawn-links")
+    links = links.union(found)
+    groups = renamed_groups(groups, some.join(found, ["x", "y"], "left_semi"))
+    rest = cut_lineage(rare_pairs(grouped_sets(tiles, groups)).select("x", "y"), "rare-pairs")
+    links = cut_lineage(links.union(verified(rest, sets, docs)), "links")
 
     roots = components(links)
     joined = sets.select("a", "low", "copies").join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
