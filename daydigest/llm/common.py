@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daydigest.session import BROADCAST_BYTES
-
+# A side is broadcast only when its rows times its row width stay below this.
+BROADCAST_BYTES = 16 * 1024 * 1024
+# Rows that a Python worker gets at once; texts are long, so the default would take hundreds of MB.
+BATCH_ROWS = 1000
 # Rows of a group that one task numbers on average.
 BUCKET_ROWS = 5_000
 # Copies of one row that one task writes out.
@@ -17,6 +19,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers in batches of ``BATCH_ROWS`` from now on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows times ``row_bytes`` stay below the
     limit; else unmarked, so that the join shuffles both sides. Give a written table."""

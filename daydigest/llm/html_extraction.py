@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daydigest.llm.common import bounded_batches
+
 # Pages the classifier is fitted on at most, the first by hash of the url and the page; whole pages.
 TRAIN_PAGES = 400
 # Strength of the prior weights in the fit, and of the edges between blocks.
@@ -349,6 +351,7 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) for each page. A null or empty page, and one that
     has no content, has the empty text. A page's blocks are all of its text, however long.
     Repeated rows give equal rows, an empty table none; other columns are ignored."""
+    bounded_batches(pages.sparkSession)
     weights = train(pages) if weights is None else weights
     rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daydigest.llm.bytes import text_chunks
+from daydigest.llm.common import bounded_batches
 
 MAX_ORDER = 3
 # About so many training texts of each language, taken by hash of the text; whole texts.
@@ -140,6 +141,7 @@ def train(docs: DataFrame, max_order: int = MAX_ORDER, train_texts: int = TRAIN_
     counts that reach the driver are bounded by the sample, not by the corpus."""
     if not 0 <= max_order <= 6:
         raise ValueError("max_order must be from 0 to 6")
+    bounded_batches(docs.sparkSession)
     known = docs.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     have = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daydigest.llm.bytes import SPACE, mix64, run_hashes, text_chunks, words_of
-from daydigest.llm.common import broadcast_if_small
+from daydigest.llm.common import bounded_batches, broadcast_if_small
 from daydigest.llm.graphs import components
 from daydigest.session import cut_lineage
 
@@ -342,6 +342,7 @@ def link_groups(docs: DataFrame) -> DataFrame:
 
     Two 64-bit hashes identify a set; should sets differ in one of them alone, an error is raised.
     """
+    bounded_batches(docs.sparkSession)
     described = cut_lineage(profile(docs), "profile")
     rows = described.filter("slice IS NULL")
     sets = (

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daydigest.llm.bytes import NOT_ALNUM, mix64, text_chunks, words_of
+from daydigest.llm.common import bounded_batches
 from daydigest.session import cut_lineage
 
 # Buckets of the hashed words and pairs, of one model.
@@ -145,6 +146,7 @@ def resample(
     any order but in the right number. Null ids get noise too; an empty table gives no rows; other
     columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = score(docs, log_ratios(docs, good, most))
     scored = cut_lineage(rows.withColumn("gumbel_key", F.col("log_ratio") + gumbel(F.col("doc_id"), seed)), "scores")
     total = scored.count()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daydigest.llm.bytes import NOT_ALNUM, span_hashes, text_chunks, word_spans
+from daydigest.llm.common import bounded_batches
 from daydigest.session import cut_lineage
 
 # Labelled rows the model is fitted on at most, taken by hash of the id; whole texts.
@@ -140,6 +141,7 @@ def train(docs: DataFrame, graded: DataFrame, most: int = TRAIN_ROWS) -> Model:
     the driver, and of the texts only which of these they hold. Without graded texts, or with
     one grade alone, no text is above grade 0.
     """
+    bounded_batches(docs.sparkSession)
     sample = cut_lineage(training_rows(docs, graded, most), "graded")
     by_grade = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     nothing = Model(np.zeros(1 << BITS), np.full(1, 60.0))
@@ -210,6 +212,7 @@ def train(docs: DataFrame, graded: DataFrame, most: int = TRAIN_ROWS) -> Model:
 def rate(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with severity (expected grade, 0 and more) and toxic (a grade above 0 is
     more likely than not). A null or empty text has severity 0 and is not toxic."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text")
     schema = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1]))
     used = np.flatnonzero(model.weights)
