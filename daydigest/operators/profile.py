@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from daydigest.session import cut_lineage, small_side
 
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
-RANGES = 200
+# A column is cut into ranges of about so many rows, within these numbers of ranges.
+RANGE_ROWS = 100_000
+LEAST_RANGES, MOST_RANGES = 200, 5000
 
 
 def days_per_event(df: DataFrame) -> DataFrame:
@@ -42,8 +44,16 @@ def _long(row: DataFrame, columns: list[str], name: str) -> DataFrame:
     return row.unpivot([], [F.col(c) for c in columns], "column_name", name)
 
 
+def missing(field) -> F.Column:
+    """True for nulls, and in columns of floating numbers for NaN too."""
+    column = F.col(field.name)
+    if isinstance(field.dataType, (DoubleType, FloatType)):
+        return column.isNull() | F.isnan(column)
+    return column.isNull()
+
+
 def null_counts(df: DataFrame) -> DataFrame:
-    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    counted = df.agg(*[F.count_if(missing(f)).alias(f.name) for f in df.schema.fields])
     return _long(counted, df.columns, "n_null")
 
 
@@ -74,27 +84,26 @@ def distinct_values(df: DataFrame, columns: list[str], order: str | None = None)
     return long.groupBy("column_name", "value").agg(F.min("_seen").alias("first_seen"))
 
 
-def _quartiles(values: DataFrame, n_columns: int) -> DataFrame:
+def _quartiles(values: DataFrame, n_columns: int, rows: int) -> DataFrame:
     """Exact interpolated quartiles of (column_name, value) rows.
 
-    Equal values are counted first. An approximate sketch gives at most ``RANGES`` cut
-    points per column; counts per range tell in which range each wanted position falls,
-    and only the values of those ranges are numbered. No task sees a whole column.
+    A sketch gives cut points for each column; rows are counted per range on the map side, which
+    tells in which ranges the wanted positions fall. Only the values of those ranges are then
+    counted one by one, shuffled and numbered; no task sees a whole column.
     """
-    counted = values.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, rows // RANGE_ROWS))
     cuts = values.groupBy("column_name").agg(
-        F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 10000).alias("cuts"),
+        F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 20_000).alias("cuts"),
         F.count("*").alias("total"),
     )
-    ranged = counted.join(small_side(cuts, n_columns, 16 * RANGES), "column_name").withColumn(
+    cuts = cut_lineage(cuts, "cuts")
+    ranged = values.join(small_side(cuts, n_columns, 16 * ranges), "column_name").withColumn(
         "range", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
     )
-    ranged = cut_lineage(ranged.drop("cuts"), "ranges")
-    per_range = ranged.groupBy("column_name", "range", "total").agg(F.sum("n").alias("n_range"))
+    per_range = ranged.groupBy("column_name", "range", "total").agg(F.count("*").alias("n_range"))
+    per_range = cut_lineage(per_range, "ranges")
     before = Window.partitionBy("column_name").orderBy("range")
-    per_range = per_range.withColumn(
-        "seen", F.sum("n_range").over(before) - F.col("n_range")
-    )
+    per_range = per_range.withColumn("seen", F.sum("n_range").over(before) - F.col("n_range"))
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("stat"), F.lit(q).alias("q")) for k, q in QUARTILES.items()])
     )
@@ -109,17 +118,16 @@ def _quartiles(values: DataFrame, n_columns: int) -> DataFrame:
     holds = (F.ceil("position") >= F.col("seen")) & (
         F.floor("position") < F.col("seen") + F.col("n_range")
     )
-    positions = positions.filter(holds).drop("n_range")
+    positions = cut_lineage(positions.filter(holds).drop("n_range"), "positions")
     needed = positions.select("column_name", "range", "seen").distinct()
     needed = small_side(needed, n_columns * 2 * len(QUARTILES))
-    inside = ranged.select("column_name", "range", "value", "n").join(
-        needed, ["column_name", "range"]
-    )
+    inside = ranged.select("column_name", "range", "value").join(needed, ["column_name", "range"])
+    inside = inside.groupBy("column_name", "range", "seen", "value").agg(F.count("*").alias("n"))
     order = Window.partitionBy("column_name", "range").orderBy("value")
     numbered = inside.withColumn("end", F.col("seen") + F.sum("n").over(order)).withColumn(
         "start", F.col("end") - F.col("n")
     )
-    placed = numbered.join(
+    placed = numbered.drop("seen").join(
         small_side(positions.drop("seen"), n_columns * 2 * len(QUARTILES)), ["column_name", "range"]
     )
 
@@ -141,18 +149,24 @@ def _quartiles(values: DataFrame, n_columns: int) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """(column_name, stat, value): count, mean, std, min, quartiles and max of numbers."""
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in numeric])
-    values = wide.unpivot([], numeric, "column_name", "value").filter("value is not null")
-    moments = values.groupBy("column_name").agg(
-        F.count("*").cast("double").alias("count"),
+    """(column_name, stat, value): count, mean, std, min, quartiles and max of numbers. NaN is
+    missing; a column without a number has the count 0 and nulls."""
+    numeric = [f for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    wide = df.select(*[F.when(~missing(f), F.col(f.name)).cast("double").alias(f.name) for f in numeric])
+    names = [f.name for f in numeric]
+    every = wide.unpivot([], names, "column_name", "value")
+    moments = every.groupBy("column_name").agg(
+        F.count("value").cast("double").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    moments = cut_lineage(moments, "moments")
     stats = moments.unpivot(
         ["column_name"], ["count", "mean", "std", "min", "max"], "stat", "value"
     )
-    return stats.unionByName(_quartiles(values, len(numeric)))
+    rows = int(moments.agg(F.coalesce(F.max("count"), F.lit(0.0))).first()[0])
+    quartiles = _quartiles(every.filter("value is not null"), len(names), rows)
+    listed = moments.select("column_name", F.explode(F.array(*[F.lit(k) for k in QUARTILES])).alias("stat"))
+    return stats.unionByName(listed.join(quartiles, ["column_name", "stat"], "left"))

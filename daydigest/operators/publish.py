@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daydigest.functions import ids
 from daydigest.operators.context import ALL, of_request
 from daydigest.operators.digest import by_date_and
-from daydigest.sinks.writers import insert_if_absent
+from daydigest.sinks.writers import exists, insert_if_absent
 from daydigest.sources.results import csv_tables, read_csv_table
 
 
@@ -27,14 +27,14 @@ def _dated(df: DataFrame) -> DataFrame:
 def clean_summary(df: DataFrame) -> DataFrame:
     """Published form of summaries."""
     dated = _dated(df).withColumn("summary_xsum_detail", F.col("summary").cast("string"))
-    return by_date_and(dated, "avg_importance", "question").select(
+    return dated.select(
         "request", "date", "datetime", "question", "summary_xsum_detail", "avg_importance"
     )
 
 
 def clean_original(df: DataFrame) -> DataFrame:
     """Published form of source documents."""
-    return by_date_and(_dated(df), "importance", "docno").select(
+    return _dated(df).select(
         "query", "text", "request", "datetime", "date", "question", "importance", "source"
     )
 
@@ -50,14 +50,24 @@ def cleaned(df: DataFrame, table: str) -> DataFrame:
     return df.transform(CLEANERS.get(table, lambda same: same))
 
 
+# What a published table is sorted by within a day, best first, and on ties.
+ORDERS = {"summary": ("avg_importance", "question"), "original": ("importance", "query")}
+
+
 def publish_folder(
     spark: SparkSession, folder: str, target: str, schemas: dict | None = None
 ) -> dict[str, str]:
-    """Load every CSV table of a folder into ``target`` unless it is there already."""
+    """Load every CSV table of a folder into ``target``, sorted once, unless it is there already;
+    a table that is there is not read."""
     published = {}
     for table, path in csv_tables(spark, folder).items():
-        df = read_csv_table(spark, path, (schemas or {}).get(table))
-        published[table] = insert_if_absent(cleaned(df, table), f"{target.rstrip('/')}/{table}")
+        published[table] = f"{target.rstrip('/')}/{table}"
+        if exists(spark, published[table]):
+            continue
+        df = cleaned(read_csv_table(spark, path, (schemas or {}).get(table)), table)
+        if table in ORDERS:
+            df = by_date_and(df, *ORDERS[table])
+        insert_if_absent(df, published[table])
     return published
 
 

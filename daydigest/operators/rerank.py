@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from daydigest.functions import text as T
 from daydigest.operators.ranking import SCORE_DIGITS
@@ -49,19 +48,16 @@ def with_overlap_score(candidates: DataFrame, text: str = "text") -> DataFrame:
 def with_model_score(
     candidates: DataFrame, factory: Callable[[], PairScorer], text: str = "text"
 ) -> DataFrame:
-    """Score candidates with a model loaded once per worker."""
+    """Score candidates with a model loaded once per worker, which gets (query, text) alone."""
 
-    def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         scorer = factory()
-        for batch in batches:
-            scores = pd.Series(scorer(batch["query"], batch[text])).astype("float64")
-            yield batch.assign(rerank_score=scores.to_numpy())
+        for queries, texts in batches:
+            yield pd.Series(pd.Series(scorer(queries, texts)).astype("float64").to_numpy())
 
-    schema = StructType(candidates.schema.fields + [StructField("rerank_score", DoubleType())])
-    scored = candidates.mapInPandas(score_batches, schema)
-    return scored.withColumn(
-        "rerank_score", F.round(F.nanvl("rerank_score", F.lit(None)), SCORE_DIGITS)
-    )
+    scores = F.round(F.nanvl(score("query", text), F.lit(None)), SCORE_DIGITS)
+    return candidates.withColumn("rerank_score", scores)
 
 
 def join_scores(candidates: DataFrame, scores: DataFrame, key: list[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from daydigest.functions import ids
 from daydigest.functions import text as T
@@ -79,25 +78,26 @@ def with_batch_summaries(
     partitions: int | None = None,
     clean: bool = False,
 ) -> DataFrame:
-    """Summaries by a model: rows are spread over ``partitions`` and go through in batches.
+    """Summaries by a model, which gets prompt, texts and question of a batch: rows are spread over
+    ``partitions`` (two for each core, if not given).
 
     ``clean`` takes hashtags, links and mentions out of the text the model sees; the
     grouped row keeps its own text.
     """
-    if partitions:
-        grouped = grouped.repartition(partitions, "request_id", "q_id")
+    if partitions is None:
+        partitions = 2 * grouped.sparkSession.sparkContext.defaultParallelism
     seen = T.clean_social("texts") if clean else F.col("texts")
-    asked = with_prompt(grouped).withColumn("seen_texts", seen)
-    schema = StructType(grouped.schema.fields + [StructField("summary", StringType())])
+    asked = grouped.repartition(partitions, "request_id", "q_id")
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def summarise(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
-        for batch in batches:
-            view = batch.assign(texts=batch["seen_texts"])
-            summaries = pd.Series(model(view)).to_numpy()
-            yield batch.drop(columns=["prompt", "seen_texts"]).assign(summary=summaries)
+        for prompt, texts, question in batches:
+            view = pd.DataFrame({"prompt": prompt, "texts": texts, "question": question})
+            yield pd.Series(pd.Series(model(view)).to_numpy())
 
-    return asked.mapInPandas(summarise, schema)
+    prompt = T.prompt(F.col("texts"), F.col("question"))
+    return asked.withColumn("summary", summarise(prompt, seen, F.col("question")))
 
 
 def finalised(summarised: DataFrame) -> DataFrame:

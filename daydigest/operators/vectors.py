@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daydigest.session import cut_lineage
+from daydigest.session import checked_small_side, cut_lineage
 
 BLOCK = 256
 
@@ -42,46 +42,47 @@ def unit_rows(values, rows: int) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def block_maxima(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per pair of blocks, the best cosine of each left token among the right ones."""
-    for batch in batches:
-        best = []
-        for row in batch.itertuples(index=False):
-            left = unit_rows(row.left_values, len(row.left_pos))
-            right = unit_rows(row.right_values, len(row.right_pos))
-            best.append((left @ right.T).max(axis=1))
-        if best:
-            counts = [len(b) for b in best]
-            yield pd.DataFrame(
-                {
-                    "left": batch["left"].repeat(counts).to_numpy(),
-                    "right": batch["right"].repeat(counts).to_numpy(),
-                    "pos": np.concatenate(batch["left_pos"].to_list()),
-                    "best": np.concatenate(best),
-                }
-            )
-
-
-def best_matches(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left, right, pos, best): for each pair of owners and each left token, the highest
-    cosine with any right token. Token tables have columns owner, pos, vector."""
+def maxima(both: bool):
+    """Per pair of blocks, the best cosine of each left token among the right ones and, for
+    ``both``, of each right token among the left ones, from one product."""
+
+    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                left = unit_rows(row.left_values, len(row.left_pos))
+                right = unit_rows(row.right_values, len(row.right_pos))
+                product = left @ right.T
+                sides = [("left", row.left_pos, product.max(axis=1))]
+                if both:
+                    sides.append(("right", row.right_pos, product.max(axis=0)))
+                for side, pos, best in sides:
+                    out.append(pd.DataFrame({"left": row.left, "right": row.right, "side": side, "pos": pos, "best": best}))
+            if out:
+                yield pd.concat(out)
+
+    return of_batches
+
+
+def best_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, both: bool = False) -> DataFrame:
+    """(left, right, side, pos, best): for each pair of owners and each token of the left one (and,
+    for ``both``, of the right one) the highest cosine with a token of the other side.
+
+    Token tables have columns owner, pos, vector; pos counts an owner's tokens from 0, so that
+    blocks are full. The left blocks (queries) are broadcast if they are small.
+    """
     left_blocks = cut_lineage(packed(left, "left", "left"), "blocks")
     right_blocks = cut_lineage(packed(right, "right", "right"), "blocks")
-    block_pairs = (
-        pairs.select("left", "right")
-        .join(left_blocks.select("left", "left_block"), "left")
-        .join(right_blocks.select("right", "right_block"), "right")
-    )
-    loaded = block_pairs.join(left_blocks, ["left", "left_block"]).join(
-        right_blocks, ["right", "right_block"]
-    )
+    width = 16 * BLOCK * max(1, left_blocks.agg(F.max(F.size("left_values") / F.size("left_pos"))).first()[0] or 1)
+    wanted = pairs.select("left", "right").distinct().join(checked_small_side(left_blocks, int(width)), "left")
+    loaded = wanted.join(right_blocks, "right")
     types = {f.name: f.dataType.simpleString() for f in loaded.schema.fields}
     partial = loaded.select(
         "left", "right", "left_pos", "left_values", "right_pos", "right_values"
     ).mapInPandas(
-        block_maxima, f"left {types['left']}, right {types['right']}, pos long, best double"
+        maxima(both), f"left {types['left']}, right {types['right']}, side string, pos long, best double"
     )
-    return partial.groupBy("left", "right", "pos").agg(F.max("best").alias("best"))
+    return partial.groupBy("left", "right", "side", "pos").agg(F.max("best").alias("best"))
 
 
 def max_sim(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
@@ -95,19 +96,13 @@ def max_sim(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataF
 
 def greedy_match_scores(pairs: DataFrame, candidates: DataFrame, references: DataFrame) -> DataFrame:
     """Precision, recall and F1 of greedy cosine matching, per (left, right)."""
-    swapped = pairs.select(F.col("right").alias("left"), F.col("left").alias("right"))
-    precision = (
-        best_matches(pairs, candidates, references)
-        .groupBy("left", "right")
-        .agg(F.avg("best").alias("precision"))
-    )
-    recall = (
-        best_matches(swapped, references, candidates)
-        .groupBy(F.col("right").alias("left"), F.col("left").alias("right"))
-        .agg(F.avg("best").alias("recall"))
+    best = best_matches(pairs, candidates, references, both=True)
+    scores = best.groupBy("left", "right").agg(
+        F.avg(F.when(F.col("side") == "left", F.col("best"))).alias("precision"),
+        F.avg(F.when(F.col("side") == "right", F.col("best"))).alias("recall"),
     )
     p, r = F.col("precision"), F.col("recall")
-    return precision.join(recall, ["left", "right"]).select(
+    return scores.select(
         "left",
         "right",
         p.alias("precision"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +68,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Paths handed out below the shared folder, by application.
+_staged: dict[str, list[str]] = {}
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; ``release`` deletes what was written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete this application's staged tables but the first ``keep``, and return how many paths that
+    were; call it when the frames that read them have been used."""
+    paths = _staged.get(spark.sparkContext.applicationId, [])
+    gone, paths[keep:] = paths[keep:], []
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Staged tables of the block are deleted at its end; use its results within it."""
+    before = len(_staged.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
 
 
 def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -54,6 +54,12 @@ def write_facts(df: DataFrame, path: str, gzip: bool = True, by_run: bool = Fals
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``, in any store that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def insert_if_absent(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     """Write a table only when nothing is there yet."""
     writer = df.write.mode("ignore")

@@ -15,6 +15,7 @@ from daydigest.functions.porter import porter_stem
 from daydigest.operators import collection as C
 from daydigest.operators import (
     context,
+    dedup,
     digest,
     evaluate,
     profile,
@@ -66,15 +67,9 @@ def query(oracle: str | None = None, name: str | None = None):
     return register
 
 
-_ranked: dict[tuple[str, str], DataFrame] = {}
-
-
 def ranked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranked table as an input of the later steps, written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ranked:
-        _ranked[key] = cut_lineage(_colbert(spark, sf_dir), "ranked")
-    return _ranked[key]
+    """The ranked table as an input of the later steps, written by each query that needs it."""
+    return cut_lineage(_colbert(spark, sf_dir), "ranked")
 
 
 def _colbert(spark, d, **options) -> DataFrame:
@@ -808,16 +803,20 @@ def topk_50_then_5(spark, d):
 @query(
     Q.with_(
         Q.reranked(),
-        select="""SELECT request_id, q_id, docno, CASE WHEN rank < 25 THEN rerank_score END AS rerank_score,
-        CASE WHEN rank < 25 THEN CAST(row_number() OVER (PARTITION BY request_id, q_id
-          ORDER BY CASE WHEN rank < 25 THEN rerank_score END DESC NULLS LAST, docno) AS INTEGER)
-        END AS rerank_rank FROM ranked""",
+        select="""SELECT request_id, q_id, docno, s AS rerank_score,
+        CASE WHEN s IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY request_id, q_id
+          ORDER BY s DESC NULLS LAST, docno) AS INTEGER) END AS rerank_rank
+        FROM (SELECT *, CASE WHEN length(text) % 3 > 0 THEN rerank_score END AS s FROM rescored)""",
     )
 )
 def win_rerank_rank_1based(spark, d):
-    some = F.when(F.col("rank") < 25, F.col("rerank_score")).alias("rerank_score")
-    scored = ranked_table(spark, d).select("request_id", "q_id", "docno", some)
-    return rerank.rerank_ranks(scored, ["request_id"])
+    """All first-stage candidates; those whose text length is a multiple of three have no score."""
+    hits = rank_rerank.candidates(
+        S.corpus(spark, d), S.queries(spark, d), S.calendar(spark, d), "BM25", C.STOP_THEN_STEM
+    )
+    scored = rerank.with_overlap_score(hits)
+    some = F.when(F.length("text") % 3 > 0, F.col("rerank_score")).alias("rerank_score")
+    return rerank.rerank_ranks(scored.select("request_id", "q_id", "docno", some), ["request_id"])
 
 
 def overlap_model() -> rerank.PairScorer:
@@ -862,51 +861,51 @@ def rank_rerank_t5(spark, d):
     return _t5(spark, d)
 
 
-VECTORS = """v AS (SELECT e.vec_id AS pos, CAST(e.embedding AS DOUBLE[]) AS vector, e.label, d.lang, d.source
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
+VECTORS = f"""v AS (SELECT vec_id // {S.TEXT_TOKENS} AS owner, vec_id % {S.TEXT_TOKENS} AS pos,
+  CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+pairs AS (SELECT DISTINCT owner - owner % {S.QUERY_TEXTS} AS l, owner AS r FROM v),
+products AS MATERIALIZED (SELECT l, r, a.pos AS ap, b.pos AS bp, list_cosine_similarity(a.vector, b.vector) AS c
+  FROM pairs JOIN v a ON a.owner = l JOIN v b ON b.owner = r),
+forth AS (SELECT l, r, ap, max(c) AS best FROM products GROUP BY ALL),
+back AS (SELECT l, r, bp, max(c) AS best FROM products GROUP BY ALL)"""
 
 
-def _best_sql(left: str, right: str, pairs: str = "pairs", name: str = "best") -> str:
-    return f"""{name} AS (SELECT p.l, p.r, a.pos, max(list_cosine_similarity(a.vector, b.vector)) AS best
-  FROM {pairs} p JOIN v a ON a.{left} = p.l JOIN v b ON b.{right} = p.r GROUP BY ALL)"""
+@query(Q.with_(VECTORS, select='SELECT l AS "left", r AS "right", round(sum(best), 6) AS rerank_score FROM forth GROUP BY ALL'))
+def rerank_maxsim(spark, d):
+    return vectors.max_sim(S.vector_pairs(spark, d), S.vectors(spark, d), S.vectors(spark, d))
 
 
 @query(
     Q.with_(
-        VECTORS,
-        "pairs AS (SELECT DISTINCT label AS l, source AS r FROM v)",
-        _best_sql("label", "source"),
-        select='SELECT l AS "left", r AS "right", round(sum(best), 4) AS rerank_score FROM best GROUP BY ALL',
+        Q.context(),
+        """scores AS (SELECT q.vec_id, printf('q%03d', q.vec_id) AS q_id, docs.docno,
+        list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS rerank_score
+        FROM embeddings q, docs JOIN embeddings t ON t.vec_id = docs.doc_id
+        WHERE q.vec_id IN (SELECT item_id FROM benchmark))""",
+        """best AS (SELECT *, row_number() OVER (PARTITION BY request_id, q_id ORDER BY rerank_score DESC, docno) AS place
+        FROM context JOIN scores USING (q_id, docno))""",
+        select="""SELECT request_id, q_id, docno, score, round(rerank_score, 6) AS rerank_score,
+        CAST(place AS INTEGER) AS rerank_rank FROM best WHERE place <= 5""",
     )
 )
-def rerank_maxsim(spark, d):
-    return vectors.max_sim(
-        S.vector_pairs(spark, d, "label", "source"),
-        S.vectors(spark, d, "label"),
-        S.vectors(spark, d, "source"),
-    )
+def rank_rerank_colbert_vectors(spark, d):
+    """The ColBERT path with late interaction over vectors of queries and documents."""
+    ranked = _colbert(spark, d, vectors_of=(S.query_vectors(spark, d), S.document_vectors(spark, d)))
+    return ranked.select("request_id", "q_id", "docno", "score", "rerank_score", "rerank_rank")
 
 
 GREEDY = Q.with_(
     VECTORS,
-    "pairs AS (SELECT DISTINCT source AS l, lang AS r FROM v)",
-    "swapped AS (SELECT r AS l, l AS r FROM pairs)",
-    _best_sql("source", "lang", "pairs", "forth"),
-    _best_sql("lang", "source", "swapped", "back"),
     "ps AS (SELECT l, r, avg(best) AS p FROM forth GROUP BY ALL)",
-    "rs AS (SELECT r AS l, l AS r, avg(best) AS c FROM back GROUP BY ALL)",
-    """greedy AS (SELECT l AS "left", r AS "right", round(p, 4) AS precision, round(c, 4) AS recall,
-      round(2 * p * c / nullif(p + c, 0), 4) AS f1 FROM ps JOIN rs USING (l, r))""",
+    "rs AS (SELECT l, r, avg(best) AS c FROM back GROUP BY ALL)",
+    """greedy AS (SELECT l AS "left", r AS "right", round(p, 6) AS precision, round(c, 6) AS recall,
+      round(2 * p * c / nullif(p + c, 0), 6) AS f1 FROM ps JOIN rs USING (l, r))""",
     select="{}",
 )
 
 
 def _greedy(spark, d) -> DataFrame:
-    return vectors.greedy_match_scores(
-        S.vector_pairs(spark, d, "source", "lang"),
-        S.vectors(spark, d, "source"),
-        S.vectors(spark, d, "lang"),
-    )
+    return vectors.greedy_match_scores(S.vector_pairs(spark, d), S.vectors(spark, d), S.vectors(spark, d))
 
 
 @query(GREEDY.format("SELECT * FROM greedy"))
@@ -924,6 +923,38 @@ def eval_long_metrics(spark, d):
     return evaluate.long_metrics(_greedy(spark, d), ["left", "right"])
 
 
+SEEDS = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in dedup.seeds(dedup.BANDS * dedup.BAND_ROWS))
+SHINGLED = """words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+shingled AS MATERIALIZED (SELECT doc_id, list_transform(CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(
+  list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) END,
+  lambda s: ('0x' || left(md5(s), 8))::BIGINT) AS h FROM words)"""
+SIGNED = f"""{SHINGLED},
+signed AS MATERIALIZED (SELECT doc_id, len(h) AS n_shingles, CASE WHEN len(h) > 0 THEN list_transform([{SEEDS}],
+  lambda f: list_min(list_transform(h, lambda x: (x * f.a + f.b) % {dedup.PRIME}))) END AS signature FROM shingled)"""
+
+
+@query(f"WITH {SHINGLED} SELECT doc_id, unnest(h) AS shingle FROM shingled")
+def dedup_shingles(spark, d):
+    listed = dedup.hashed(dedup.shingles("text"))
+    return S.documents(spark, d).select("doc_id", F.explode(listed).alias("shingle"))
+
+
+@query(f"""WITH {SIGNED} SELECT doc_id, n_shingles, array_to_string(signature, '|') AS signature FROM signed""")
+def dedup_minhash(spark, d):
+    return dedup.with_signature(S.documents(spark, d))
+
+
+@query(
+    f"""WITH {SIGNED}, parts AS (SELECT doc_id, signature, unnest(range(0, {dedup.BANDS})) AS band FROM signed
+    WHERE signature IS NOT NULL),
+    buckets AS (SELECT doc_id, band::INTEGER AS band, md5(array_to_string(
+      signature[band * {dedup.BAND_ROWS} + 1:(band + 1) * {dedup.BAND_ROWS}], ',')) AS bucket FROM parts)
+    SELECT doc_id, band, bucket, count(*) OVER (PARTITION BY band, bucket) AS size FROM buckets"""
+)
+def dedup_lsh_bands(spark, d):
+    return dedup.band_buckets(dedup.with_signature(S.documents(spark, d)))
+
+
 # ---- set operations ----------------------------------------------------------------
 
 

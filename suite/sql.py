@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from daydigest.functions import porter as P
-from daydigest.functions import text as T
-from daydigest.operators import ranking as R
 from suite.tables import LANGUAGES
 
-STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+# The common English stop words, written out a second time on purpose.
+STOPS = ", ".join(
+    f"'{w}'"
+    for w in """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his
+    himself she her hers herself it its itself they them their theirs themselves what
+    which who whom this that these those am is are was were be been being have has had
+    having do does did doing a an the and but if or because as until while of at by for
+    with about against between into through during before after above below to from up
+    down in out on off over under again further then once here there when where why how
+    all any both each few more most other some such no nor not only own same so than too
+    very s t can will just don should now
+    """.split()
+)
 LANGS = ", ".join(f"'{x}'" for x in LANGUAGES)
 
 DOCS = """docs AS (
@@ -125,23 +136,21 @@ def statistics(steps: tuple[str, ...]) -> str:
     return ",\n".join(parts)
 
 
-K = f"({R.BM25_K1} * ({1 - R.BM25_B} + {R.BM25_B} * dl / avgdl))"
-TN = f"(tf * log2(1 + {R.NORMALISATION_C} * avgdl / dl))"
-LE = R.LOG2_E
+# The models' published default parameters, written out here so that the twins stand on their own.
+K = "(1.2 * (0.25 + 0.75 * dl / avgdl))"
+TN = "(tf * log2(1 + 1.0 * avgdl / dl))"
+LE = "1.4426950408889634"
 FORMULAS = {
-    "BM25": f"log2((n_docs - df + 0.5) / (df + 0.5)) * {R.BM25_K1 + 1} * tf / ({K} + tf)"
-    f" * {R.BM25_K3 + 1} * qtf / ({R.BM25_K3} + qtf)",
-    "TF_IDF": f"qtf * {R.BM25_K1} * tf / (tf + {K}) * log2(n_docs / df + 1)",
+    "BM25": f"log2((n_docs - df + 0.5) / (df + 0.5)) * 2.2 * tf / ({K} + tf) * 9.0 * qtf / (8.0 + qtf)",
+    "TF_IDF": f"qtf * 1.2 * tf / (tf + {K}) * log2(n_docs / df + 1)",
     "PL2": f"qtf / ({TN} + 1) * ({TN} * log2(n_docs / cf) + cf / n_docs * {LE}"
     f" + 0.5 * log2(2 * pi() * {TN}) + {TN} * (log2({TN}) - {LE}))",
     "InL2": f"qtf * {TN} / ({TN} + 1) * log2((n_docs + 1) / (df + 0.5))",
     "DPH": "CASE WHEN tf < dl THEN qtf * (1 - tf / dl) * (1 - tf / dl) / (tf + 1)"
     " * (tf * log2(tf * (avgdl / dl) * (n_docs / cf)) + 0.5 * log2(2 * pi() * tf * (1 - tf / dl)))"
     " ELSE 0.0 END",
-    "DirichletLM": f"qtf * (log2(1 + tf / ({R.DIRICHLET_MU} * cf / n_terms))"
-    f" + log2({R.DIRICHLET_MU} / (dl + {R.DIRICHLET_MU})))",
-    "Hiemstra_LM": f"qtf * log2(1 + {R.HIEMSTRA_LAMBDA} * tf * n_terms"
-    f" / ({1 - R.HIEMSTRA_LAMBDA} * cf * dl))",
+    "DirichletLM": "qtf * (log2(1 + tf / (2500.0 * cf / n_terms)) + log2(2500.0 / (dl + 2500.0)))",
+    "Hiemstra_LM": "qtf * log2(1 + 0.15 * tf * n_terms / (0.85 * cf * dl))",
     "DFRee": "qtf * tf * log2(((tf + 1) / (dl + 1)) / (tf / dl)) * (-tf * log2(tf / dl * (n_terms / cf))"
     " + (tf + 1) * log2((tf + 1) / (dl + 1) * (n_terms / cf))"
     " + 0.5 * log2(((tf + 1) / (dl + 1)) / (tf / dl)))",
@@ -175,15 +184,20 @@ def overlap(query: str, text: str) -> str:
     + coalesce(len(list_intersect({q}, {t})) / nullif(len({t}), 0), 0.0), 6)"""
 
 
-def reranked(path: str = "COLBERT", model: str = "BM25", depth: int = 5) -> str:
-    """Tables that end in ``ranked``, the whole ranked table of one path."""
+def context(path: str = "COLBERT", model: str = "BM25") -> str:
+    """Tables that end in ``context``: the first-stage hits with text, time and query."""
     steps = ("stop", "stem") if path == "COLBERT" else ("stem", "stop")
     return f"""{ranked(model, steps)},
 context AS (
   SELECT h.*, d.unix_timestamp, d.moment, d.text, c.request_id, q.text AS question,
     q.indicative_terms AS query, q.event_title, q.trecis_category_mapping, d.source
   FROM hits h JOIN docs d USING (event_id, date, docno) JOIN calendar c USING (event_id, date)
-  JOIN queries q ON q.event_id = h.event_id AND q.query_id = h.q_id),
+  JOIN queries q ON q.event_id = h.event_id AND q.query_id = h.q_id)"""
+
+
+def reranked(path: str = "COLBERT", model: str = "BM25", depth: int = 5) -> str:
+    """Tables that end in ``ranked``, the whole ranked table of one path."""
+    return f"""{context(path, model)},
 term_lists AS (SELECT *, {terms('query')} AS qt, {terms('text')} AS dt FROM context),
 rescored AS (SELECT * EXCLUDE (qt, dt), {overlap('qt', 'dt')} AS rerank_score FROM term_lists),
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (

@@ -122,20 +122,37 @@ def reference_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str, owner: str) -> DataFrame:
-    """Vectors as tokens of a text that ``owner`` names: a document column, or ``label``."""
-    embeddings = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return embeddings.join(documents, "doc_id").select(
-        F.col(owner).alias("owner"),
-        F.col("doc_id").alias("pos"),
+# Token vectors of a text, and texts that are compared with one query.
+TEXT_TOKENS, QUERY_TEXTS = 16, 20
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a token of a text of at most ``TEXT_TOKENS``, counted from 0 in it."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.expr(f"vec_id div {TEXT_TOKENS}").alias("owner"),
+        (F.col("vec_id") % TEXT_TOKENS).alias("pos"),
         F.col("embedding").alias("vector"),
     )
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str, left: str, right: str) -> DataFrame:
-    """Pairs of owners that share a document."""
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first text of each ``QUERY_TEXTS`` as the query (left) of all of them."""
+    owners = vectors(spark, sf_dir).select("owner").distinct()
+    return owners.select(F.expr(f"owner - owner % {QUERY_TEXTS}").alias("left"), F.col("owner").alias("right"))
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector for each query, by its number."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    return embeddings.select(
+        F.format_string("q%03d", "vec_id").alias("owner"), F.lit(0).cast("long").alias("pos"), F.col("embedding").alias("vector")
+    ).join(queries(spark, sf_dir).select(F.col("query_id").alias("owner")).distinct(), "owner")
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector for each document that has one, by its id."""
+    documents = timed_documents(spark, sf_dir).select("doc_id", F.col("docno").alias("owner"))
     embeddings = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    joined = embeddings.join(documents, "doc_id")
-    return joined.select(F.col(left).alias("left"), F.col(right).alias("right")).distinct()
+    return documents.join(embeddings, "doc_id").select(
+        "owner", F.lit(0).cast("long").alias("pos"), F.col("embedding").alias("vector")
+    )
