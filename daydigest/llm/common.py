@@ -24,6 +24,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def anonymous(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ... and the new name of each column, so that no name of its own
+    meets one that an operator adds."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), {c: f"c{i}" for i, c in enumerate(docs.columns)}
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows times ``row_bytes`` stay below the
     limit; else unmarked, so that the join shuffles both sides. Give a written table."""

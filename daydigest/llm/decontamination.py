@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daydigest.llm.common import text_or_empty
+from daydigest.llm.common import anonymous
 from daydigest.session import BROADCAST_BYTES
 
 WINDOW = 10
@@ -160,8 +160,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     """``docs`` without the documents that hold a test n-gram; columns and other rows as they are."""
     bad = find_hits(docs, benchmark, window).filter(F.size("spans") > 0)
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_digest"))
-    return docs.join(bad, same, "left_anti")
+    plain, at = anonymous(docs)
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(at["text"]) == F.col("_bad_digest"))
+    return plain.join(bad, same, "left_anti").toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -170,15 +171,18 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     other text stays byte by byte. Documents without hits are unchanged."""
     bad = find_hits(docs, benchmark, window).filter(F.size("spans") > 0)
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
+    plain, at = anonymous(docs)
+    text = F.col(at["text"])
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_digest"))
     raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     tail = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    lead = F.regexp_extract("text", f"^{tail}", 0)
-    runs = F.regexp_extract_all("text", F.lit(f"({raw}{tail})"), F.lit(1))
+    lead = F.regexp_extract(text, f"^{tail}", 0)
+    runs = F.regexp_extract_all(text, F.lit(f"({raw}{tail})"), F.lit(1))
     hit = F.array_distinct(
         F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
     )
     # the hit positions go as an array of runs to blank, matched by position
     cut = F.concat(lead, F.array_join(F.transform(runs, lambda r, i: F.when(F.array_contains(hit, i), "").otherwise(r)), ""))
-    joined = docs.join(bad, same, "left")
-    return joined.withColumn("text", F.when(F.col("_id").isNotNull() | F.col("_spans").isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
+    joined = plain.join(bad, same, "left")
+    shown = joined.withColumn(at["text"], F.when(F.col("_spans").isNotNull(), cut).otherwise(text))
+    return shown.select(*plain.columns).toDF(*docs.columns)

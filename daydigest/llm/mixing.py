@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daydigest.llm.common import dense_positions
+from daydigest.llm.common import anonymous, dense_positions
 
 # Slots of the schedule after which it repeats; weights are multiples of one slot.
 PERIOD = 1000
@@ -165,8 +165,9 @@ def mixed_documents(
     """
     _, _, quotas = plan(docs, units, period, block_rows)
     want = quotas.filter("quota > 0").select(F.col("source").alias("_s"), "quota")
-    spot = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text")), 33)
-    order = [spot, F.col("doc_id"), F.xxhash64("text")]
+    plain, at = anonymous(docs)
+    doc_id, digest = F.col(at["doc_id"]), F.xxhash64(at["text"])
+    order = [F.shiftrightunsigned(F.xxhash64(doc_id, digest), 33), doc_id, digest]
     end = positions(docs).join(
         F.broadcast(want), F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("quota") - 1)
     )
@@ -185,5 +186,5 @@ def mixed_documents(
             | (order[1].eqNullSafe(F.col("_m1")) & (order[2] <= F.col("_m2")))
         )
     )
-    # left_semi keeps the columns of docs alone, whatever their names
-    return docs.join(F.broadcast(marks), F.col("source").eqNullSafe(F.col("_s")) & before, "left_semi")
+    kept = plain.join(F.broadcast(marks), F.col(at["source"]).eqNullSafe(F.col("_s")) & before, "left_semi")
+    return kept.toDF(*docs.columns)

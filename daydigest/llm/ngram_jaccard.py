@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daydigest.llm.bytes import SPACE, mix64, run_hashes, text_chunks, words_of
-from daydigest.llm.common import bounded_batches, broadcast_if_small
+from daydigest.llm.common import anonymous, bounded_batches, broadcast_if_small
 from daydigest.llm.graphs import components
 from daydigest.session import cut_lineage
 
@@ -421,8 +421,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = broadcast_if_small(cut_lineage(keep.select("id", "t"), "kept-rows"), 32)
     columns = docs.columns
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_t") == F.col("t"))
-    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    plain, at = anonymous(docs)
     plain = plain.withColumn("_id", F.col(at["doc_id"])).withColumn("_t", F.xxhash64(at["text"]))
     alone = plain.join(every, same, "left_anti")
     firsts = plain.join(keep, same, "left_semi").dropDuplicates(["_id", "_t"])

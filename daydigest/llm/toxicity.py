@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daydigest.llm.bytes import NOT_ALNUM, span_hashes, text_chunks, word_spans
-from daydigest.llm.common import bounded_batches
+from daydigest.llm.common import anonymous, bounded_batches
 from daydigest.session import cut_lineage
 
 # Labelled rows the model is fitted on at most, taken by hash of the id; whole texts.
@@ -253,6 +253,6 @@ def toxicity(docs: DataFrame, graded: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, graded: DataFrame) -> DataFrame:
     """``docs`` without the documents rated toxic; columns and other rows as they are."""
-    columns = docs.columns
-    rated = rate(docs, train(docs, graded), columns)
-    return rated.toDF(*columns, "_severity", "_toxic").filter(~F.col("_toxic")).select(*columns)
+    plain, at = anonymous(docs)
+    rated = rate(plain.withColumn("text", F.col(at["text"])), train(docs, graded), plain.columns)
+    return rated.filter(~F.col("toxic")).select(*plain.columns).toDF(*docs.columns)
