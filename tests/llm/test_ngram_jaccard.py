@@ -119,3 +119,36 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(200)]
     roots = graphs.components(spark.createDataFrame(chain, "x long, y long")).select("root").distinct().collect()
     assert [r["root"] for r in roots] == [0]
+
+
+def test_components_of_a_path_that_the_large_star_leaves_as_it_is(spark):
+    links = spark.createDataFrame([(3, 4), (3, 5), (2, 4), (1, 5)], "x long, y long")
+    got = sorted((r["node"], r["root"]) for r in graphs.components(links).collect())
+    assert got == [(n, 1) for n in range(1, 6)]
+    assert graphs.components(links.limit(0)).count() == 0
+
+
+def test_components_match_union_find(spark):
+    rng, links, root = random.Random(5), [], {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    # 120 paths, trees and random graphs of up to 40 nodes under shuffled labels, all in one table
+    for g in range(120):
+        n = rng.randint(2, 40)
+        label = [1000 * g - 60_000 + x for x in rng.sample(range(1000), n)]
+        if g % 3 == 0:
+            links += [(label[i], label[i + 1]) for i in range(n - 1)]
+        elif g % 3 == 1:
+            links += [(label[i], label[rng.randrange(i)]) for i in range(1, n)]
+        else:
+            links += [(rng.choice(label), rng.choice(label)) for _ in range(n)]
+    for x, y in links:
+        if x != y:
+            a, b = find(x), find(y)
+            root[max(a, b)] = min(a, b)
+    got = graphs.components(spark.createDataFrame(links, "x long, y long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((i, find(i)) for i in list(root))
