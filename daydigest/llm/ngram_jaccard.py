@@ -332,13 +332,15 @@ def rare_pairs(tiles: DataFrame) -> DataFrame:
 
 
 def link_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), n_shingles, component_id for each document.
+    """doc_id, t (hash of the text), n_shingles, component_id, grouped, root for each document.
 
     Documents link where 100 * overlap >= 75 * union of their sets of distinct 5-word shingles
     (lower-cased in ASCII, split at white space; of fewer words the whole sequence). A document
     without words (or a null text) links with nothing. ``component_id`` is the smallest doc_id of a
-    document's group; a null id counts only where a group has no other. Repeated rows and ids are
-    documents of their own; other columns are ignored; an empty table gives no rows.
+    document's group; a null id counts only where a group has no other. As ids may repeat, several
+    groups can have one ``component_id``; ``root`` (a digest; null where not ``grouped``) is the
+    identity of a group. Repeated rows and ids are documents of their own; other columns are
+    ignored; an empty table gives no rows.
 
     Two 64-bit hashes identify a set; should sets differ in one of them alone, an error is raised.
     """
@@ -390,7 +392,7 @@ def link_groups(docs: DataFrame) -> DataFrame:
     joined = sets.select("a", "low", "copies").join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
     grouped = joined.filter("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "a"))
     lows = grouped.groupBy("root").agg(F.min("low").alias("least"))
-    named = grouped.select("a", "root").join(lows, "root").select("a", F.col("least.id").alias("component_id"))
+    named = grouped.select("a", "root").join(lows, "root").select("a", "root", F.col("least.id").alias("component_id"))
     named = cut_lineage(named, "components")
     out = rows.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("a")).alias("a"))
     out = out.join(named.withColumn("found", F.lit(True)), "a", "left")
@@ -400,6 +402,7 @@ def link_groups(docs: DataFrame) -> DataFrame:
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("found", F.lit(False)).alias("grouped"),
+        "root",
     )
 
 
@@ -414,11 +417,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     they are; only ids and hashes are shuffled, and of rows that occur more than once the row."""
     found = cut_lineage(link_groups(docs).filter("grouped"), "grouped")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))
-    keep = found.groupBy("component_id").agg(F.min(order).alias("w"), F.count(F.lit(1)).alias("k"))
-    keep = keep.select(F.col("w.doc_id").alias("id"), "w.t").withColumn("kept", F.lit(True))
+    keep = found.groupBy("root").agg(F.min(order).alias("w"))
+    keep = keep.select(F.col("w.doc_id").alias("id"), "w.t")
     every = found.select(F.col("doc_id").alias("id"), "t").distinct()
     every = broadcast_if_small(cut_lineage(every, "grouped-rows"), 32)
-    keep = broadcast_if_small(cut_lineage(keep.select("id", "t"), "kept-rows"), 32)
+    keep = broadcast_if_small(cut_lineage(keep, "kept-rows"), 32)
     columns = docs.columns
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_t") == F.col("t"))
     plain, at = anonymous(docs)

@@ -99,6 +99,20 @@ def test_nulls_short_and_long_texts_copies_and_repeated_ids(spark):
     assert N.jaccard_groups(table.limit(0)).count() == 0 and N.one_of_each(table.limit(0)).count() == 0
 
 
+def test_groups_of_one_smallest_id_are_groups_of_their_own(spark):
+    docs = [
+        (None, "text a of null ids"), (None, "text a of null ids"), (None, "text b of null ids"), (None, "text b of null ids"),
+        (5, "text c"), (6, "text c"), (5, "text d"), (7, "text d"), (8, "alone"),
+    ]
+    docs = [(i, t, None, 1, 1, 1, "x") for i, t in docs]
+    table = spark.createDataFrame(docs, SCHEMA)
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in N.jaccard_groups(table).collect()) == brute(docs)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in N.one_of_each(table).collect())
+    assert kept == [
+        ("5", "text c"), ("5", "text d"), ("8", "alone"), ("None", "text a of null ids"), ("None", "text b of null ids")
+    ]
+
+
 def test_bitmaps_never_rule_out_a_link():
     import numpy as np
 
