@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from daydigest.functions import text as T
 
 SHINGLE_WORDS = 5
-# Signatures of 8 bands of 8: half of all pairs of similarity 0.77 share a bucket.
-BANDS, BAND_ROWS = 8, 8
+# Signatures of 16 bands of 4: of pairs of similarity s 1 - (1 - s^4)^16 share a bucket, 0.998 at 0.75.
+BANDS, BAND_ROWS = 16, 4
 # A prime above 2^32, the range of the shingle hashes.
 PRIME = 4294967311
 

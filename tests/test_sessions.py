@@ -1,6 +1,7 @@
 """Staged tables, orders of results, and profiles of odd columns."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,22 @@ def test_signatures_of_equal_and_empty_texts(spark):
     assert got[3].signature is None and got[4].n_shingles == 0
     buckets = dedup.band_buckets(signed).collect()
     assert {(r.doc_id, r.size) for r in buckets} == {(1, 2), (2, 2), (5, 1)} and len(buckets) == 3 * dedup.BANDS
+
+
+def test_near_duplicates_at_the_threshold_share_a_bucket(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(150):
+        one = [f"w{rng.randrange(10**6)}" for _ in range(124)]
+        other = list(one)
+        for at in (20, 60, 100):
+            other[at + rng.randrange(10)] = f"v{rng.randrange(10**6)}"
+        texts += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    runs = [{tuple(t.split()[k : k + 5]) for k in range(120)} for _, t in texts]
+    near = {(i, j) for j in range(300) for i in range(j) if 0.75 <= len(runs[i] & runs[j]) / len(runs[i] | runs[j]) <= 0.8}
+    assert len(near) == 150
+    members = {}
+    for r in dedup.band_buckets(dedup.with_signature(spark.createDataFrame(texts, "doc_id long, text string"))).collect():
+        members.setdefault((r.band, r.bucket), set()).add(r.doc_id)
+    met = {(i, j) for i, j in near if any(i in m and j in m for m in members.values())}
+    assert len(met) >= 0.97 * len(near), len(met)
