@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daydigest.llm.common import anonymous, dense_positions
+from daydigest.llm.common import anonymous, broadcast_if_small, dense_positions
+from daydigest.session import cut_lineage
 
 # Slots of the schedule after which it repeats; weights are multiples of one slot.
 PERIOD = 1000
-# Sources that a mixture can have: the schedule's cost grows with their square.
-MOST_SOURCES = 5000
+# Slots times sources up to which one row folds the schedule; beyond, it is made from rows.
+FOLD_STEPS = 1_000_000
+# Halvings of the schedule's blocks between two written tables.
+HALVINGS = 5
 # Rows of a block, the unit that is scheduled.
 BLOCK_ROWS = 50
 
@@ -39,7 +42,8 @@ def schedule(units: DataFrame, period: int = PERIOD) -> DataFrame:
     Block j (from 0) of a source with u units may run from slot floor(j * period / u) and has
     the deadline ceil((j + 1) * period / u). Each slot takes, of the blocks released by then,
     the one of the earliest deadline (ties: by the sources' order), so that no source is ever a
-    block or more away from its weight. The table is one row of bounded size.
+    block or more away from its weight. One row holds all sources: for few of them, see
+    ``schedule_rows``.
     """
     sources = units.agg(F.array_sort(F.collect_list(F.struct("source", "units"))).alias("all"))
     fold = f"""aggregate(
@@ -66,18 +70,51 @@ def schedule(units: DataFrame, period: int = PERIOD) -> DataFrame:
     )
 
 
+def schedule_rows(units: DataFrame, period: int = PERIOD) -> DataFrame:
+    """The table of ``schedule`` for any number of sources, from a row for each block and slot.
+
+    By earliest deadline first the slots of the blocks of the earlier deadlines do not depend on
+    the others: a slot is theirs if one of them is released and still waits there. So the blocks,
+    numbered by deadline and source, are halved, the first half gets its slots and the second the
+    rest, and both halves go on alone until each block has one slot. What waits is a running sum
+    over releases and slots that starts anew at its least value.
+    """
+    j = F.explode(F.expr("sequence(0L, units - 1L)")).alias("turn")
+    blocks = units.filter("units > 0").select("source", F.col("units").cast("long").alias("units")).select("source", "units", j)
+    deadline = F.expr(f"((turn + 1L) * {period}L + units - 1L) div units")
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(deadline, F.asc_nulls_first("source"))) - 1
+    blocks = cut_lineage(blocks.withColumn("rank", rank.cast("long")), "blocks")
+    spark, none = units.sparkSession, F.lit(None).cast("long")
+    rows = blocks.select(F.expr(f"(turn * {period}L) div units").alias("time"), "rank")
+    rows = rows.union(spark.range(period).select("id", none)).withColumn("node", F.lit(0).cast("long"))
+    levels = (period - 1).bit_length()
+    for level in range(levels):
+        late = F.shiftright("rank", levels - level - 1).bitwiseAND(F.lit(1))
+        # a release at a time comes before the slot
+        order = Window.partitionBy("node").orderBy("time", F.col("rank").isNull())
+        step = F.when(F.col("rank").isNull(), -1).otherwise(1 - late)
+        rows = rows.withColumn("_sum", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        least = F.min("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("_least", F.least(least, F.lit(0)))
+        half = F.when(F.col("rank").isNotNull(), late).otherwise((F.col("_sum") < F.col("_least")).cast("long"))
+        rows = rows.select("time", "rank", (2 * F.col("node") + half).alias("node"))
+        if level % HALVINGS == HALVINGS - 1:
+            rows = cut_lineage(rows, "halves")
+    # the last halves are numbered as the blocks are
+    slots = rows.filter("rank IS NULL").select(F.col("time").alias("slot"), F.col("node").alias("rank"))
+    return cut_lineage(slots.join(blocks, "rank").select("slot", "source", "units", "turn"), "slots")
+
+
 def source_counts(docs: DataFrame, source: str = "source") -> DataFrame:
     return docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int):
     """The period, its schedule, and for each source its units and how many of its first rows the
-    mixture takes (``quota``); both tables are of bounded size. Without given ``units`` the period
-    grows to four slots for each source."""
+    mixture takes (``quota``); both tables grow with the sources alone. Without given ``units`` the
+    period grows to four slots for each source."""
     counts = source_counts(docs)
-    n = counts.limit(MOST_SOURCES + 1).count()
-    if n > MOST_SOURCES:
-        raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
+    n = counts.count()
     if units is None:
         period = max(period, 4 * n)
     elif units.agg(F.sum("units")).first()[0] != period:
@@ -85,7 +122,10 @@ def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int)
     shares = target_units(counts, period) if units is None else units.join(
         counts, units["source"].eqNullSafe(counts["source"])
     ).select(counts["source"], "rows", "units")
-    slots = schedule(shares.select("source", "units"), period)
+    few = n * period <= FOLD_STEPS
+    if not few:
+        shares = cut_lineage(shares, "shares")
+    slots = (schedule if few else schedule_rows)(shares.select("source", "units"), period)
     blocks = F.expr(f"(rows + {block_rows - 1}) div {block_rows}")
     # a source has run out at the slot of the first block that it no longer has
     none = shares.withColumn("_blocks", blocks)
@@ -134,12 +174,13 @@ def mix(
     run = slots.join(
         quotas.select(F.col("source").alias("_s"), "quota"), F.col("source").eqNullSafe(F.col("_s"))
     ).select(F.col("source").alias("_source"), F.col("slot").alias("_slot"), "units", "turn", "quota")
-    # bounded by the period, so broadcast; one row for each source and turn
-    first = run.select("_source", "units", "quota").distinct()
-    with_units = placed.join(F.broadcast(first), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # one row for each source and turn
+    run = cut_lineage(run, "turns")
+    first = cut_lineage(run.select("_source", "units", "quota").distinct(), "quotas")
+    with_units = placed.join(broadcast_if_small(first, 64), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     turns = run.select("_source", "_slot", "turn")
     met = with_units.join(
-        F.broadcast(turns),
+        broadcast_if_small(turns, 64),
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") % F.col("units") == F.col("turn")),
     )
     return met.select(
@@ -186,5 +227,6 @@ def mixed_documents(
             | (order[1].eqNullSafe(F.col("_m1")) & (order[2] <= F.col("_m2")))
         )
     )
-    kept = plain.join(F.broadcast(marks), F.col(at["source"]).eqNullSafe(F.col("_s")) & before, "left_semi")
+    marks = broadcast_if_small(cut_lineage(marks, "marks"), 64)
+    kept = plain.join(marks, F.col(at["source"]).eqNullSafe(F.col("_s")) & before, "left_semi")
     return kept.toDF(*docs.columns)

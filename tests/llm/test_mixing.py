@@ -1,3 +1,5 @@
+import heapq
+import random
 from collections import Counter
 
 import pytest
@@ -32,6 +34,38 @@ def test_schedule_is_earliest_deadline_first_and_never_a_block_off(spark, units)
         assert all(abs(done[s] - t * u / 100) < 1 for s, u in units.items())
 
 
+def heap_schedule(units, period):
+    """plain_schedule for many sources: slot, source, turn."""
+    blocks = [(j * period // u, -(-(j + 1) * period // u), s or "", j) for s, u in units.items() for j in range(u)]
+    blocks.sort(reverse=True)
+    ready, picks = [], []
+    for t in range(period):
+        while blocks and blocks[-1][0] <= t:
+            heapq.heappush(ready, blocks.pop()[1:])
+        _, s, j = heapq.heappop(ready)
+        picks.append((t, s, j))
+    return picks
+
+
+@pytest.mark.parametrize("n, period", [(3, 100), (90, 1000)])
+def test_schedule_from_rows_is_earliest_deadline_first(spark, n, period):
+    rng = random.Random(n)
+    cuts = [0, *sorted(rng.sample(range(1, period), n - 1)), period]
+    names = [None, *(f"s{i:03}" for i in rng.sample(range(1000), n - 1))]
+    units = {s: b - a for s, a, b in zip(names, cuts, cuts[1:])}
+    table = spark.createDataFrame(list(units.items()), "source string, units long")
+    got = sorted((r["slot"], r["source"] or "", r["turn"]) for r in M.schedule_rows(table, period).collect())
+    assert got == heap_schedule(units, period)
+    assert [s for _, s, _ in got] == plain_schedule({s or "": u for s, u in units.items()}, period)
+
+
+def test_more_than_5000_sources(spark):
+    docs = spark.createDataFrame([(i, f"t {i}", f"site{i % 5001}", 1, "x", 1) for i in range(5100)], DOCS)
+    out = M.mix(docs, block_rows=1).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(5100)) and len({r["slot"] for r in out}) == 5100
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+
+
 def test_every_document_is_placed_within_its_window(spark):
     docs = spark.createDataFrame(rows({"big": 900, "b": 200, "c": 210, None: 190, "tiny": 1}), DOCS)
     out = M.mix(docs, period=100, block_rows=10).collect()
