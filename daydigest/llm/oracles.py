@@ -72,3 +72,24 @@ SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 WHERE rank <= 5
 """
+
+LINES = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), line AS (
+    SELECT row_id, i, l[i] AS line, translate(
+        regexp_replace(l[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT row_id, l, unnest(range(1, len(l) + 1)) AS i FROM doc)
+), frequent AS (
+    SELECT key FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT row_id) >= 10
+), marked AS (
+    SELECT row_id, i, line, frequent.key IS NOT NULL AS gone FROM line LEFT JOIN frequent USING (key)
+), kept AS (
+    SELECT row_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+    FROM marked GROUP BY row_id
+)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(text) AS kept_sha256
+FROM doc JOIN kept USING (row_id)
+"""

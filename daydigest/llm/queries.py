@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daydigest.llm import chat, decontamination, html_extraction, language_id, mixing, ngram_jaccard, oracles, quality, sharding, topk, toxicity
+from daydigest.llm import chat, decontamination, html_extraction, language_id, line_dedup, mixing, ngram_jaccard
+from daydigest.llm import oracles, quality, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +66,29 @@ def op10_chat_formatting(spark, d):
     return chat.chat_digests(chat.format_chats(events))
 
 
+def op11_line_dedup(spark, d):
+    return line_dedup.line_dedup(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op4_html_extraction, op5_benchmark_decontamination, op6_sharding, op7_mixing, op8_quality_resampling, op9_exact_topk, op10_chat_formatting)
+    for f in (
+        op1_language_id,
+        op2_toxicity,
+        op3_ngram_jaccard,
+        op4_html_extraction,
+        op5_benchmark_decontamination,
+        op6_sharding,
+        op7_mixing,
+        op8_quality_resampling,
+        op9_exact_topk,
+        op10_chat_formatting,
+        op11_line_dedup,
+    )
 }
 ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
     "op9_exact_topk": oracles.TOP_K,
     "op10_chat_formatting": oracles.CHAT,
+    "op11_line_dedup": oracles.LINES,
 }
