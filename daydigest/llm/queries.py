@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daydigest.llm import chat, decontamination, html_extraction, language_id, line_dedup, mixing, ngram_jaccard
-from daydigest.llm import oracles, quality, sharding, topk, toxicity
+from daydigest.llm import oracles, quality, sharding, topk, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,10 @@ def op11_line_dedup(spark, d):
     return line_dedup.line_dedup(table(spark, d, "documents"))
 
 
+def op12_embedding_whitening(spark, d):
+    return whitening.whitened_rows(table(spark, d, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op9_exact_topk,
         op10_chat_formatting,
         op11_line_dedup,
+        op12_embedding_whitening,
     )
 }
 ORACLES: dict[str, str] = {
