@@ -93,3 +93,49 @@ WITH doc AS (
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(text) AS kept_sha256
 FROM doc JOIN kept USING (row_id)
 """
+
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+    -- the checksum of each byte, by its eight bits
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), run AS (
+    SELECT id, run, count(*) AS n
+    FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+        FROM documents)
+    WHERE length(run) >= 7 GROUP BY id, run
+), coded AS (
+    SELECT run, n, hex(id || ':' || run) AS h FROM run
+), summed AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2),
+        lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+    FROM coded, crc_table
+), word AS (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (SELECT n, CASE WHEN crc % 31 <> 0 THEN run
+            ELSE substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) END AS word FROM summed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+    SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)
+), near AS (
+    SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+    UNION SELECT cut.word, word.word FROM cut JOIN word ON cut.d = word.word
+    UNION SELECT word.word, cut.word FROM cut JOIN word ON cut.d = word.word
+), best AS (
+    SELECT near.word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n
+    FROM near JOIN word ON other = word.word GROUP BY near.word
+), form AS (
+    SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form,
+        CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+    FROM word LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, word AS root FROM form
+    UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON chain.root = form.word WHERE form.form IS NOT NULL
+), last AS (
+    SELECT chain.word, root FROM chain JOIN form ON root = form.word WHERE form.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN last USING (word)
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daydigest.llm import chat, decontamination, html_extraction, language_id, line_dedup, mixing, ngram_jaccard
-from daydigest.llm import oracles, quality, sharding, topk, toxicity, whitening
+from daydigest.llm import oracles, quality, sharding, spelling, topk, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,10 @@ def op12_embedding_whitening(spark, d):
     return whitening.whitened_rows(table(spark, d, "embeddings"))
 
 
+def op13_spelling_variants(spark, d):
+    return spelling.spelling_groups(table(spark, d, "documents"), spelling.MISSPELL)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
         op10_chat_formatting,
         op11_line_dedup,
         op12_embedding_whitening,
+        op13_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {
@@ -96,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op9_exact_topk": oracles.TOP_K,
     "op10_chat_formatting": oracles.CHAT,
     "op11_line_dedup": oracles.LINES,
+    "op13_spelling_variants": oracles.SPELLING,
 }
