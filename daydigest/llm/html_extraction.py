@@ -29,8 +29,10 @@ NEIGHBOUR = 1.0
 MOST_COST = 8.0
 SCALE = 1000
 
-# Elements whose text is never shown, or is no text of the page.
-SILENT = frozenset("script style noscript template title textarea svg math iframe object canvas audio video select datalist".split())
+# Elements whose text is never shown, or is no text of the page. What stands in the raw ones is no markup, so
+# without an end tag they go on to the end of the page.
+RAW = frozenset("script style noscript template title textarea iframe".split())
+SILENT_BOXES = frozenset("svg math object canvas audio video select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
@@ -46,6 +48,7 @@ SCOPES = frozenset("ul ol dl table body html div article section main nav aside
 BOILER_TAGS = frozenset("nav footer aside form header menu button dialog fieldset".split())
 LEAVES = frozenset("p li td th dt dd h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption label address summary".split())
 CONTENT_TAGS = frozenset("article main".split())
+BLOCKS = LEAVES | SCOPES | BOILER_TAGS | CONTENT_TAGS
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr "
@@ -61,9 +64,10 @@ TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S,
 )
-END_TAGS = {tag: re.compile(f"</{tag}[^>]*(?:>|\\Z)", re.I) for tag in SILENT}
+END_TAGS = {tag: re.compile(f"</{tag}[^>]*(?:>|\\Z)", re.I) for tag in RAW}
+BOX = re.compile(rf"<(?:{'|'.join(sorted(SILENT_BOXES))})[\s/>]", re.I)
 UNENDED = re.compile(r"<[a-zA-Z/!?]")
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*")
 # A class that starts so tells a state of the page, not what the element is.
@@ -88,6 +92,64 @@ def region(tag: str, attributes: str, inside: bool) -> tuple[int, int, int, int]
     )
 
 
+def tag_of(token: re.Match) -> tuple[str, str]:
+    """The name of a start tag in lower case, or nothing, and its attributes."""
+    return ((token[1] or token[4]).lower(), token[2] if token[1] else token[5]) if token[1] or token[4] else ("", "")
+
+
+def behind_raw(html: str, tag: str, at: int) -> int:
+    close = END_TAGS[tag].search(html, at)
+    return close.end() if close else len(html)
+
+
+def silent_ends(html: str, limit: int) -> dict[int, int]:
+    """Where the silence of each box that begins at some place ends: behind its own end tag; without one,
+    where its parent ends or, before that, where a block of text begins."""
+    ends: dict[int, int] = {}
+    # open elements: (tag, where it begins); boxes of them that have met no block yet, and the blocks others met
+    stack: list[tuple[str, int]] = []
+    waiting: list[int] = []
+    met: dict[int, int] = {}
+
+    def unended(at: int, place: int) -> None:
+        ends[at] = met.get(at, place)
+
+    token = TOKEN.search(html, 0, limit)
+    while token:
+        at = token.end()
+        tag, attributes = tag_of(token)
+        if tag and not attributes.rstrip().endswith("/"):
+            if tag in RAW:
+                at = behind_raw(html, tag, at)
+            elif tag not in VOID:
+                if tag in BLOCKS and waiting:
+                    met.update(dict.fromkeys(waiting, token.start()))
+                    waiting.clear()
+                stack.append((tag, token.start()))
+                if tag in SILENT_BOXES:
+                    waiting.append(token.start())
+        elif token[3]:
+            tag = token[3].lower()
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    for name, begin in stack[i + 1 :]:
+                        if name in SILENT_BOXES:
+                            unended(begin, token.start())
+                    if tag in SILENT_BOXES:
+                        ends[stack[i][1]] = token.end()
+                    while waiting and waiting[-1] >= stack[i][1]:
+                        waiting.pop()
+                    del stack[i:]
+                    break
+                if tag in INLINE and stack[i][0] in BLOCKS:
+                    break
+        token = TOKEN.search(html, at, limit) if at < limit else None
+    for name, begin in stack:
+        if name in SILENT_BOXES:
+            unended(begin, len(html))
+    return ends
+
+
 class Block:
     """A run of text without a block border in it, and where it stands."""
 
@@ -136,17 +198,17 @@ def blocks_of(html: str) -> list[Block]:
     # behind the last ">" no tag ends; one that begins there is no text
     limit = html.rfind(">") + 1
     open_tag = UNENDED.search(html, limit)
+    silent = silent_ends(html, limit) if BOX.search(html, 0, limit) else {}
     token = TOKEN.search(html, 0, limit)
     while token:
         say(at, token.start())
         at = token.end()
-        tag = token[1] or token[4]
+        tag, attributes = tag_of(token)
         if tag:
-            tag = tag.lower()
-            attributes = token[2] if token[1] else token[5]
-            if tag in SILENT and not attributes.rstrip().endswith("/"):
-                close = END_TAGS[tag].search(html, at)
-                at = close.end() if close else len(html)
+            if tag in RAW and not attributes.rstrip().endswith("/"):
+                at = behind_raw(html, tag, at)
+            elif tag in SILENT_BOXES:
+                at = silent.get(token.start(), at)
             elif tag in VOID:
                 if tag in ("br", "hr"):
                     flush()

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from daydigest.llm import html_extraction as H
 
 SCHEMA = "page_id long, url string, html string, text string, n_chars int"
@@ -53,6 +55,41 @@ def test_hard_pages():
     assert len(H.main_text("<p>Some words, and more.</p>" + "<a href='x" * 20_000, weights)) == 21
 
 
+ARTICLE = "<article><p>The text of the article, which is long enough to be one.</p></article>"
+TEXT = "The text of the article, which is long enough to be one."
+
+
+@pytest.mark.parametrize("tag", sorted(H.SILENT_BOXES))
+def test_a_silent_element_without_an_end_hides_no_article(tag):
+    weights = H.PRIOR_WEIGHTS
+    for page in (
+        f"<body><{tag} class=x>hidden {ARTICLE}</body>",
+        f"<{tag}>{ARTICLE}",
+        f"<header><{tag}>hidden<path d=1></header>{ARTICLE}<{tag}>hidden</{tag}>",
+        f"<{tag}>hidden{ARTICLE}<p><{tag}>hidden</{tag}>",
+        f"<{tag}>" * 3 + ARTICLE,
+        f"<{tag}>hidden<{tag}>hidden</{tag}>hidden <p>A hidden paragraph, as long as any other one.</p></{tag}>{ARTICLE}",
+        f"<{tag}/>{ARTICLE}",
+        ARTICLE.replace("which", f"<{tag}>hidden <b>x</b></{tag}>which"),
+        ARTICLE.replace("which", f"<span><{tag}>hidden</span>which"),
+        f"<{tag}><script>'</{tag}>'</script>hidden</{tag}>{ARTICLE}",
+    ):
+        assert H.main_text(page, weights) == TEXT, page
+
+
+def test_raw_text_goes_on_to_the_end():
+    for tag in H.RAW:
+        assert H.main_text(f"{ARTICLE}<{tag}><p>No text of the page, however long it may be.</p>", H.PRIOR_WEIGHTS) == TEXT
+    many = "<svg>" * 20_000 + ARTICLE + "<video><select>" * 5_000
+    assert H.main_text(many, H.PRIOR_WEIGHTS) == TEXT
+
+
+def test_only_names_of_the_element_count():
+    for attributes in ('data-id="comment-5"', "grid=ad", "valid='footer'", 'data-role="menu" data-class="share"'):
+        assert H.main_text(ARTICLE.replace("<p>", f"<p {attributes}>"), H.PRIOR_WEIGHTS) == TEXT
+    assert H.main_text(ARTICLE + "<p\nid='comment-5'>A comment of a reader, who says a lot of it.</p>", H.PRIOR_WEIGHTS) == TEXT
+
+
 def test_query_rows(spark):
     rows = [(1, "u", PAGE, "x", 1), (1, "u", PAGE, "x", 1), (2, None, None, None, None), (None, "u", "", "x", 1)]
     out = H.extract(spark.createDataFrame(rows, SCHEMA)).collect()
