@@ -1,5 +1,6 @@
 """Staged tables, orders of results, and profiles of odd columns."""
 
+import math
 import os
 import random
 
@@ -51,15 +52,33 @@ def test_profiles_count_nan_and_null_columns_as_missing(spark):
     assert got["b", "count"] == 0 and got["b", "25%"] is None and len(got) == 24
 
 
-def test_quartiles_come_from_few_values(spark, monkeypatch):
-    monkeypatch.setattr(profile, "LEAST_RANGES", 20)
-    df = spark.range(5000).select(((F.col("id") * 7919) % 5003).cast("double").alias("v"))
-    values = sorted((i * 7919) % 5003 for i in range(5000))
-    got = {r.stat: r.value for r in profile.describe(df).collect()}
+def exact_quartiles(values):
+    values = sorted(values)
+    out = {}
     for name, q in profile.QUARTILES.items():
-        at = q * 4999
-        low = values[int(at)]
-        assert abs(got[name] - (low + (values[int(at) + 1] - low) * (at - int(at)))) < 1e-9
+        at = q * (len(values) - 1)
+        low, high = values[math.floor(at)], values[math.ceil(at)]
+        out[name] = low if low == high else low + (high - low) * (at - math.floor(at))
+    return out
+
+
+@pytest.mark.parametrize(("margin", "accuracy", "most"), [(0.001, 10_000, 200_000), (0.2, 50, 40), (0.0001, 5, 30), (0.6, 100, 3)])
+def test_quartiles_by_windows_that_miss_are_large_or_tied(spark, monkeypatch, margin, accuracy, most):
+    for name, value in (("MARGIN", margin), ("ACCURACY", accuracy), ("WINDOW_VALUES", most), ("PARTS", 7)):
+        monkeypatch.setattr(profile, name, value)
+    rng = random.Random(5)
+    columns = {
+        "spread": [float(i * 7919 % 5003) for i in range(3000)],
+        "tied": [float(rng.choice([1, 1, 1, 2, 3, 3, 9])) for _ in range(3000)],
+        "long tail": [rng.paretovariate(0.3) for _ in range(2999)] + [math.inf],
+        "two": [0.0] * 1500 + [1.0] * 1500,
+        "some": [rng.gauss(0, 1) if i % 3 else None for i in range(3000)],
+    }
+    frame = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"`{c}` double" for c in columns))
+    got = {(r.column_name, r.stat): r.value for r in profile.describe(frame.repartition(7)).collect()}
+    for c, values in columns.items():
+        want = exact_quartiles([v for v in values if v is not None])
+        assert {k: got[c, k] for k in want} == pytest.approx(want, rel=1e-12), c
 
 
 def test_signatures_of_equal_and_empty_texts(spark):
