@@ -1,7 +1,7 @@
 """Documents, terms and statistics of collections, one per (event, day).
 
 A document is one row (event_id, date, docno, text, ...); rows of equal docno are documents of their
-own. ``build_index`` reads the texts once: terms are counted in the row, so the narrow table it
+own. ``build_index`` reads the texts once: terms are counted batch by batch, so the narrow table it
 writes (one row for each document and distinct term) needs no shuffle, and vocabulary, document
 lengths, statistics and the postings of any query come from that table. Stems are made once for
 each distinct form. Every model and both orders of the term steps use the same index.
@@ -9,8 +9,11 @@ each distinct form. Every model and both orders of the term steps use the same i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,28 +38,44 @@ def raw_terms(steps: tuple[str, ...], stop_words=T.STOP_WORDS, text: str = "text
     return T.tokens(text)
 
 
-def runs(terms: Column) -> Column:
-    """(term, tf) of each distinct term of a list, counted in the row: the list is sorted, and a
-    term's run ends where the next begins."""
+ENTRY = "dl long, place int, surface string, tf long"
 
-    def counted(ordered: Column) -> Column:
-        places = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
 
-        def of(starts: Column) -> Column:
-            return F.transform(
-                starts,
-                lambda at, n: F.struct(
-                    F.get(ordered, at).alias("surface"),
-                    (F.coalesce(F.get(starts, n + 1), F.size(ordered)) - at).cast("long").alias("tf"),
-                ),
-            )
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """``rows`` (columns and ``terms``) as one row for each distinct term of each row, with the length of the
+    list, a number within the row, the term and its count; one row with nulls for an empty list.
 
-        return F.when(F.size(ordered) > 0, T.bound(places, of))
-
-    return T.bound(F.array_sort(terms), counted)
+    A batch is counted at once, by numbers in place of words: nothing is shuffled, and no expression
+    is interpreted for each word.
+    """
+    keys = [f for f in rows.schema if f.name != "terms"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["terms"]
+            length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            known = max(1, len(words.dictionary))
+            code = words.indices.to_numpy().astype(np.int64)
+            found, tf = np.unique(np.repeat(np.arange(len(length)), length) * known + code, return_counts=True)
+            # a list without words keeps its row
+            bare = np.flatnonzero(length == 0)
+            row = np.concatenate([found // known, bare])
+            first = np.searchsorted(row[: len(found)], row[: len(found)], "left")
+            empty = np.arange(len(row)) >= len(found)
+            place = np.concatenate([np.arange(len(found)) - first, bare])
+            term = pa.array(np.concatenate([found % known, bare]), mask=empty)
+            columns = [batch[f.name].take(pa.array(row)) for f in keys]
+            columns += [
+                pa.array(length[row]),
+                pa.array(place.astype(np.int32), mask=empty),
+                words.dictionary.take(term),
+                pa.array(np.concatenate([tf, bare]), mask=empty),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keys), "dl", "place", "surface", "tf"])
+
+    listed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys)
+    return rows.mapInArrow(work, f"{listed}, {ENTRY}")
 
 
 def row_hash(corpus: DataFrame) -> Column:
@@ -86,9 +105,7 @@ def build_index(corpus: DataFrame, steps=STOP_THEN_STEM, stop_words=T.STOP_WORDS
     numbered = corpus.select(
         *KEY, F.monotonically_increasing_id().alias("row_id"), row_hash(corpus).alias("row_hash"), terms.alias("terms")
     )
-    listed = numbered.select(*DOC, F.size("terms").cast("long").alias("dl"), runs(F.col("terms")).alias("runs"))
-    entries = listed.select(*DOC, "dl", F.posexplode_outer("runs").alias("place", "entry"))
-    entries = cut_lineage(entries.select(*DOC, "dl", "place", "entry.surface", "entry.tf"), "index")
+    entries = cut_lineage(counted_terms(numbered), "index")
     if "stem" in steps:
         forms = cut_lineage(stemmed(vocabulary(entries)), "forms")
     else:
@@ -197,6 +214,17 @@ def collection_statistics(corpus: DataFrame, steps=("stop",), stop_words=T.STOP_
     return index_statistics(build_index(corpus, steps, stop_words))
 
 
+def collection_sizes(corpus: DataFrame, steps=("stop",), stop_words=T.STOP_WORDS) -> DataFrame:
+    """(part, n_docs, n_terms, avg_length) of whole collections. Where no step behind the stemmer drops terms,
+    that takes the lengths of the lists alone: one pass that sums up before it shuffles, and no index."""
+    if tuple(steps) == STEM_THEN_STOP:
+        sizes = sizes_of(build_index(corpus, steps, stop_words))
+    else:
+        length = F.coalesce(F.size(raw_terms(steps, stop_words)), F.lit(0)).cast("long")
+        sizes = corpus.groupBy(*PART).agg(F.count("*").alias("n_docs"), F.sum(length).alias("n_terms"))
+    return sizes.withColumn("avg_length", F.col("n_terms") / F.col("n_docs"))
+
+
 def index_statistics(index: Index):
     """(sizes, term frequencies, document lengths) of an index."""
     sizes = sizes_of(index).withColumn("avg_length", F.col("n_terms") / F.col("n_docs"))

@@ -22,6 +22,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # texts are long: the default would hand a Python worker hundreds of MB at once
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
@@ -45,8 +47,9 @@ def build_session(app: str = "daydigest", master: str | None = None, **settings:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """A session made elsewhere, with the settings the results depend on."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """A session made elsewhere, with the settings that results and memory depend on."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.set(key, SETTINGS[key])
     return spark
 
 

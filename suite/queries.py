@@ -720,7 +720,7 @@ def _stats_sql(select: str) -> str:
 @query(_stats_sql("""SELECT event_id, date, n_docs, n_terms,
     round(CAST(n_terms AS DOUBLE) / n_docs, 6) AS avg_length FROM sizes"""))
 def agg_collection_stats(spark, d):
-    return C.collection_statistics(S.corpus(spark, d))[0]
+    return C.collection_sizes(S.corpus(spark, d))
 
 
 @query(_stats_sql("SELECT event_id, date, term, df, cf FROM dfs"))
@@ -754,7 +754,7 @@ def agg_collection_stats_stem_first(spark, d):
 
 @query(_stemmed_sql(C.STEM_THEN_STOP, SIZE_ROWS))
 def agg_collection_stats_stem_first_sizes(spark, d):
-    return C.collection_statistics(S.corpus(spark, d), C.STEM_THEN_STOP)[0]
+    return C.collection_sizes(S.corpus(spark, d), C.STEM_THEN_STOP)
 
 
 def _register_model(model: str, key: str) -> None:
