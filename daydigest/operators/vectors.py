@@ -1,10 +1,11 @@
 """Late interaction: best cosine match of each token vector of one text in another.
 
-Token vectors are rows (owner, pos, vector). They are packed into blocks of at most
-``BLOCK`` positions, pairs of blocks meet on their own (owner, block) keys, and one
+Token vectors are rows (owner, pos, vector). For given pairs of texts they are packed into blocks of
+at most ``BLOCK`` positions, pairs of blocks meet on their own (owner, block) keys, and one
 matrix product per pair of blocks leaves one partial maximum per left token. A text
-with very many tokens thus becomes many evenly keyed blocks, and no pair of tokens is
-ever a row.
+with very many tokens thus becomes many evenly keyed blocks. For a set of queries against all texts,
+both sides are dealt into bounded parts, and every part of the one meets every part of the other once.
+No pair of tokens is ever a row.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from pyspark.sql import functions as F
 from daydigest.session import checked_small_side, cut_lineage
 
 BLOCK = 256
+# Tokens of a part of the queries and of a part of the texts, where queries meet all texts; and the tokens of
+# texts that one product takes.
+QUERY_TOKENS = 8192
+TEXT_TOKENS = 65_536
+PRODUCT_TOKENS = 2048
 
 
 def packed(tokens: DataFrame, owner: str, prefix: str) -> DataFrame:
@@ -85,6 +91,80 @@ def best_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, both: bool
     return partial.groupBy("left", "right", "side", "pos").agg(F.max("best").alias("best"))
 
 
+def whole_texts(tokens: DataFrame, name: str, part_tokens: int) -> tuple[DataFrame, int]:
+    """(name, part, values, n) of each text, its token vectors in a row as its text was, dealt into parts of about
+    ``part_tokens`` tokens; and the number of parts."""
+    texts = tokens.groupBy(F.col("owner").alias(name)).agg(F.collect_list("vector").alias("vectors"))
+    texts = cut_lineage(texts.select(name, F.size("vectors").alias("n"), F.flatten("vectors").alias("values")), "texts")
+    parts = max(1, -(-(texts.agg(F.sum("n")).first()[0] or 0) // part_tokens))
+    return texts.withColumn("part", F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")), parts
+
+
+def stacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vectors of several texts below each other, and where each text begins."""
+    sizes = rows["n"].to_numpy(np.int64)
+    return unit_rows(np.concatenate(rows["values"].to_list()), int(sizes.sum())), np.cumsum(sizes) - sizes
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of texts of at most ``most`` tokens, or of one larger text."""
+    begin, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def all_matches(queries: DataFrame, texts: DataFrame, both: bool = False) -> DataFrame:
+    """(left, right, left_best, right_best, left_n, right_n) for each query and each text that have tokens: the sums, over
+    the tokens of either (of the right one only for ``both``), of the best cosine on the other side, and the numbers of
+    tokens. Token tables have columns owner, pos, vector. The result has a row for each pair, as every query is scored
+    against every text."""
+    left, lefts = whole_texts(queries, "left", QUERY_TOKENS)
+    right, rights = whole_texts(texts, "right", TEXT_TOKENS)
+    # each part of either side goes to every part of the other
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(rights - 1))))
+    right = right.withColumnRenamed("part", "other").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))))
+
+    def match(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            a, a_at = stacked(asked)
+            for some in slices(held["n"].to_numpy(), PRODUCT_TOKENS):
+                part = held.iloc[some]
+                b, b_at = stacked(part)
+                # texts run down, so that their maxima are taken over whole rows
+                product = b @ a.T
+                forth = np.add.reduceat(np.maximum.reduceat(product, b_at, axis=0), a_at, axis=1).T
+                back = np.full(forth.shape, np.nan)
+                if both:
+                    back = np.add.reduceat(np.maximum.reduceat(product, a_at, axis=1), b_at, axis=0).T
+                columns = {"left": np.repeat(asked["left"].to_numpy(), len(part)), "right": np.tile(part["right"].to_numpy(), len(asked))}
+                columns |= {"left_best": forth.ravel(), "right_best": back.ravel()}
+                columns |= {"left_n": np.repeat(asked["n"].to_numpy(), len(part)), "right_n": np.tile(part["n"].to_numpy(), len(asked))}
+                out.append(pd.DataFrame(columns))
+        return pd.concat(out) if out else pd.DataFrame()
+
+    types = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
+    schema = f"left {types['left']}, right {types['right']}, left_best double, right_best double, left_n long, right_n long"
+    return left.groupBy("part", "other").cogroup(right.groupBy("part", "other")).applyInPandas(match, schema)
+
+
+def max_sim_all(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """``max_sim`` of every query with every text."""
+    return all_matches(queries, texts).select("left", "right", F.col("left_best").alias("rerank_score"))
+
+
+def greedy_scores_all(candidates: DataFrame, references: DataFrame) -> DataFrame:
+    """``greedy_match_scores`` of every candidate with every reference."""
+    found = all_matches(candidates, references, both=True)
+    p, r = F.col("left_best") / F.col("left_n"), F.col("right_best") / F.col("right_n")
+    return found.select("left", "right", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+
+
 def max_sim(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
     """Sum over query tokens of the best cosine with a document token, per (left, right)."""
     return (

@@ -98,6 +98,8 @@ def rank_rerank_colbert(
     if vectors_of is not None:
         pairs = hits.select(F.col("q_id").alias("left"), F.col("docno").alias("right")).distinct()
         scores = vectors.max_sim(pairs, *vectors_of)
+        # rounded, so that ties are ties
+        scores = scores.withColumn("rerank_score", F.round("rerank_score", ranking.SCORE_DIGITS))
         scores = scores.withColumnsRenamed({"left": "q_id", "right": "docno"})
         scored = rerank.join_scores(hits, scores, ["q_id", "docno"])
     elif scorer is not None:

@@ -861,39 +861,68 @@ def rank_rerank_t5(spark, d):
     return _t5(spark, d)
 
 
-VECTORS = f"""v AS (SELECT vec_id // {S.TEXT_TOKENS} AS owner, vec_id % {S.TEXT_TOKENS} AS pos,
-  CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
-pairs AS (SELECT DISTINCT owner - owner % {S.QUERY_TEXTS} AS l, owner AS r FROM v),
-products AS MATERIALIZED (SELECT l, r, a.pos AS ap, b.pos AS bp, list_cosine_similarity(a.vector, b.vector) AS c
-  FROM pairs JOIN v a ON a.owner = l JOIN v b ON b.owner = r),
-forth AS (SELECT l, r, ap, max(c) AS best FROM products GROUP BY ALL),
-back AS (SELECT l, r, bp, max(c) AS best FROM products GROUP BY ALL)"""
+def learned(query_words: str, texts: str) -> str:
+    """Tables that end in ``near`` (q_id, w, docno, best): the best cosine of each query term among the terms of each of
+    ``texts`` (docno, text), by vectors learned from documents and queries."""
+    bits = "list_transform(range(32), lambda k: 1 - 2 * ((('0x' || left(md5(term), 8))::BIGINT >> k) & 1))"
+    return f"""asked AS (SELECT printf('q%03d', item_id) AS q_id, text FROM benchmark),
+every AS (SELECT row_number() OVER () AS row_id, text FROM (SELECT text FROM docs UNION ALL SELECT text FROM asked)),
+listed AS (SELECT row_id, list_filter({Q.plain_tokens('text')}, lambda t: t NOT IN ({Q.STOPS})) AS l FROM every),
+places AS MATERIALIZED (SELECT row_id, i, l[i] AS term FROM (SELECT row_id, l, unnest(range(1, len(l) + 1)) AS i FROM listed)),
+beside AS (SELECT a.term AS w, b.term AS term, count(*) AS n FROM places a, (SELECT unnest([-2, -1, 1, 2]) AS o) apart
+  JOIN places b ON a.row_id = b.row_id AND b.i = a.i + o GROUP BY ALL
+  UNION ALL SELECT term, term, count(*) FROM places GROUP BY term),
+signs AS (SELECT term, {bits} AS s FROM (SELECT DISTINCT term FROM places)),
+dims AS (SELECT w, k, sum(n * s[k + 1])::DOUBLE AS v FROM beside JOIN signs USING (term), (SELECT unnest(range(32)) AS k) GROUP BY ALL),
+word_vectors AS MATERIALIZED (SELECT w, list(v ORDER BY k)::DOUBLE[32] AS vector FROM dims GROUP BY w),
+query_terms AS ({query_words}),
+text_terms AS (SELECT DISTINCT docno, unnest(list_filter({Q.plain_tokens('text')}, lambda t: t NOT IN ({Q.STOPS}))) AS w FROM {texts}),
+wanted AS (SELECT DISTINCT a.w, b.w AS u, array_cosine_similarity(a.vector, b.vector) AS c
+  FROM (SELECT * FROM word_vectors SEMI JOIN query_terms USING (w)) a, word_vectors b),
+best AS MATERIALIZED (SELECT wanted.w, docno, max(c) AS best FROM wanted JOIN text_terms ON text_terms.w = u GROUP BY ALL)"""
+
+
+QUERY_WORDS = f"""SELECT DISTINCT q_id, unnest(list_filter({Q.plain_tokens('text')}, lambda t: t NOT IN ({Q.STOPS}))) AS w
+  FROM asked"""
 
 
-@query(Q.with_(VECTORS, select='SELECT l AS "left", r AS "right", round(sum(best), 6) AS rerank_score FROM forth GROUP BY ALL'))
+@query(
+    Q.with_(
+        Q.DOCS,
+        learned(QUERY_WORDS, "docs"),
+        select="""SELECT q_id AS "left", docno AS "right", round(sum(best), 6) AS rerank_score
+        FROM query_terms JOIN best USING (w) GROUP BY ALL""",
+    )
+)
 def rerank_maxsim(spark, d):
-    return vectors.max_sim(S.vector_pairs(spark, d), S.vectors(spark, d), S.vectors(spark, d))
+    """Every query against every document, over all terms of both."""
+    return vectors.max_sim_all(*S.learned_vectors(spark, d))
 
 
 @query(
     Q.with_(
         Q.context(),
-        """scores AS (SELECT q.vec_id, printf('q%03d', q.vec_id) AS q_id, docs.docno,
-        list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS rerank_score
-        FROM embeddings q, docs JOIN embeddings t ON t.vec_id = docs.doc_id
-        WHERE q.vec_id IN (SELECT item_id FROM benchmark))""",
-        """best AS (SELECT *, row_number() OVER (PARTITION BY request_id, q_id ORDER BY rerank_score DESC, docno) AS place
-        FROM context JOIN scores USING (q_id, docno))""",
+        learned(QUERY_WORDS, "docs"),
+        """late AS (SELECT q_id, docno, sum(best) AS rerank_score FROM (SELECT DISTINCT q_id, docno FROM context)
+        JOIN query_terms USING (q_id) JOIN best USING (w, docno) GROUP BY ALL)""",
+        """placed AS (SELECT *, row_number() OVER (PARTITION BY request_id, q_id ORDER BY round(rerank_score, 6) DESC, docno) AS place
+        FROM context JOIN late USING (q_id, docno))""",
         select="""SELECT request_id, q_id, docno, score, round(rerank_score, 6) AS rerank_score,
-        CAST(place AS INTEGER) AS rerank_rank FROM best WHERE place <= 5""",
+        CAST(place AS INTEGER) AS rerank_rank FROM placed WHERE place <= 5""",
     )
 )
 def rank_rerank_colbert_vectors(spark, d):
-    """The ColBERT path with late interaction over vectors of queries and documents."""
-    ranked = _colbert(spark, d, vectors_of=(S.query_vectors(spark, d), S.document_vectors(spark, d)))
+    """The ColBERT path with late interaction over the learned vectors of all terms."""
+    ranked = _colbert(spark, d, vectors_of=S.learned_vectors(spark, d))
     return ranked.select("request_id", "q_id", "docno", "score", "rerank_score", "rerank_rank")
 
 
+VECTORS = f"""v AS (SELECT vec_id // {S.TEXT_TOKENS} AS owner, vec_id % {S.TEXT_TOKENS} AS pos,
+  CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+products AS MATERIALIZED (SELECT a.owner AS l, b.owner AS r, a.pos AS ap, b.pos AS bp,
+  list_cosine_similarity(a.vector, b.vector) AS c FROM v a, v b WHERE a.owner % {S.QUERY_EACH} = 0),
+forth AS (SELECT l, r, ap, max(c) AS best FROM products GROUP BY ALL),
+back AS (SELECT l, r, bp, max(c) AS best FROM products GROUP BY ALL)"""
 GREEDY = Q.with_(
     VECTORS,
     "ps AS (SELECT l, r, avg(best) AS p FROM forth GROUP BY ALL)",
@@ -905,7 +934,8 @@ GREEDY = Q.with_(
 
 
 def _greedy(spark, d) -> DataFrame:
-    return vectors.greedy_match_scores(S.vector_pairs(spark, d), S.vectors(spark, d), S.vectors(spark, d))
+    """The texts of ``some_vectors`` as candidates for every text."""
+    return vectors.greedy_scores_all(S.some_vectors(spark, d), S.vectors(spark, d))
 
 
 @query(GREEDY.format("SELECT * FROM greedy"))

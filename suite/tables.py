@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daydigest.functions import ids
+from daydigest.operators import embed
 from daydigest.session import checked_small_side, cut_lineage
 
 # The collections of the test corpus; every general query is asked of each of them.
@@ -122,8 +123,8 @@ def reference_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Token vectors of a text, and texts that are compared with one query.
-TEXT_TOKENS, QUERY_TEXTS = 16, 20
+# Token vectors of a text, and every which text is a query.
+TEXT_TOKENS, QUERY_EACH = 16, 20
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,24 +136,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first text of each ``QUERY_TEXTS`` as the query (left) of all of them."""
-    owners = vectors(spark, sf_dir).select("owner").distinct()
-    return owners.select(F.expr(f"owner - owner % {QUERY_TEXTS}").alias("left"), F.col("owner").alias("right"))
+def some_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token vectors of the texts whose number ``QUERY_EACH`` divides."""
+    return vectors(spark, sf_dir).filter(F.col("owner") % QUERY_EACH == 0)
 
 
-def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One vector for each query, by its number."""
-    embeddings = table(spark, sf_dir, "embeddings")
-    return embeddings.select(
-        F.format_string("q%03d", "vec_id").alias("owner"), F.lit(0).cast("long").alias("pos"), F.col("embedding").alias("vector")
-    ).join(queries(spark, sf_dir).select(F.col("query_id").alias("owner")).distinct(), "owner")
-
-
-def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One vector for each document that has one, by its id."""
-    documents = timed_documents(spark, sf_dir).select("doc_id", F.col("docno").alias("owner"))
-    embeddings = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return documents.join(embeddings, "doc_id").select(
-        "owner", F.lit(0).cast("long").alias("pos"), F.col("embedding").alias("vector")
-    )
+def learned_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Token vectors of the queries (owner: q_id) and of the documents (owner: docno), from word vectors learned
+    from all their texts."""
+    asked = table(spark, sf_dir, "benchmark").select(F.format_string("q%03d", "item_id").alias("owner"), "text")
+    held = timed_documents(spark, sf_dir).select(F.col("docno").alias("owner"), "text")
+    words = embed.word_vectors(asked.select("text").union(held.select("text")))
+    return embed.token_vectors(asked, words), embed.token_vectors(held, words)
