@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daydigest.functions import text as T
 from daydigest.operators import collection as C
-from daydigest.operators import context, digest, ranking, rerank, summaries, vectors
+from daydigest.operators import context, digest, learned, ranking, rerank, summaries, vectors
 from daydigest.session import cut_lineage, small_side
 from daydigest.sinks.writers import write_named_csv
 
@@ -118,11 +118,15 @@ def rank_rerank_t5(
     stop_words=T.STOP_WORDS,
     depth: int = ranking.FIRST_STAGE_DEPTH,
     rerank_depth: int = rerank.RERANK_DEPTH,
+    judged: DataFrame | None = None,
 ) -> DataFrame:
     """Lexical ranking with stop words taken out after stemming, then a pairwise scorer on
-    the full text."""
+    the full text: one that is learned from ``judged`` (docno, good), or that ``scorer`` makes; without either,
+    term overlap is used."""
     hits = candidates(corpus, queries, calendar, model, C.STEM_THEN_STOP, stop_words, depth)
-    if scorer is not None:
+    if judged is not None:
+        scored = learned.learned_scorer(judged, [*REQUEST, "q_id"])(hits)
+    elif scorer is not None:
         scored = rerank.with_model_score(hits, scorer)
     else:
         scored = rerank.with_overlap_score(hits)

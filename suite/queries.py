@@ -23,6 +23,7 @@ from daydigest.operators import (
     ranking,
     rerank,
     summaries,
+    summarizers,
     vectors,
 )
 from daydigest.plans import rank_rerank
@@ -819,28 +820,58 @@ def win_rerank_rank_1based(spark, d):
     return rerank.rerank_ranks(scored.select("request_id", "q_id", "docno", some), ["request_id"])
 
 
-def overlap_model() -> rerank.PairScorer:
-    """The default score as a batch model, to run the model path against SQL."""
-    import re
-
-    def listed(text: str) -> list[str]:
-        return re.findall("[a-z0-9]+", text.lower())
-
-    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for asked, text in zip(queries, texts):
-            wanted, present = set(listed(asked)), set(listed(text))
-            shared = len(wanted & present)
-            parts = [shared / len(side) for side in (wanted, present) if side]
-            out.append(sum(parts))
-        return pd.Series(out)
-
-    return score
+def _solved(size: int, source: str) -> str:
+    """Tables that end in ``weights`` (w_0, ...): the solution of the symmetric equations in the one row of ``source``
+    (a_i_j for j >= i, y_i), by elimination."""
+    cell = lambda i, j: f"a_{min(i, j)}_{max(i, j)}"
+    parts, last = [], source
+    for k in range(size - 1):
+        kept = [f"a_{i}_{j}" for i in range(k + 1) for j in range(i, size)] + [f"y_{i}" for i in range(k + 1)]
+        left = [(i, j) for i in range(k + 1, size) for j in range(i, size)]
+        new = [f"{cell(i, j)} - {cell(k, i)} * {cell(k, j)} / {cell(k, k)} AS {cell(i, j)}" for i, j in left]
+        new += [f"y_{i} - {cell(k, i)} * y_{k} / {cell(k, k)} AS y_{i}" for i in range(k + 1, size)]
+        parts.append(f"{last}_{k} AS (SELECT {', '.join(kept + new)} FROM {last})")
+        last = f"{last}_{k}"
+    for i in reversed(range(size)):
+        rest = "".join(f" - {cell(i, j)} * w_{j}" for j in range(i + 1, size))
+        parts.append(f"back_{i} AS (SELECT *, (y_{i}{rest}) / {cell(i, i)} AS w_{i} FROM {last})")
+        last = f"back_{i}"
+    rounded = ", ".join(f"round(w_{i}, 6) AS w_{i}" for i in range(size))
+    return ",\n".join([*parts, f"weights AS (SELECT {rounded} FROM {last})"])
+
+
+def _learned_sql(size: int = 4) -> str:
+    """Tables that end in ``best``: the T5 candidates by a scorer fitted on labels, pair by pair of good and bad."""
+    share = lambda part, whole: f"coalesce(len({part})::DOUBLE / nullif(len({whole}), 0), 0.0)"
+    pairs = lambda l: f"list_distinct(list_transform(range(1, len({l})), lambda i: {l}[i] || ' ' || {l}[i + 1]))"
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = [f"sum(g.x_{i} - b.x_{i}) AS y_{i}" for i in range(size)]
+    sums += [f"sum((g.x_{i} - b.x_{i}) * (g.x_{j} - b.x_{j})) + {0.001 if i == j else 0} * count(*) AS a_{i}_{j}" for i, j in cells]
+    score = " + ".join(f"w_{i} * x_{i}" for i in range(size))
+    return Q.with_(
+        Q.context("T5"),
+        f"""term_lists AS (SELECT *, {Q.terms('query')} AS q, {Q.terms('text')} AS t FROM context),
+sets AS (SELECT *, list_distinct(q) AS qs, list_distinct(t) AS ts, {pairs('q')} AS qp, {pairs('t')} AS tp FROM term_lists),
+described AS MATERIALIZED (SELECT * EXCLUDE (q, t, qs, ts, qp, tp), {share('list_intersect(qs, ts)', 'qs')} AS x_0,
+  {share('list_intersect(qs, ts)', 'ts')} AS x_1, {share('list_intersect(qp, tp)', 'qp')} AS x_2,
+  log2(1.0 + len(ts)) / 16 AS x_3 FROM sets),
+labelled AS (SELECT described.*, quality = 1 AS good FROM described JOIN docs USING (docno) JOIN labels ON labels.doc_id = docs.doc_id
+  WHERE quality IS NOT NULL),
+total AS (SELECT {', '.join(sums)} FROM labelled g JOIN labelled b ON g.request_id = b.request_id AND g.q_id = b.q_id
+  AND g.good AND NOT b.good)""",
+        _solved(size, "total"),
+        f"""rescored AS (SELECT *, round({score}, 6) AS rerank_score FROM described, weights),
+best AS (SELECT *, date AS request_date, CAST(row_number() OVER (PARTITION BY event_id, date, q_id
+  ORDER BY rerank_score DESC, docno) AS INTEGER) AS rerank_rank FROM rescored)""",
+        select="""SELECT event_id, request_date, q_id, docno, rank, score, rerank_rank, rerank_score
+        FROM best WHERE rerank_rank <= 5""",
+    )
 
 
-@query(Q.with_(Q.reranked("T5"), select=RERANK_ROWS + "ranked"))
+@query(_learned_sql())
 def rerank_cross_encoder(spark, d):
-    return _t5(spark, d, scorer=overlap_model).select(
+    """The T5 path with a pair scorer learned from the labels."""
+    return _t5(spark, d, judged=S.judged_documents(spark, d)).select(
         "event_id", "request_date", "q_id", "docno", "rank", "score", "rerank_rank", "rerank_score"
     )
 
@@ -1191,25 +1222,71 @@ SHORT_PART = f"""short AS (SELECT * EXCLUDE (b), b.s AS summary FROM (
   SELECT *, {Q.best_sentence(CLEANED, 'query')} AS b FROM grouped))"""
 
 
-@query(Q.with_(Q.grouped(), SHORT_PART, select="SELECT request_id, q_id, summary FROM short"))
-def summarize_abstractive(spark, d):
-    return summaries.with_summaries(_grouped(spark, d)).select("request_id", "q_id", "summary")
-
-
-def word_count_model() -> summaries.BatchSummarizer:
-    """A batch model small enough to check: the number of words it was given."""
-    return lambda batch: batch["texts"].str.split().str.len().astype(str) + " words"
+FRESH = rf"""RECURSIVE {{}},
+cut AS (SELECT request_id, q_id, list_distinct({Q.plain_tokens('question')}) AS asked,
+  regexp_split_to_array({CLEANED}, '[.!?]+\s+') AS l FROM grouped),
+sentence AS MATERIALIZED (SELECT request_id, q_id, asked, i, list_distinct({Q.plain_tokens('s')}) AS terms,
+  regexp_extract_all(s, '[^ \t\n\r\f\v]+') AS words
+  FROM (SELECT *, l[i] AS s FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM cut))),
+pick AS (
+  SELECT request_id, q_id, 0 AS step, []::VARCHAR[] AS words, []::VARCHAR[] AS seen, []::BIGINT[] AS chosen FROM cut
+  UNION ALL
+  SELECT request_id, q_id, step + 1, list_concat(words, b.words), list_distinct(list_concat(seen, b.terms)),
+    list_append(chosen, b.i)
+  FROM (SELECT p.request_id, p.q_id, p.step, p.words, p.seen, p.chosen, arg_max(
+      {{{{'i': s.i, 'words': s.words, 'terms': s.terms}}}}, {{{{'rating': round(
+        len(list_intersect(s.terms, s.asked)) / greatest(1, len(s.asked))
+        - 0.5 * len(list_intersect(s.terms, p.seen)) / greatest(1, len(s.terms)), 9), 'first': -s.i}}}}) AS b
+    FROM pick p JOIN sentence s USING (request_id, q_id)
+    WHERE len(p.words) < 10 AND NOT list_contains(p.chosen, s.i) GROUP BY ALL))"""
 
 
 @query(
     Q.with_(
-        Q.grouped(),
-        select=rf"""SELECT request_id, q_id, len(list_filter(regexp_split_to_array({CLEANED}, '\s+'),
-        lambda w: w <> '')) || ' words' AS summary FROM grouped""",
+        FRESH.format(Q.grouped()),
+        select="""SELECT request_id, q_id, array_to_string(arg_max(words, step)[:20], ' ') AS summary
+        FROM pick GROUP BY ALL""",
     )
 )
+def summarize_abstractive(spark, d):
+    """Ten to twenty words of each cleaned group, by sentences that say something new."""
+    done = summaries.with_batch_summaries(_grouped(spark, d), summarizers.short_summarizer(), clean=True)
+    return done.select("request_id", "q_id", "summary")
+
+
+def _walked(steps: int = 10, damping: float = 0.85, most: int = 3) -> str:
+    """Tables that end in ``chosen`` (request_id, q_id, summary): the central sentences of each group, by ``steps`` steps of
+    the walk over the sentences."""
+    parts = [
+        f"""cut AS (SELECT request_id, q_id, regexp_split_to_array({CLEANED}, '[.!?]+\\s+') AS l FROM grouped)""",
+        "sentence AS MATERIALIZED (SELECT request_id, q_id, l[i] AS s, i, len(l) AS n FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM cut))",
+        f"has AS MATERIALIZED (SELECT DISTINCT request_id, q_id, i, unnest({Q.plain_tokens('s')}) AS term FROM sentence)",
+        "size AS (SELECT request_id, q_id, i, count(*) AS terms FROM has GROUP BY ALL)",
+        """alike AS MATERIALIZED (SELECT request_id, q_id, i, j, n / sqrt(a.terms * b.terms) AS c FROM (
+  SELECT x.request_id, x.q_id, x.i, y.i AS j, count(*) AS n FROM has x JOIN has y
+  ON x.request_id = y.request_id AND x.q_id = y.q_id AND x.term = y.term AND x.i <> y.i GROUP BY ALL)
+  JOIN size a USING (request_id, q_id, i) JOIN size b ON b.request_id = a.request_id AND b.q_id = a.q_id AND b.i = j)""",
+        "chance AS MATERIALIZED (SELECT request_id, q_id, i, j, c / sum(c) OVER (PARTITION BY request_id, q_id, i) AS p FROM alike)",
+        "r0 AS (SELECT request_id, q_id, i, n, 1.0::DOUBLE / n AS r FROM sentence)",
+    ]
+    for k in range(steps):
+        parts.append(
+            f"""r{k + 1} AS MATERIALIZED (SELECT request_id, q_id, i, n, {1 - damping} / n + {damping} * coalesce(came, 0.0) AS r FROM r{k}
+  LEFT JOIN (SELECT c.request_id, c.q_id, c.j AS i, sum(r * p) AS came FROM r{k} JOIN chance c USING (request_id, q_id, i)
+  GROUP BY ALL) USING (request_id, q_id, i))"""
+        )
+    parts.append(
+        f"""chosen AS (SELECT request_id, q_id, string_agg(s, '. ' ORDER BY i) AS summary FROM (
+  SELECT sentence.*, row_number() OVER (PARTITION BY request_id, q_id ORDER BY round(r, 9) DESC, i) AS place
+  FROM sentence JOIN r{steps} USING (request_id, q_id, i)) WHERE place <= {most} GROUP BY ALL)"""
+    )
+    return ",\n".join(parts)
+
+
+@query(Q.with_(Q.grouped(), _walked(), select="SELECT request_id, q_id, summary FROM chosen"))
 def summarize_batches(spark, d):
-    done = summaries.with_batch_summaries(_grouped(spark, d), word_count_model, 16, clean=True)
+    """The three central sentences of each cleaned group."""
+    done = summaries.with_batch_summaries(_grouped(spark, d), summarizers.graph_summarizer(), clean=True)
     return done.select("request_id", "q_id", "summary")
 
 

@@ -114,6 +114,12 @@ def judged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def judged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(docno, good) of the documents whose quality is labelled."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    return timed_documents(spark, sf_dir).join(labels, "doc_id").select("docno", "good")
+
+
 def reference_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reference text per event: its good document of the highest value."""
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
