@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from daydigest.functions import ids
 from daydigest.functions import text as T
 from daydigest.operators.collection import stemmed
-from daydigest.session import checked_small_side, cut_lineage
+from daydigest.session import BROADCAST_BYTES, checked_small_side, cut_lineage, rows_up_to
 
 TOP_FACTS = 32
 STEMMED_LENGTH = 3
+# Size of a dictionary row, and rows that a word of a large dictionary has.
+WORD_BYTES = 64
+SALTS = 64
 
 
 def judged(facts: DataFrame, requests: DataFrame, request: str = "requestID") -> DataFrame:
@@ -66,9 +69,19 @@ def bigram_counts(texts: DataFrame, key: list[str], use_stems: bool = True) -> D
     counted = cut_lineage(counted, "bigrams")
     words = counted.select(F.explode(F.array("first", "second")).alias("surface")).distinct()
     stems = cut_lineage(stemmed(words, STEMMED_LENGTH), "stems")
-    for word in ("first", "second"):
-        renamed = stems.withColumnsRenamed({"surface": word, "term": "_stem"})
-        counted = counted.join(renamed, word).drop(word).withColumnRenamed("_stem", word)
+    # a dictionary that is small is sent to the pairs; of a large one each word has SALTS rows, and a pair meets the one
+    # that its other word picks: no word, however frequent, gathers its pairs on one key
+    limit = BROADCAST_BYTES // WORD_BYTES
+    small = rows_up_to(stems, limit) <= limit
+    salted = stems if small else stems.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    for word, other in (("first", "second"), ("second", "first")):
+        renamed = salted.withColumnsRenamed({"surface": word, "term": "_stem"})
+        if small:
+            counted = counted.join(F.broadcast(renamed), word)
+        else:
+            picked = F.pmod(F.xxhash64(other, *key), F.lit(SALTS)).cast("int")
+            counted = counted.withColumn("_salt", picked).join(renamed, [word, "_salt"]).drop("_salt")
+        counted = counted.drop(word).withColumnRenamed("_stem", word)
     return counted.groupBy(*key, "first", "second").agg(F.sum("n").alias("n"))
 
 

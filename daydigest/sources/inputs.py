@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daydigest import schemas
 from daydigest.functions import ids
+from daydigest.sinks.writers import with_line_breaks
 from daydigest.session import checked_small_side
 
 # The events and their names.
@@ -126,7 +127,10 @@ def read_judged_requests(spark: SparkSession, path: str, whole_file: bool = True
     return keys.distinct()
 
 
-def read_profile_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A consolidated CSV table with quoted line breaks."""
+def read_profile_table(spark: SparkSession, path: str, schema, one_line: bool = False) -> DataFrame:
+    """A consolidated CSV table with quoted line breaks, which one task reads a file; or, with ``one_line``, one that
+    ``write_csv`` wrote a record a line, whose files are split among tasks."""
     reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    if one_line:
+        return with_line_breaks(reader.option("lineSep", "\n").csv(path))
     return reader.option("multiLine", True).csv(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daydigest import schemas
 from daydigest.functions import ids
+from daydigest.sinks.writers import with_line_breaks
 
 
 def run_of_path(path: Column) -> Column:
@@ -42,9 +43,13 @@ def csv_tables(spark: SparkSession, folder: str) -> dict[str, str]:
     }
 
 
-def read_csv_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+def read_csv_table(spark: SparkSession, path: str, schema=None, one_line: bool = False) -> DataFrame:
+    """A CSV table with a header. Quoted line breaks make a file one task's; with ``one_line`` (a table of ``write_csv``
+    a record a line) files are split."""
+    reader = spark.read.option("header", True).option("escape", '"')
+    reader = reader.option("lineSep", "\n") if one_line else reader.option("multiLine", True)
+    table = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    return with_line_breaks(table) if one_line else table
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:

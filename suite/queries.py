@@ -231,8 +231,8 @@ def src_grouped_csv(spark, d):
 @query(Q.with_(Q.DOCS, select="SELECT docno, event_id, date, length(text) AS n_chars, unix_timestamp FROM docs"))
 def src_profile_csv(spark, d):
     corpus = S.corpus(spark, d)
-    path = writers.write_csv(corpus, work_path(spark, "profile-csv"))
-    back = inputs.read_profile_table(spark, path, corpus.schema)
+    path = writers.write_csv(corpus, work_path(spark, "profile-csv"), one_line=True)
+    back = inputs.read_profile_table(spark, path, corpus.schema, one_line=True)
     return back.withColumn("n_chars", F.length("text").cast("long")).drop("text")
 
 
@@ -1016,6 +1016,26 @@ def dedup_lsh_bands(spark, d):
     return dedup.band_buckets(dedup.with_signature(S.documents(spark, d)))
 
 
+@query(
+    f"""WITH RECURSIVE {SIGNED}, parts AS (SELECT doc_id, signature, unnest(range(0, {dedup.BANDS})) AS band FROM signed
+    WHERE signature IS NOT NULL),
+    buckets AS (SELECT doc_id, band, signature[band * {dedup.BAND_ROWS} + 1:(band + 1) * {dedup.BAND_ROWS}] AS bucket FROM parts),
+    offers AS (SELECT DISTINCT x, doc_id AS y FROM buckets JOIN (SELECT band, bucket, min(doc_id) AS x FROM buckets GROUP BY ALL)
+      USING (band, bucket) WHERE doc_id <> x),
+    sized AS (SELECT x, y, len(a.h) AS n, len(b.h) AS m, len(list_intersect(a.h, b.h)) AS shared FROM offers
+      JOIN shingled a ON a.doc_id = x JOIN shingled b ON b.doc_id = y),
+    links AS (SELECT x, y FROM sized WHERE shared * 100 >= (n + m - shared) * 75),
+    sides AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+    reach AS (SELECT doc_id, doc_id AS other FROM signed WHERE n_shingles > 0
+      UNION SELECT reach.doc_id, sides.y FROM reach JOIN sides ON other = sides.x),
+    named AS (SELECT doc_id, min(other) AS group_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS size FROM named"""
+)
+def dedup_groups(spark, d):
+    """Groups of near duplicates, by verified links."""
+    return dedup.near_duplicates(S.documents(spark, d))
+
+
 # ---- set operations ----------------------------------------------------------------
 
 
