@@ -15,6 +15,7 @@ from daydigest.functions.porter import porter_stem
 from daydigest.operators import collection as C
 from daydigest.operators import (
     context,
+    daily,
     dedup,
     digest,
     evaluate,
@@ -724,6 +725,17 @@ def agg_collection_stats(spark, d):
     return C.collection_sizes(S.corpus(spark, d))
 
 
+@query(_stats_sql("""SELECT event_id, date, n_docs, n_terms,
+    round(CAST(n_terms AS DOUBLE) / n_docs, 6) AS avg_length FROM sizes"""))
+def agg_collection_stats_daily(spark, d):
+    """The sizes from an index to which the last day is added behind the others, and then all days once more."""
+    corpus, path = S.corpus(spark, d), work_path(spark, "daily")
+    last = corpus.agg(F.max("date")).first()[0]
+    for part in (corpus.filter(F.col("date") < last), corpus, corpus):
+        daily.add_days(part, path, ("stop",))
+    return daily.sizes(spark, path)
+
+
 @query(_stats_sql("SELECT event_id, date, term, df, cf FROM dfs"))
 def agg_collection_stats_terms(spark, d):
     return C.collection_statistics(S.corpus(spark, d))[1]
