@@ -7,8 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daydigest.llm.common import anonymous
-from daydigest.session import BROADCAST_BYTES
+from daydigest.llm.common import anonymous, broadcast_if_small
+from daydigest.session import BROADCAST_BYTES, cut_lineage
 
 WINDOW = 10
 # Everything ASCII but digits and lower-case letters separates words.
@@ -159,7 +159,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a test n-gram; columns and other rows as they are."""
     bad = find_hits(docs, benchmark, window).filter(F.size("spans") > 0)
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest"))
+    # ids and hashes alone, sent to the texts while they are few
+    bad = cut_lineage(bad.select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")), "contaminated")
+    bad = broadcast_if_small(bad, 32)
     plain, at = anonymous(docs)
     same = F.col(at["doc_id"]).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(at["text"]) == F.col("_bad_digest"))
     return plain.join(bad, same, "left_anti").toDF(*docs.columns)

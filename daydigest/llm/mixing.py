@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,25 @@ FOLD_STEPS = 1_000_000
 HALVINGS = 5
 # Rows of a block, the unit that is scheduled.
 BLOCK_ROWS = 50
+# Power of a source's row count that is its target weight, and the share of all weight at which the mixture ends: as soon
+# as sources of so much weight have run out. At 1 it ends with the last source, and no row is left out.
+EXPONENT = 0.75
+END = 0.5
 
 
-def target_units(counts: DataFrame, period: int = PERIOD) -> DataFrame:
+def target_units(counts: DataFrame, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
     """Slots of a period for each source: source, rows, units (at least 1, ``period`` in all).
 
-    The target weight is a source's row count to the power 3/4, so that large sources give
-    way to small ones. Counts are rounded to whole units by largest remainder (ties: name).
-    ``counts`` (source, rows) has a row for each source, fewer than ``period``.
+    The target weight is a source's row count to the power ``exponent``: below 1 large sources give
+    way to small ones, at 1 each has its own share, at 0 all have the same. Counts are rounded to whole units by
+    largest remainder (ties: name). ``counts`` (source, rows) has a row for each source, fewer than ``period``.
     """
     one = Window.partitionBy(F.lit(0))
-    size = (F.sqrt("rows") * F.sqrt(F.sqrt("rows")) * 1000).cast("long")
+    if exponent == 0.75:
+        # roots are rounded alike on every machine
+        size = (F.sqrt("rows") * F.sqrt(F.sqrt("rows")) * 1000).cast("long")
+    else:
+        size = (F.pow("rows", F.lit(float(exponent))) * 1000).cast("long")
     spare = period - F.count(F.lit(1)).over(one)
     share = counts.withColumn("_size", size).withColumn("_spare", spare)
     exact = share.withColumn("_product", F.col("_size") * F.col("_spare")).withColumn("_all", F.sum("_size").over(one))
@@ -105,21 +115,29 @@ def schedule_rows(units: DataFrame, period: int = PERIOD) -> DataFrame:
     return cut_lineage(slots.join(blocks, "rank").select("slot", "source", "units", "turn"), "slots")
 
 
+def narrow_rows(docs: DataFrame) -> DataFrame:
+    """source, doc_id, digest (hash of the text) of each document, written once: all that is planned and numbered
+    comes from this table, and the texts are read no more for it."""
+    return cut_lineage(docs.select("source", "doc_id", F.xxhash64("text").alias("digest")), "mixed-rows")
+
+
 def source_counts(docs: DataFrame, source: str = "source") -> DataFrame:
     return docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int):
+def plan(rows: DataFrame, units: DataFrame | None, period: int, block_rows: int, exponent: float = EXPONENT, end: float = END):
     """The period, its schedule, and for each source its units and how many of its first rows the
     mixture takes (``quota``); both tables grow with the sources alone. Without given ``units`` the
-    period grows to four slots for each source."""
-    counts = source_counts(docs)
+    period grows to four slots for each source. ``rows`` is a written table."""
+    if not 0 < end <= 1:
+        raise ValueError("the mixture ends at a share of the weight above 0 and up to 1")
+    counts = cut_lineage(source_counts(rows), "source-counts")
     n = counts.count()
     if units is None:
         period = max(period, 4 * n)
     elif units.agg(F.sum("units")).first()[0] != period:
         raise ValueError(f"the units of all sources are {period} together")
-    shares = target_units(counts, period) if units is None else units.join(
+    shares = target_units(counts, period, exponent) if units is None else units.join(
         counts, units["source"].eqNullSafe(counts["source"])
     ).select(counts["source"], "rows", "units")
     few = n * period <= FOLD_STEPS
@@ -133,12 +151,12 @@ def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int)
         slots.select(F.col("source").alias("_s"), "slot", "turn"),
         F.col("source").eqNullSafe(F.col("_s")) & (F.col("turn") == F.col("_blocks") % F.col("units")),
     ).withColumn("_end", F.expr(f"(_blocks div units) * {period}L + slot"))
-    # the mixture ends when the sources that have run out hold at least half of the weight
+    # the mixture ends when the sources that have run out hold at least the share ``end`` of the weight
     by_end = Window.partitionBy(F.lit(0)).orderBy("_end").rangeBetween(Window.unboundedPreceding, 0)
     over = final.withColumn("_gone", F.sum("units").over(by_end))
     ends = over.withColumn(
         "_horizon",
-        F.min(F.when(2 * F.col("_gone") >= period, F.col("_end"))).over(Window.partitionBy(F.lit(0))),
+        F.min(F.when(F.col("_gone") >= min(period, math.ceil(end * period)), F.col("_end"))).over(Window.partitionBy(F.lit(0))),
     )
     head = ends.select(F.col("source").alias("_s"), "rows", "units", "_horizon")
     full = F.expr(f"(_horizon div {period}) * units")
@@ -149,14 +167,18 @@ def plan(docs: DataFrame, units: DataFrame | None, period: int, block_rows: int)
     return period, slots, counted.select(F.col("_s").alias("source"), "units", quota.alias("quota"))
 
 
-def positions(docs: DataFrame) -> DataFrame:
+def positions(rows: DataFrame) -> DataFrame:
     """Each document's place within its source (source, doc_id, digest, place), in hash order."""
-    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("digest"))
-    return dense_positions(rows, "source", ["doc_id", "digest"], "place", docs.count())
+    return dense_positions(rows, "source", ["doc_id", "digest"], "place", rows.count())
 
 
 def mix(
-    docs: DataFrame, units: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS
+    docs: DataFrame,
+    units: DataFrame | None = None,
+    period: int = PERIOD,
+    block_rows: int = BLOCK_ROWS,
+    exponent: float = EXPONENT,
+    end: float = END,
 ) -> DataFrame:
     """When each document runs: source, doc_id, block, slot, release, deadline, row_in_block,
     in_mix; a row for each document.
@@ -164,13 +186,14 @@ def mix(
     The rows of a source stand in hash order and are cut into blocks; the slots order the blocks of
     all sources (``slot``, then ``row_in_block``). While a source lasts, it is less than one block
     away from its weight after every slot. A source that has run out leaves its slots empty;
-    ``in_mix`` is true up to the slot at which sources of half the weight have run out, which
-    is where the target can no longer be held. ``units`` (source, units; ``period`` in all)
-    gives other weights than ``target_units``; sources without units are left out. A null source is a source, a null text is a text;
+    ``in_mix`` is true up to the slot at which sources of the share ``end`` of the weight have run out;
+    behind it the target can no longer be held. With ``end`` 1 it is true for every row. ``units`` (source, units;
+    ``period`` in all) gives other weights than ``target_units``; sources without units are left out. A null source is a source, a null text is a text;
     repeated rows have places of their own; an empty table gives no rows.
     """
-    period, slots, quotas = plan(docs, units, period, block_rows)
-    placed = positions(docs).withColumn("block", F.expr(f"place div {block_rows}"))
+    rows = narrow_rows(docs)
+    period, slots, quotas = plan(rows, units, period, block_rows, exponent, end)
+    placed = positions(rows).withColumn("block", F.expr(f"place div {block_rows}"))
     run = slots.join(
         quotas.select(F.col("source").alias("_s"), "quota"), F.col("source").eqNullSafe(F.col("_s"))
     ).select(F.col("source").alias("_source"), F.col("slot").alias("_slot"), "units", "turn", "quota")
@@ -196,23 +219,30 @@ def mix(
 
 
 def mixed_documents(
-    docs: DataFrame, units: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS
+    docs: DataFrame,
+    units: DataFrame | None = None,
+    period: int = PERIOD,
+    block_rows: int = BLOCK_ROWS,
+    exponent: float = EXPONENT,
+    end: float = END,
 ) -> DataFrame:
-    """The documents of the mixture, all columns as they are.
+    """The documents of the mixture, all columns as they are; see ``mix``. With ``end`` 1 those are all documents of sources
+    that have units.
 
     A source's rows stand in hash order, so its share ends at the hash of one row: the table of
     these ends is as small as that of the sources, and no text is shuffled. Copies of that last
     row stay together. A column is never added or changed.
     """
-    _, _, quotas = plan(docs, units, period, block_rows)
-    want = quotas.filter("quota > 0").select(F.col("source").alias("_s"), "quota")
+    rows = narrow_rows(docs)
+    _, _, quotas = plan(rows, units, period, block_rows, exponent, end)
+    want = cut_lineage(quotas.filter("quota > 0").select(F.col("source").alias("_s"), "quota"), "quotas")
     plain, at = anonymous(docs)
     doc_id, digest = F.col(at["doc_id"]), F.xxhash64(at["text"])
     order = [F.shiftrightunsigned(F.xxhash64(doc_id, digest), 33), doc_id, digest]
-    end = positions(docs).join(
-        F.broadcast(want), F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("quota") - 1)
+    last = positions(rows).join(
+        broadcast_if_small(want, 64), F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("quota") - 1)
     )
-    marks = end.select(
+    marks = last.select(
         F.col("_s"),
         F.shiftrightunsigned(F.xxhash64("doc_id", "digest"), 33).alias("_m0"),
         F.col("doc_id").alias("_m1"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daydigest.llm.common import dense_positions, text_or_empty
+from daydigest.session import cut_lineage
 
 # Fixed value: the multiplier of the published algorithm's generator.
 STEP = np.uint64(2862933555777941757)
@@ -71,8 +72,9 @@ def shard_table(docs: DataFrame, shards: int = 16) -> DataFrame:
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = with_shard(rows, "doc_id", shards)
-    slots = dense_positions(placed, "shard", ["doc_id", "size", "text_crc32"], "slot", docs.count())
+    # the texts are read once
+    placed = cut_lineage(with_shard(rows, "doc_id", shards), "shard-rows")
+    slots = dense_positions(placed, "shard", ["doc_id", "size", "text_crc32"], "slot", placed.count())
     return slots.select(
         "doc_id",
         "size",

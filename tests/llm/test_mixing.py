@@ -82,6 +82,21 @@ def test_every_document_is_placed_within_its_window(spark):
     )
 
 
+@pytest.mark.parametrize("exponent", [0, 0.75, 1.0])
+def test_a_mixture_to_the_last_source_leaves_nothing_out(spark, exponent):
+    docs = spark.createDataFrame(rows({"hot": 700, "b": 20, "c": 210, None: 19, "tiny": 1}), DOCS)
+    how = {"period": 100, "block_rows": 10, "exponent": exponent}
+    out = M.mix(docs, end=1.0, **how).collect()
+    assert len(out) == 950 and all(r["in_mix"] for r in out)
+    assert sorted(r["doc_id"] for r in M.mixed_documents(docs, end=1.0, **how).collect()) == sorted(r["doc_id"] for r in docs.collect())
+    kept = [M.mixed_documents(docs, end=share, **how).count() for share in (0.1, 0.5, 0.9, 1.0)]
+    assert kept == sorted(kept)
+    if exponent == 0:
+        assert len({r["units"] for r in M.target_units(M.source_counts(docs), 100, 0).collect()}) == 1
+    with pytest.raises(ValueError):
+        M.mix(docs, end=0.0)
+
+
 def test_weights_given_nulls_copies_and_empty_tables(spark):
     some = [(1, "t", "a", 1, "x", 1)] * 25 + [(None, None, "a", 1, "x", 1), (2, "", None, 1, "x", 1), (2, "x" * 99_999, "b", 1, "x", 1)]
     docs = spark.createDataFrame(some, DOCS)
