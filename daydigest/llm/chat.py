@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+# Code points of a streamed delta, and the numbers that the events of a turn may take.
+CHUNK = 256
+LOG_STEP = 1 << 32
 
 
 def escape(text: Column) -> Column:
@@ -115,6 +118,35 @@ def turns_to_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+def turns_to_log(conversations: DataFrame, loss_role: str = "assistant", chunk: int = CHUNK) -> DataFrame:
+    """Finished turns as the log of events that a chat would have written, which folds back to them: an answer
+    (``loss_role``) is begun, thrown away and streamed anew in deltas of ``chunk`` code points, any other turn is sent
+    with half of its text and edited. The first event of a message names the role. Null and empty texts, repeated
+    rows and equal turn numbers are kept as by ``turns_to_events``."""
+    number, text = F.col("seq"), F.coalesce(F.col("text"), F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{int(chunk)}}}"), F.lit(0))
+
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), said.alias("said"))
+
+    streamed = F.concat(
+        F.array(event("delta", F.reverse(F.substring(text, 1, chunk))), event("regenerate", F.lit(None).cast("string"))),
+        F.transform(pieces, lambda piece: event("delta", piece)),
+    )
+    half = F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))
+    edited = F.array(event("message", half), event("edit", F.col("text")))
+    answered = F.coalesce(F.col("role") == loss_role, F.lit(False))
+    log = F.posexplode(F.when(answered, streamed).otherwise(edited)).alias("at", "event")
+    return turns_to_events(conversations).select("conv_id", number, "message", "role", log).select(
+        "conv_id",
+        (number * LOG_STEP + F.col("at")).alias("seq"),
+        "message",
+        F.col("event.kind").alias("kind"),
+        F.when(F.col("at") == 0, F.col("role")).alias("role"),
+        F.col("event.said").alias("text"),
+    )
+
+
 def read_back(chats: DataFrame) -> DataFrame:
     """What a reader of the output sees: conv_id, formatted_chars, turns (role, text) and the
     texts under the loss mask, all unescaped."""

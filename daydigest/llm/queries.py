@@ -62,7 +62,8 @@ def op10_chat_formatting(spark, d):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
     )
-    events = chat.turns_to_events(stored.unionByName(probe))
+    # the stored turns are written out as deltas, edits and regenerations, which must fold back to them
+    events = chat.turns_to_log(stored.unionByName(probe))
     return chat.chat_digests(chat.format_chats(events))
 
 

@@ -78,3 +78,20 @@ def test_round_trip_with_nulls_ties_control_strings_and_long_texts(spark):
         assert out[conv]["formatted_chars"] == len(texts[conv])
         assert texts[conv].count("<|im_start|>") == texts[conv].count("<|im_end|>") == len(mine)
     assert chat.chat_digests(chat.format_chats(chat.turns_to_events(turns.filter(F.lit(False))))).count() == 0
+
+
+def test_a_log_of_deltas_edits_and_regenerations_folds_back_to_the_turns(spark):
+    long = "".join(chr(0x1F600 + i % 60) if i % 3 else "\n<|" for i in range(2000))
+    rows = [
+        (1, 0, "user", "hello there", 5, 5), (1, 1, "assistant", long, 5, 5), (1, 2, "user", None, 5, 5), (1, 3, "assistant", None, 5, 5),
+        (1, 4, "assistant", "", 5, 5), (1, 5, None, "x", 5, 5), (2, 1, "assistant", "same", 5, 5), (2, 1, "assistant", "same", 5, 5), (None, None, "user", "é", 5, 5),
+    ]
+    turns = spark.createDataFrame(rows, TURNS)
+    log = chat.turns_to_log(turns, chunk=7).orderBy(F.rand(0))
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["regenerate"] == 5 and kinds["edit"] == 4 and kinds["message"] == 4 and kinds["delta"] > len(long) // 7
+    plain = chat.fold_events(chat.turns_to_events(turns)).select("conv_id", "message", "role", "text")
+    folded = chat.fold_events(log).select("conv_id", "message", "role", "text")
+    assert sorted(map(str, folded.collect())) == sorted(map(str, plain.collect()))
+    digests = [sorted(map(str, chat.chat_digests(chat.format_chats(e)).collect())) for e in (log, chat.turns_to_events(turns))]
+    assert digests[0] == digests[1]

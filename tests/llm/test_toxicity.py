@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -41,6 +42,49 @@ def test_gradients_find_ordered_thresholds():
     assert severity[grades == 0].max() < 0.5 < severity[grades == 1].min() < 1.5 < severity[grades == 2].min()
 
 
+def plain_loss(weights, thresholds, grades, rows, columns, values):
+    """Mean negative log likelihood of the grades plus the penalty, document by document."""
+    score = [0.0] * len(grades)
+    for r, c, v in zip(rows, columns, values):
+        score[r] += weights[c] * v
+    total = 0.0
+    for s, g in zip(score, grades):
+        above = [1.0, *(1 / (1 + math.exp(t - s)) for t in thresholds), 0.0]
+        total -= math.log(above[g] - above[g + 1])
+    return total / len(grades) + T.PENALTY / 2 * sum(w * w for w in weights)
+
+
+def test_no_other_weights_or_thresholds_fit_better():
+    rng = np.random.default_rng(4)
+    n, size = 150, 6
+    held = rng.random((n, size)) < 0.4
+    held[:, T.LENGTH] = True
+    true = held @ np.array([0.0, 2.0, 1.0, -1.0, 0.5, 0.0])
+    grades = (true + rng.logistic(size=n) > 0.5).astype(int) + (true + rng.logistic(size=n) > 2.5)
+    rows, columns = np.nonzero(held)
+    values = rng.uniform(0.5, 1.5, len(rows))
+    weights, thresholds = T.fit(grades, rows, columns, values, size)
+    assert thresholds[0] < thresholds[1] and weights[T.LENGTH] <= 0
+    data = (grades.tolist(), rows.tolist(), columns.tolist(), values.tolist())
+    best = plain_loss(weights, thresholds, *data)
+    for _ in range(300):
+        w, t = weights + rng.normal(0, 0.05, size), thresholds + rng.normal(0, 0.05, 2)
+        w[T.LENGTH] = min(w[T.LENGTH], 0.0)
+        assert plain_loss(w, t, *data) > best - 1e-5
+    # along each axis too, where a gradient that is wrong in one place would show
+    for k in range(size):
+        for step in (-0.02, 0.02):
+            w = weights.copy()
+            w[k] += step
+            if k != T.LENGTH or w[k] <= 0:
+                assert plain_loss(w, thresholds, *data) > best - 1e-5
+    model = T.Model(weights, thresholds)
+    score = np.bincount(rows, weights[columns] * values, minlength=n)
+    chances = [[1 / (1 + math.exp(t - s)) for t in thresholds] for s in score]
+    expected = [sum(g * (a - b) for g, (a, b) in enumerate(zip([1.0, *c], [*c, 0.0]))) for c in chances]
+    assert np.allclose(model.above(score).sum(axis=1), expected)
+
+
 def test_held_out_severity_follows_the_grade(spark):
     docs, grades = sample()
     out = {r["doc_id"]: r for r in T.toxicity(
