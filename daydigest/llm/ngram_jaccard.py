@@ -4,11 +4,13 @@ Texts are sets of hashed word shingles; equal sets are one. A link needs an over
 of close sizes can have, and then the sets must share one of their rarest shingles: that shingle
 and the band of sizes are the tile in which two sets meet. In a tile the positions of the shared
 shingle, then the bits of hashed bitmap signatures, bound the overlap from above, and what is
-left is decided by intersecting the sorted arrays.
+left is decided by intersecting the sorted arrays. Sets of a tile that few share meet as rows; a crowded
+tile is compared in blocks inside tasks (``tile_blocks``), so that rows grow with the sets and not with their square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daydigest.llm import tile_blocks
 from daydigest.llm.bytes import SPACE, mix64, run_hashes, text_chunks, words_of
 from daydigest.llm.common import anonymous, bounded_batches, broadcast_if_small
 from daydigest.llm.graphs import components
@@ -30,8 +33,9 @@ COUNT_BITS = 20
 COUNT_SLICES = 16
 # Keys by which near copies find each other before the exact search, of two minima each.
 QUICK_KEYS = 8
-# Sets of a group and tile that are looked at before all others.
+# Sets of a group and tile that are looked at before all others, and sets of a part of a crowded tile.
 DRAWN = 64
+PART_SETS = 16
 U = np.uint64
 ODD = mix64(np.arange(1, 2 * QUICK_KEYS + 1, dtype=U)) | U(1)
 
@@ -226,6 +230,18 @@ def linked(overlap: int, n: int, m: int) -> bool:
     return 100 * overlap >= PERCENT * (n + m - overlap)
 
 
+def arrays_of(named: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, shingles (sorted), written, of the sets that ``named`` (a; a written table) names: of each its lowest row's text
+    is read again."""
+    ends = sets.join(named, "a", "left_semi").select("low.id", "low.t").distinct()
+    ends = broadcast_if_small(cut_lineage(ends, "near-rows"), 32)
+    some = docs.select("doc_id", "text").join(
+        ends, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left_semi"
+    )
+    # copies of one row are read once
+    return cut_lineage(whole_sets(some).groupBy("a").agg(F.any_value("shingles").alias("shingles")), "near-sets")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (x, y: digests; a written table) that are links. The bitmaps rule out most;
     of the rest the texts are read again and the sorted shingles intersected."""
@@ -241,19 +257,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             out.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
         return pd.Series(out, dtype=bool)
 
-    one = sets.select(F.col("a").alias("x"), F.col("n").alias("n"), F.col("sig").alias("s"), "low")
-    other = sets.select(F.col("a").alias("y"), F.col("n").alias("m"), F.col("sig").alias("r"), F.col("low").alias("low_y"))
+    one = sets.select(F.col("a").alias("x"), F.col("n").alias("n"), F.col("sig").alias("s"))
+    other = sets.select(F.col("a").alias("y"), F.col("n").alias("m"), F.col("sig").alias("r"))
     near = one.join(broadcast_if_small(pairs, 16), "x").join(other, "y").filter(may_link("s", "r", "n", "m"))
-    near = cut_lineage(near.select("x", "y", "low", "low_y"), "near-pairs")
-    ends = near.select("low").union(near.select("low_y")).select("low.id", "low.t").distinct()
-    ends = broadcast_if_small(cut_lineage(ends, "near-rows"), 32)
-    some = docs.select("doc_id", "text").join(
-        ends, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t")), "left_semi"
-    )
-    # copies of one row are read once
-    arrays = whole_sets(some).groupBy("a").agg(F.any_value("shingles").alias("shingles"))
-    arrays = cut_lineage(arrays, "near-sets")
-    ends = broadcast_if_small(near.select("x", "y"), 16)
+    near = cut_lineage(near.select("x", "y"), "near-pairs")
+    named = near.select(F.col("x").alias("a")).union(near.select("y")).distinct()
+    arrays = arrays_of(named, sets, docs)
+    ends = broadcast_if_small(near, 16)
     met = arrays.select(F.col("a").alias("x"), F.col("shingles").alias("p")).join(ends, "x")
     met = met.join(arrays.select(F.col("a").alias("y"), F.col("shingles").alias("q")), "y")
     return met.filter(do_link("p", "q")).select("x", "y")
@@ -271,9 +281,15 @@ def quick_pairs(sets: DataFrame) -> DataFrame:
     return close.select(F.least("a", "c.a").alias("x"), F.greatest("a", "c.a").alias("y")).distinct()
 
 
+def size_band(n: Column) -> Column:
+    """The band of a set's size: linked sets are of one band or of two neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
+
+
 def tiles_of(rare: DataFrame) -> DataFrame:
-    """Each set in each tile (``key``) of its rare shingles, with the shingle's ``place``."""
-    return rare.select("*", F.posexplode("rare").alias("place", "key")).drop("rare")
+    """Each set in each tile (``key`` and size ``band``) of its rare shingles, with the shingle's ``place``."""
+    listed = rare.select("*", size_band(F.col("n")).alias("band"), F.posexplode("rare").alias("place", "key"))
+    return listed.drop("rare")
 
 
 def grouped_sets(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -309,23 +325,44 @@ def drawn_sets(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("drawn", F.row_number().over(order)).filter(F.col("drawn") <= DRAWN)
 
 
-def rare_pairs(tiles: DataFrame) -> DataFrame:
+def rare_pairs(tiles: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs (x, y) of sets of different groups (p, q) that meet in a tile and may be linked by their
-    sizes and by where the shared shingle stands. Of ``drawn`` sets those whose numbers multiply to
-    ``DRAWN`` at most: a set alone in its group meets all that are drawn of another."""
+    sizes and by where the shared shingle stands. The sets of a band meet those of it and of the next.
+
+    Crowded tiles (``sizes``) give few rows a set: with ``drawn`` sets, those whose hash puts them in the same one of
+    its parts meet, and of a part sets whose numbers multiply to ``DRAWN`` at most (a set alone in its group
+    meets all that are drawn of another); without, crowded tiles are left to ``tile_blocks``.
+    """
+    drawn = "drawn" in tiles.columns
+    # a tile's number of parts, null where it is not crowded
+    cut = F.ceil(F.sqrt(F.col("homes") * F.col("guests")) / PART_SETS).alias("parts")
+    parts = broadcast_if_small(cut_lineage(sizes.select("key", "band", cut), "crowded-parts"), 24)
     left, right = (tiles.select(*[F.col(c).alias(s + c) for c in tiles.columns]) for s in ("l_", "r_"))
+    right = right.withColumn("r_band", F.explode(F.array("r_band", F.col("r_band") - 1)))
+
+    def dealt(rows: DataFrame, s: str) -> DataFrame:
+        mine = parts.select(F.col("key").alias(s + "key"), F.col("band").alias(s + "band"), F.col("parts").alias(s + "parts"))
+        rows = rows.join(mine, [s + "key", s + "band"], "left")
+        if not drawn:
+            return rows.filter(F.col(s + "parts").isNull()).withColumn(s + "part", F.lit(0).cast("long"))
+        part = F.pmod(F.xxhash64(s + "a", s + "key"), F.coalesce(s + "parts", F.lit(1)))
+        return rows.withColumn(s + "part", part.cast("long"))
+
+    left, right = dealt(left, "l_"), dealt(right, "r_")
     n, m = F.col("l_n"), F.col("r_n")
     smaller = (n < m) | ((n == m) & (F.col("l_a") < F.col("r_a")))
     # the shared shingle and those behind it in the smaller of both rests
     most = F.least(n - F.col("l_place"), m - F.col("r_place"))
     meet = (
         (F.col("l_key") == F.col("r_key"))
+        & (F.col("l_band") == F.col("r_band"))
+        & (F.col("l_part") == F.col("r_part"))
         & (F.col("l_group") != F.col("r_group"))
         & smaller
         & (n * 100 >= m * PERCENT)
         & (most >= least_overlap(n, m))
     )
-    if "drawn" in tiles.columns:
+    if drawn:
         meet = meet & (F.col("l_drawn") * F.col("r_drawn") <= DRAWN)
     names = {"l_a": "x", "r_a": "y", "l_group": "p", "r_group": "q"}
     return left.join(right.hint("merge"), meet).select(*[F.col(c).alias(x) for c, x in names.items()]).distinct()
@@ -381,12 +418,19 @@ def link_groups(docs: DataFrame) -> DataFrame:
     tiles = contested(rare, groups)
     # first some sets of each group and tile, as most groups that belong together are joined by one of
     # their links; then all pairs between the groups that are left
-    some = cut_lineage(rare_pairs(drawn_sets(grouped_sets(tiles, groups))), "drawn-pairs")
+    placed = cut_lineage(grouped_sets(tiles, groups), "placed")
+    some = cut_lineage(rare_pairs(drawn_sets(placed), tile_blocks.crowded(placed)), "drawn-pairs")
     found = cut_lineage(verified(some.select("x", "y"), sets, docs), "drawn-links")
     links = links.union(found)
     groups = renamed_groups(groups, some.join(found, ["x", "y"], "left_semi"))
-    rest = cut_lineage(rare_pairs(grouped_sets(tiles, groups)).select("x", "y"), "rare-pairs")
-    links = cut_lineage(links.union(verified(rest, sets, docs)), "links")
+    placed = cut_lineage(grouped_sets(tiles, groups), "placed")
+    crowd = tile_blocks.crowded(placed)
+    rest = cut_lineage(rare_pairs(placed, crowd).select("x", "y"), "rare-pairs")
+    links = links.union(verified(rest, sets, docs))
+    if crowd.filter("mixed").limit(1).count():
+        blocks = tile_blocks.block_rows(placed, crowd, sets)
+        links = links.union(tile_blocks.block_links(blocks, lambda named: arrays_of(named, sets, docs), PERCENT, folded, linked))
+    links = cut_lineage(links, "links")
 
     roots = components(links)
     joined = sets.select("a", "low", "copies").join(roots.select(F.col("node").alias("a"), "root"), "a", "left")

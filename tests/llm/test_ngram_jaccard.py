@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from daydigest.llm import graphs
 from daydigest.llm import ngram_jaccard as N
@@ -166,3 +167,56 @@ def test_components_match_union_find(spark):
             root[max(a, b)] = min(a, b)
     got = graphs.components(spark.createDataFrame(links, "x long, y long")).collect()
     assert sorted((r["node"], r["root"]) for r in got) == sorted((i, find(i)) for i in list(root))
+
+
+def template_corpus(n, changed, places=None, seed=0):
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(200)]
+    docs = []
+    for i in range(n):
+        w = list(base)
+        for at in places or rng.sample(range(200), changed):
+            w[at] = f"v{rng.randrange(10**9)}"
+        docs.append((i, " ".join(w), "s", 1, 2, 3, "c"))
+    return docs
+
+
+@pytest.mark.parametrize("crowd, part", [(4096, 2048), (0, 5)])
+def test_crowded_tiles_match_brute_force(spark, monkeypatch, crowd, part):
+    from daydigest.llm import tile_blocks as B
+
+    for name, value in (("CROWDED_PAIRS", crowd), ("PART_SETS", part), ("STEP_PAIRS", 50 * part), ("STEP_WORDS", 40 * part), ("REMEMBERED", part)):
+        monkeypatch.setattr(B, name, value)
+    docs = corpus(7, 60) + [(1000 + d[0], *d[1:]) for d in template_corpus(80, 3)]
+    docs += [(2000 + d[0], *d[1:]) for d in template_corpus(40, 5, seed=1)] + [(3000 + i, t, "s", 1, 2, 3, "c") for i, t in enumerate(["short text", "short  TEXT", None])]
+    out = N.jaccard_groups(spark.createDataFrame(docs, SCHEMA))
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in out.collect()) == brute(docs)
+
+
+def test_linked_sets_are_of_neighbouring_bands(spark):
+    sizes = spark.range(1, 30_000).select(N.size_band(F.col("id")).alias("b"), N.size_band(F.floor(F.col("id") * 100 / 75)).alias("c"), "id")
+    assert sizes.filter("c - b > 1 OR c < b").count() == 0
+
+
+def test_rows_of_one_template_grow_with_the_texts(spark, monkeypatch):
+    rows = {}
+    cut = N.cut_lineage
+
+    def counted(df, label="table"):
+        out = cut(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "cut_lineage", counted)
+    monkeypatch.setattr(N.tile_blocks, "cut_lineage", counted)
+    found = []
+    for n in (150, 300):
+        rows.clear()
+        docs = template_corpus(n, 4)
+        out = N.jaccard_groups(spark.createDataFrame(docs, SCHEMA))
+        got = sorted((str(r[0]), r[1], str(r[2])) for r in out.collect())
+        found.append(dict(rows))
+        if n == 150:
+            assert got == brute(docs)
+    for label, one in found[0].items():
+        assert found[1][label] <= 2.6 * one + 100, (label, one, found[1][label])
