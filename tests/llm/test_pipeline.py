@@ -94,4 +94,4 @@ def test_registered_queries_match_brute_force_where_sql_does_not_reach(spark):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in out.collect()) == brute(rows(docs))
     assert ngram_jaccard.one_of_each(docs).count() == len({c for _, _, c in brute(rows(docs))})
     named = {q.split("_")[0] for q in queries.QUERIES}
-    assert named == {f"op{n}" for n in range(1, 11)}
+    assert named == {f"op{n}" for n in range(1, 14)}
