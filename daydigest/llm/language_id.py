@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from daydigest.llm.bytes import text_chunks
 from daydigest.llm.common import bounded_batches
 
 MAX_ORDER = 3
-# About so many training texts of each language, taken by hash of the text; whole texts.
+# About so many different training texts of each language, taken by hash of the text; whole texts.
 TRAIN_TEXTS = 1500
 # Code lengths are whole multiples of 1/2048 bit, so that sums are exact in any order.
 UNIT = 2048
@@ -50,8 +51,8 @@ class Model:
     in any language with the code length in each language; ``escapes[k]`` the sorted contexts
     of k bytes with the length of an escape from each (0 where a language does not know it)."""
 
-    def __init__(self, languages: list[str], counts: list[tuple[int, int, int, int]], max_order: int):
-        """``counts``: (language number, context length, gram, count)."""
+    def __init__(self, languages: list[str], counts: np.ndarray | list[tuple[int, int, int, int]], max_order: int):
+        """``counts``: rows of (language number, context length, gram, count)."""
         self.languages, self.max_order = languages, max_order
         size = len(languages)
         by = np.array(counts, dtype=np.uint64).reshape(-1, 4)
@@ -136,27 +137,38 @@ def count_grams(batches: Iterator[pa.RecordBatch], max_order: int) -> Iterator[p
 
 
 def train(docs: DataFrame, max_order: int = MAX_ORDER, train_texts: int = TRAIN_TEXTS) -> Model:
-    """Fit on about ``train_texts`` texts of each language, chosen by hash of the text; the rows
-    of ``docs`` (text, lang) with a null or empty text or a null lang take no part. The gram
-    counts that reach the driver are bounded by the sample, not by the corpus."""
+    """Fit on about ``train_texts`` distinct texts of each language, chosen by hash of the text, however
+    often each occurs; the rows of ``docs`` (text, lang) with a null or empty text or a null lang take no
+    part. The gram counts that reach the driver are bounded by the sample, not by the corpus."""
     if not 0 <= max_order <= 6:
         raise ValueError("max_order must be from 0 to 6")
     bounded_batches(docs.sparkSession)
     known = docs.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    have = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in have.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_texts / n))).otherwise(share)
-    chance = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    sample = known.filter(chance < share)
+    known = known.withColumn("hash", F.xxhash64("text"))
+    # about how many different texts there are; a task keeps a sketch of each language
+    kinds = known.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).toArrow().to_pydict()
+    have = dict(zip(kinds["lang"], kinds["n"]))
+    if not have:
+        return Model([], [], max_order)
+    share = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, train_texts / n))])
+    chance = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
+    # copies are counted out before the shuffle
+    sample = known.filter(chance < F.element_at(share, F.col("lang"))).groupBy("lang", "hash").agg(F.first("text").alias("text"))
     counts = (
-        sample.mapInArrow(lambda b: count_grams(b, max_order), "lang string, k int, gram long, n long")
+        sample.select("lang", "text")
+        .mapInArrow(lambda b: count_grams(b, max_order), "lang string, k int, gram long, n long")
         .groupBy("lang", "k", "gram")
         .agg(F.sum("n").alias("n"))
+        .toArrow()
     )
     languages = sorted(have)
-    number = {x: i for i, x in enumerate(languages)}
-    rows = [(number[r["lang"]], r["k"], r["gram"], r["n"]) for r in counts.collect()]
+    number = pa.array(languages, pa.string())
+    rows = np.column_stack([
+        pc.index_in(counts["lang"].combine_chunks(), number).to_numpy(zero_copy_only=False),
+        counts["k"].to_numpy(),
+        counts["gram"].to_numpy(),
+        counts["n"].to_numpy(),
+    ])
     return Model(languages, rows, max_order)
 
 

@@ -92,6 +92,22 @@ def test_prediction_ignores_the_label_and_hard_rows(spark):
     assert all(s == 0 for i, _, s in out if i in (1001, 1002, 1003))
 
 
+def test_copies_of_a_text_are_learned_once(spark):
+    rows = documents(60)
+    copies = spark.createDataFrame(rows + [(5000 + i, *rows[0][1:]) for i in range(300)], SCHEMA)
+    once, often = (L.train(spark.createDataFrame(rows, SCHEMA)), L.train(copies))
+    assert often.languages == once.languages
+    for (keys, cost), (keys_2, cost_2) in zip(once.tables, often.tables):
+        assert keys.tolist() == keys_2.tolist() and cost.tolist() == cost_2.tolist()
+
+
+def test_the_sample_is_bounded(spark):
+    few = L.train(spark.createDataFrame(documents(120), SCHEMA), train_texts=4)
+    all_of_them = L.train(spark.createDataFrame(documents(120), SCHEMA))
+    assert few.languages == all_of_them.languages
+    assert 0 < len(few.tables[-1][0]) < len(all_of_them.tables[-1][0])
+
+
 def test_nothing_learned_and_empty_table(spark):
     docs = spark.createDataFrame([(0, "some text", None, 1, 1, "x")], SCHEMA)
     assert [tuple(r) for r in L.identify(docs).collect()] == [(0, L.identify(docs).first()["held_out"], "und", 0.0)]
