@@ -77,7 +77,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     words themselves are compared where it is found. A document's rows meet by doc_id and
     hash of the text, so that repeated rows are counted (``copies``) and a repeated id with
     another text stays apart. The set is broadcast only if its size is small; above the limit
-    the windows are shuffled to meet it.
+    see ``shuffled_hits``.
     """
     grams = benchmark_windows(benchmark, window)
     facts = grams.groupBy("length").agg(F.sum(F.octet_length(F.to_json("gram")) + 48).alias("bytes")).collect()
@@ -100,13 +100,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         )
         met = rows.join(F.broadcast(test.union(whole)), same).select(*kept)
     else:
-        # a shuffled window takes its own words along, not those of the document
-        longest = F.slice("words", F.greatest("at", F.lit(0)) + 1, max(lengths))
-        moved = rows.filter("at >= 0 AND key IS NOT NULL").select(
-            "doc_id", "digest", F.size("words").alias("n_words"), "at", "key", longest.alias("own")
-        )
-        own = (F.col("key") == F.col("test_key")) & (F.slice("own", 1, F.col("length")) == F.col("gram"))
-        hits = moved.join(test, own).select("doc_id", "digest", "n_words", "at", "length", "item_id")
+        hits = shuffled_hits(rows, docs, test)
         whole = rows.filter("at < 0").select(
             "doc_id",
             "digest",
@@ -125,6 +119,41 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def shuffled_hits(rows: DataFrame, docs: DataFrame, test: DataFrame) -> DataFrame:
+    """``find_hits`` for a set too large to broadcast whole: doc_id, digest, n_words, at, length, item_id.
+
+    First the keys alone decide where a window may be: they are sent out while they are few, and else
+    the windows are shuffled as numbers, without words. Then the texts with such a place are split
+    again, and the words at these places are compared with the set.
+    """
+    keys = cut_lineage(test.select("test_key").distinct(), "test-keys")
+    place = rows.filter("at >= 0 AND key IS NOT NULL").select("doc_id", "digest", "at", "key")
+    met = place.join(broadcast_if_small(keys, 48), F.col("key") == F.col("test_key"), "left_semi")
+    # repeated rows give their places once
+    places = cut_lineage(met.select("doc_id", "digest", "at", "key").distinct(), "places")
+    with_hits = cut_lineage(places.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "met")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    texts = texts.join(broadcast_if_small(with_hits, 32), same, "left_semi")
+    # one text of an id and digest
+    texts = texts.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
+    at = places.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.struct("at", "key").alias("place"))
+    at = at.groupBy("_id", "_digest").agg(F.collect_list("place").alias("places"))
+    split = texts.join(at, same).select("doc_id", "digest", words(F.col("text")).alias("words"), "places")
+    longest = test.agg(F.coalesce(F.max("length"), F.lit(1))).first()[0]
+    own = split.select("doc_id", "digest", F.size("words").alias("n_words"), "words", F.explode("places").alias("place"))
+    own = own.select(
+        "doc_id",
+        "digest",
+        "n_words",
+        F.col("place.at").alias("at"),
+        F.col("place.key").alias("key"),
+        F.slice("words", F.col("place.at") + 1, longest).alias("own"),
+    )
+    equal = (F.col("key") == F.col("test_key")) & (F.slice("own", 1, F.col("length")) == F.col("gram"))
+    return own.join(test, equal).select("doc_id", "digest", "n_words", "at", "length", "item_id")
+
+
 def covered(spans: Column) -> Column:
     """Words inside at least one of the sorted spans."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from daydigest.llm import decontamination as D
 
@@ -45,15 +46,26 @@ def brute(text):
     return (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
-def test_hits_match_brute_force_on_either_side_of_the_broadcast_limit(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit, keys_sent", [(D.BROADCAST_BYTES, True), (0, True), (0, False)])
+def test_hits_match_brute_force_on_either_side_of_the_broadcast_limit(spark, monkeypatch, limit, keys_sent):
     monkeypatch.setattr(D, "BROADCAST_BYTES", limit)
+    if not keys_sent:
+        monkeypatch.setattr(D, "broadcast_if_small", lambda table, row_bytes: table)
     out = D.contamination(spark.createDataFrame(TEXTS, DOCS), spark.createDataFrame(ITEMS, BENCH)).collect()
     assert out[0].asDict().keys() == {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
     got = sorted((str(r["doc_id"]), *r[1:]) for r in out)
     assert got == sorted((str(i), *brute(t)) for i, t, *_ in TEXTS)
 
 
+def test_equal_keys_of_other_words_are_no_hit(spark, monkeypatch):
+    monkeypatch.setattr(D, "key_of", lambda at, length: F.lit(7).cast("long"))
+    docs, bench = spark.createDataFrame(TEXTS[:4], DOCS), spark.createDataFrame(ITEMS, BENCH)
+    for limit in (D.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(D, "BROADCAST_BYTES", limit)
+        got = sorted((r["doc_id"], *r[1:]) for r in D.contamination(docs, bench).collect())
+        assert got == sorted((i, *brute(t)) for i, t, *_ in TEXTS[:4])
+
+
 def test_documents_and_spans_are_removed(spark):
     docs, bench = spark.createDataFrame(TEXTS, DOCS), spark.createDataFrame(ITEMS, BENCH)
     kept = D.remove_documents(docs, bench)
