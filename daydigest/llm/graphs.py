@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daydigest.session import BROADCAST_BYTES, cut_lineage
+from daydigest.llm.common import BROADCAST_BYTES
+from daydigest.session import cut_lineage
 
 
 # Rows of the edge table that one task of a round takes.
