@@ -139,3 +139,33 @@ WITH RECURSIVE crc_table AS (
 )
 SELECT word, form, root, n, n_near, form_n FROM form JOIN last USING (word)
 """
+
+JACCARD = r"""
+WITH RECURSIVE doc AS (
+    SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingled AS (
+    SELECT row_id, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(
+        range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS l
+    FROM doc
+), member AS (
+    -- documents of equal sets are one node
+    SELECT doc_id, l, len(l) AS n, min(row_id) OVER (PARTITION BY l) AS s FROM shingled
+), node AS (
+    SELECT DISTINCT s, n, l FROM member WHERE n > 0
+), gram AS (
+    SELECT s, n, unnest(l) AS g FROM node
+), link AS (
+    SELECT a.s AS x, b.s AS y FROM gram a JOIN gram b ON a.g = b.g AND a.s <> b.s
+    GROUP BY a.s, b.s, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT s, s AS other FROM node
+    UNION SELECT reach.s, link.y FROM reach JOIN link ON reach.other = link.x
+), component AS (
+    SELECT reach.s, min(doc_id) AS component_id FROM reach JOIN member ON other = member.s GROUP BY reach.s
+)
+SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id
+FROM member LEFT JOIN component USING (s)
+"""

@@ -98,6 +98,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard": oracles.JACCARD,
     "op5_benchmark_decontamination": oracles.CONTAMINATION,
     "op9_exact_topk": oracles.TOP_K,
     "op10_chat_formatting": oracles.CHAT,
