@@ -115,6 +115,17 @@ def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A table just read, in at least as many parts as there are cores.
+
+    A few files, row groups or gzip members are read by as few tasks, and all work up to the next shuffle stays
+    there. Such a table is dealt out row by row; one that is read in more parts than cores is left as it is, so
+    no large table is shuffled for this. Rows are kept, and column pruning and filters still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows_up_to(df: DataFrame, limit: int) -> int:
     """Row count of a table that should be small; counting stops after ``limit`` + 1."""
     return df.limit(limit + 1).count()

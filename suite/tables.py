@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from daydigest.functions import ids
 from daydigest.operators import embed
-from daydigest.session import checked_small_side, cut_lineage
+from daydigest.session import checked_small_side, cut_lineage, dealt_out
 
 # The collections of the test corpus; every general query is asked of each of them.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -31,7 +31,7 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return dealt_out(table(spark, sf_dir, "documents"))
 
 
 def timed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
