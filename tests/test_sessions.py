@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daydigest.operators import dedup, digest, profile, publish
-from daydigest.session import cut_lineage, release, staging, work_path
+from daydigest.session import cut_lineage, dealt_out, release, staging, work_path
 from daydigest.sinks.writers import exists, write_csv
 
 
@@ -108,3 +108,17 @@ def test_near_duplicates_at_the_threshold_share_a_bucket(spark):
         members.setdefault((r.band, r.bucket), set()).add(r.doc_id)
     met = {(i, j) for i, j in near if any(i in m and j in m for m in members.values())}
     assert len(met) >= 0.97 * len(near), len(met)
+
+
+def test_tables_of_few_parts_are_dealt_out(spark, tmp_path):
+    spark.range(1000).withColumn("text", F.lit("a b")).coalesce(1).write.parquet(f"{tmp_path}/few")
+    few = dealt_out(spark.read.parquet(f"{tmp_path}/few"))
+    cores = spark.sparkContext.defaultParallelism
+    assert few.select(F.spark_partition_id().alias("p")).distinct().count() == cores
+    assert few.count() == few.select("id").distinct().count() == 1000
+    # one column is read where one is wanted
+    plan = few.select("id").filter("id > 5")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and "GreaterThan(id,5)" in plan
+    many = spark.range(1000).repartition(3 * cores)
+    many.write.parquet(f"{tmp_path}/many")
+    assert dealt_out(many) is many
