@@ -225,3 +225,55 @@ def test_max_sim_over_many_blocks(spark):
     unit = {k: v / np.linalg.norm(v, axis=1, keepdims=True) for k, v in sides.items()}
     for name in ("big", "small"):
         assert abs(got[name] - (unit["q"] @ unit[name].T).max(axis=1).sum()) < 1e-4
+
+
+def test_every_model_is_the_query_weight_times_its_score_of_one(spark):
+    row = spark.createDataFrame([(3, 20, 4, 5, 9, 50, 900)], "tf long, dl long, qtf long, df long, cf long, n_docs long, n_terms long")
+    one = ranking.replace(ranking.Statistics.of_row(), qtf=F.lit(1.0))
+    pairs = {m: (f(ranking.Statistics.of_row()), f(one) * ranking.query_weight(m)) for m, f in ranking.MODELS.items()}
+    found = row.select(*[c.alias(f"{m}_{i}") for m, both in pairs.items() for i, c in enumerate(both)]).first()
+    assert all(found[f"{m}_0"] == pytest.approx(found[f"{m}_1"], rel=1e-12) for m in pairs)
+
+
+@pytest.mark.parametrize("model", ["BM25", "DPH", "DFRee"])
+def test_best_of_groups_are_the_best_of_all(spark, tables, monkeypatch, model):
+    """Ties, repeated rows, a null query number and terms asked twice; documents in groups of two, one run each."""
+    monkeypatch.setattr(ranking, "PART_DOCS", 2)
+    monkeypatch.setattr(ranking, "DOCS_A_RANK", 0)
+    monkeypatch.setattr(ranking, "CELLS", 3)
+    words = ["fire", "road", "water", "fires", "bridge"]
+    texts = [" ".join(words[(i * j) % 5] for j in range(1, 2 + i % 4)) for i in range(23)] + [None, "none at all"]
+    corpus = spark.createDataFrame(
+        [("e", f"2020-01-0{1 + i % 2}", f"a-b-c-{i // 2 * 2}", t, 1) for i, t in enumerate(texts)],
+        "event_id string, date string, docno string, text string, unix_timestamp long",
+    ).withColumn("date", F.to_date("date"))
+    queries = spark.createDataFrame(
+        [(None, "", "fire fire road", "c", "e", "E"), ("q1", "", "bridge", "c", "e", "E"), ("q2", "", "water fire", "c", "f", "E")],
+        """query_id string, text string, indicative_terms string, trecis_category_mapping string,
+        event_id string, event_title string""",
+    )
+    calendar = corpus.select("event_id", "date").distinct()
+    index = ranking.corpus_index(corpus, calendar)
+    every = ranking.score_documents(ranking.postings_of_queries(index, queries, calendar), model)
+    key = ["q_id", "event_id", "date", "docno", "row_id", "row_hash", "rank", "score"]
+    rows = lambda df: sorted([tuple(r) for r in df.select(*key).collect()], key=repr)
+    want = rows(ranking.first_stage(every, 4))
+    got = rows(ranking.rank_index(index, queries, calendar, model, 4))
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and len(got) > 8
+    assert [r[-1] for r in got] == pytest.approx([r[-1] for r in want], abs=1e-9)
+
+
+def test_no_pair_of_query_and_document_is_shuffled(tables):
+    """The shuffles before the scores carry postings and queries; behind them come the best rows alone."""
+    plan = ranking.rank(*tables, steps=("stop",))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate(keys=[q_id" not in plan
+
+
+def test_rounding_and_order_are_those_of_spark(spark):
+    import numpy as np
+
+    values = [0.1234565, -0.1234565, 2.5e-7, 5e-7, 1.0000005, 123456.7890125, 3e12, -0.0, float("nan"), float("inf"), 1.4999999999e-6]
+    want = [r.x for r in spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6).alias("x")).collect()]
+    np.testing.assert_array_equal(ranking.rounded(np.array(values)), want)
+    score = np.ma.masked_array([1.0, np.nan, 0.0, -np.inf, 1.0], [False, False, True, False, False])
+    assert ranking.best_rows(np.zeros(5, int), np.array([4, 1, 2, 3, 0]), score, 4).tolist() == [1, 4, 0, 3]
