@@ -13,13 +13,14 @@ def request_range(ranked: DataFrame) -> DataFrame:
     )
 
 
-def with_importance(ranked: DataFrame) -> DataFrame:
-    """(score - min) / (max - min) per request, null when all scores are equal.
+def with_importance(ranked: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """(score - min) / (max - min) per request, null when all scores are equal. ``scores`` are the rows of ``ranked`` in
+    a narrower table, where there is one.
 
     Minimum and maximum are pre-aggregated and joined back, so that a request with
     very many rows is not gathered in one window.
     """
-    ranked = ranked.join(request_range(ranked), "request_id", "left")
+    ranked = ranked.join(request_range(ranked if scores is None else scores), "request_id", "left")
     low, high = F.col("min"), F.col("max")
     return ranked.withColumn("importance", F.try_divide(F.col("rerank_score") - low, high - low))
 

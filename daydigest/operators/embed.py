@@ -67,12 +67,21 @@ def word_vectors(texts: DataFrame, stop_words=T.STOP_WORDS) -> DataFrame:
     return cut_lineage(summed.select("word", F.array(*names).alias("vector")), "word-vectors")
 
 
+def text_words(texts: DataFrame, stop_words=T.STOP_WORDS) -> DataFrame:
+    """owner, words: the distinct terms of each text (owner, text) in the order of the first use."""
+    return texts.select("owner", F.array_distinct(T.terms_without_stop_words("text", stop_words)).alias("words"))
+
+
+def token_words(texts: DataFrame, stop_words=T.STOP_WORDS) -> DataFrame:
+    """owner, pos, word: ``text_words`` as rows, counted from 0."""
+    return text_words(texts, stop_words).select("owner", F.posexplode("words").alias("pos", "word"))
+
+
 def token_vectors(texts: DataFrame, words: DataFrame, stop_words=T.STOP_WORDS) -> DataFrame:
     """owner, pos, vector of the distinct terms of each text (owner, text), in the order of the first use; pos counts
     from 0. ``words`` is broadcast if it is small; else the terms, which are narrow, meet it by shuffle and adaptive
     execution splits a hot word's rows. A text without terms has no rows."""
-    listed = F.array_distinct(T.terms_without_stop_words("text", stop_words))
-    tokens = texts.select("owner", F.posexplode(listed).alias("pos", "word"))
+    tokens = token_words(texts, stop_words)
     vectors = words.select("word", F.col("vector").cast("array<double>").alias("vector"))
     found = tokens.join(checked_small_side(vectors, 64 + 8 * DIMS), "word")
     return found.select("owner", F.col("pos").cast("long").alias("pos"), "vector")

@@ -147,10 +147,9 @@ def some_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).filter(F.col("owner") % QUERY_EACH == 0)
 
 
-def learned_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Token vectors of the queries (owner: q_id) and of the documents (owner: docno), from word vectors learned
-    from all their texts."""
+def learned_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (owner, text) of the queries (owner: q_id) and of the documents (owner: docno), and the word vectors
+    learned from all of them."""
     asked = table(spark, sf_dir, "benchmark").select(F.format_string("q%03d", "item_id").alias("owner"), "text")
     held = timed_documents(spark, sf_dir).select(F.col("docno").alias("owner"), "text")
-    words = embed.word_vectors(asked.select("text").union(held.select("text")))
-    return embed.token_vectors(asked, words), embed.token_vectors(held, words)
+    return asked, held, embed.word_vectors(asked.select("text").union(held.select("text")))

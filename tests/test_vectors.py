@@ -74,3 +74,37 @@ def test_every_query_meets_every_text(spark, monkeypatch, size):
     old = {(r.left, r.right): r.rerank_score for r in vectors.max_sim(pairs, frame(asked, "string"), frame(held, "long")).collect()}
     assert old == pytest.approx(got)
     assert vectors.max_sim_all(frame(asked, "string"), frame(held, "long").filter(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 10_000])
+def test_texts_as_words_give_the_scores_of_their_vectors(spark, monkeypatch, size):
+    """Repeated owners are one text, a query's repeated place counts once for pairs, and words without a vector not at all."""
+    for name in ("QUERY_TOKENS", "GROUP_WORDS", "GROUP_TEXTS", "PRODUCT_TOKENS", "PRODUCT_COLUMNS"):
+        monkeypatch.setattr(vectors, name, size)
+    rng = np.random.default_rng(1)
+    unit = {f"w{i}": v / np.linalg.norm(v) for i, v in enumerate(rng.normal(size=(12, 4)))}
+    draw = lambda n: [f"w{i}" for i in rng.choice(12, n, replace=False)]
+    asked = [("a", 0, "w1"), ("a", 1, "w5"), ("b", 0, "w2"), ("b", 0, "w7"), ("b", 1, "w7"), ("c", 0, "none")]
+    held = [(i, draw(1 + i % 5)) for i in range(9)] + [(3, draw(4)), (20, ["none"]), (21, []), (22, None)]
+    words = spark.createDataFrame([(w, [float(x) for x in v * 3]) for w, v in unit.items()], "word string, vector array<double>")
+    texts = {i: [w for j, ws in held if j == i for w in ws or [] if w in unit] for i, _ in held}
+    best = lambda w, i: max(float(unit[w] @ unit[u]) for u in texts[i])
+    frames = spark.createDataFrame(asked, "owner string, pos int, word string"), spark.createDataFrame(held, "owner long, words array<string>"), words
+    every = {(q, i): sum(best(w, i) for o, _, w in asked if o == q) for q in "ab" for i in texts if texts[i]}
+    assert {(r.left, r.right): r.rerank_score for r in vectors.max_sim_words(*frames).collect()} == pytest.approx(every)
+    wanted = [("a", 1), ("b", 3), ("a", 3), ("b", 20), ("c", 2), ("b", 99)]
+    pairs = spark.createDataFrame(wanted, "left string, right long")
+    once = {("a", 1): every["a", 1], ("a", 3): every["a", 3], ("b", 3): max(best("w2", 3), best("w7", 3)) + best("w7", 3)}
+    assert {(r.left, r.right): r.rerank_score for r in vectors.max_sim_words(*frames, pairs).collect()} == pytest.approx(once)
+    assert vectors.max_sim_words(frames[0], frames[1].limit(0), words).count() == 0
+
+
+def test_a_text_travels_as_words(spark):
+    """A vector crosses a shuffle once for a word of a group, not for each token of a text."""
+    texts = spark.createDataFrame([(i, ["fire", "road"]) for i in range(50)], "owner long, words array<string>")
+    words = spark.createDataFrame([("fire", [1.0, 0.0]), ("road", [0.0, 1.0])], "word string, vector array<double>")
+    asked = spark.createDataFrame([("q", 0, "road")], "owner string, pos int, word string")
+    found = vectors.max_sim_words(asked, texts, words)
+    assert [r.rerank_score for r in found.collect()] == [1.0] * 50
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [part" in plan and "collect_list(vector" not in plan
