@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,31 @@ def terms_without_stop_words(text: str, stop_words=STOP_WORDS) -> Column:
     return F.expr(f"filter({terms}, term -> term NOT IN ({listed}))")
 
 
+def coded_terms(lowered: pa.Array, stop_words=STOP_WORDS) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """``terms_without_stop_words`` of a batch of texts that are in lower case already: of each term in order its text,
+    counted from 0, and its place among the different terms, which come last. A null text has no terms."""
+    lowered = pc.fill_null(lowered.cast(pa.large_string()), "")
+    _, offsets, data = lowered.buffers()
+    ends = np.frombuffer(offsets, np.int64)[lowered.offset : lowered.offset + len(lowered) + 1] if len(lowered) else np.zeros(1, np.int64)
+    first, ends = ends[0], ends - ends[0]
+    data = np.frombuffer(data or b"", np.uint8)[first : first + ends[-1]]
+    # letters and digits are one byte each, and no other character has such a byte
+    in_term = (data - ord("a") < 26) | (data - ord("0") < 10)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    begins, lasts = in_term.copy(), in_term.copy()
+    begins[1:] &= ~in_term[:-1] | edge[1:-1]
+    lasts[:-1] &= ~in_term[1:] | edge[1:-1]
+    begins = np.flatnonzero(begins)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(lasts) - begins + 1))
+    terms = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data[in_term])).cast(pa.string())
+    terms = terms.dictionary_encode()
+    kept = ~pc.is_in(terms.dictionary, value_set=pa.array(stop_words, pa.string())).to_numpy(zero_copy_only=False)
+    codes = np.where(kept, np.cumsum(kept) - 1, -1)[terms.indices.to_numpy()]
+    text = np.repeat(np.arange(len(lowered)), np.diff(np.searchsorted(begins, ends)))
+    return text[codes >= 0], codes[codes >= 0], terms.dictionary.filter(pa.array(kept))
+
+
 def is_stop_word(term: str, stop_words=STOP_WORDS) -> Column:
     return F.expr(f"{term} IN ({', '.join(repr(word) for word in stop_words)})")
 

@@ -149,7 +149,7 @@ def some_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts (owner, text) of the queries (owner: q_id) and of the documents (owner: docno), and the word vectors
-    learned from all of them."""
+    learned from all of them. Documents are joined with their times once, and written."""
     asked = table(spark, sf_dir, "benchmark").select(F.format_string("q%03d", "item_id").alias("owner"), "text")
-    held = timed_documents(spark, sf_dir).select(F.col("docno").alias("owner"), "text")
+    held = cut_lineage(timed_documents(spark, sf_dir).select(F.col("docno").alias("owner"), "text"), "texts")
     return asked, held, embed.word_vectors(asked.select("text").union(held.select("text")))
